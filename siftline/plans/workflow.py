@@ -23,14 +23,16 @@ def process_pages(
 ) -> DataFrame:
     """Outcome of every page, row by row in one pass.
 
-    Columns: url, ``keep``, success, relevant, confidence, title, content, links.
+    Columns: url, ``keep``, success, relevant, confidence, title, content,
+    publish_date, links.
     A page without html, with a status other than 200 or without content failed.
     Without a model every page is relevant with confidence 1.0; a page that could
     not be scored is relevant with 0.5.
     """
     keep = [c for c in (keep or []) if c not in ("url", "status")]
     parsed = parse_pages(
-        pages, ["url", "status", *keep], ("title", "content", "links"), min_content_length
+        pages, ["url", "status", *keep], ("title", "content", "publish_date", "links"),
+        min_content_length,
     )
     if model is None:
         scored = parsed.withColumns({"is_relevant": F.lit(True), "confidence": F.lit(1.0)})
@@ -45,6 +47,7 @@ def process_pages(
         F.when(ok, F.coalesce("confidence", F.lit(0.5))).alias("confidence"),
         "title",
         "content",
+        "publish_date",
         "links",
     )
 

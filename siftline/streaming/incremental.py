@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.text import domain_of
 from siftline.operators.articles import upsert_articles
 from siftline.operators.model import LinearModel
 from siftline.plans.workflow import process_pages, store_incidents
@@ -63,9 +64,11 @@ def merge_scored(
         fresh, incidents, sources, tags, links, now, seq
     )
     new_articles = scored.filter("success").join(articles.select("url"), "url", "left_anti")
-    merged, _ = upsert_articles(
-        articles, new_articles.select(seq, "url", "title", "content"), now, seq
+    records = new_articles.select(
+        seq, "url", "title", "content", F.lit(now).alias("date_extracted"),
+        F.struct("publish_date", domain_of(F.col("url")).alias("domain")).alias("metadata"),
     )
+    merged, _ = upsert_articles(articles, records, now, seq)
     return {
         "articles": merged, "incidents": rows, "sources": all_sources, "tags": all_tags,
         "incident_tags": all_links,
