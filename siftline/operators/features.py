@@ -109,7 +109,7 @@ def idf_column(n_docs: Column, df: Column) -> Column:
 
 def vocabulary_table(
     df: DataFrame, settings: FeatureSettings = FeatureSettings(), key: str = "id",
-    text_col: str = "content",
+    text_col: str = "content", n_docs: int | None = None,
 ) -> DataFrame:
     """F1 as a lazy table: the most frequent terms, indexed alphabetically.
 
@@ -122,13 +122,13 @@ def vocabulary_table(
         .agg(F.sum("tf").alias("count"), F.count(F.lit(1)).alias("df"))
     )
     top = totals.orderBy(F.desc("count"), "term").limit(settings.max_features)
-    n_docs = df.select(F.count(F.lit(1))).scalar()
+    docs = df.select(F.count(F.lit(1))).scalar() if n_docs is None else F.lit(n_docs)
     return top.select(
         "term",
         (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"),
         "count",
         "df",
-        idf_column(n_docs, F.col("df")).alias("idf"),
+        idf_column(docs, F.col("df")).alias("idf"),
     )
 
 
@@ -137,8 +137,9 @@ def fit_vocabulary(
     text_col: str = "content",
 ) -> Vocabulary:
     """F1, fitted: brings back at most ``max_features`` rows."""
-    rows = vocabulary_table(df, settings, key, text_col).collect()
-    return Vocabulary.from_rows(rows, df.count(), settings)
+    n_docs = df.count()
+    rows = vocabulary_table(df, settings, key, text_col, n_docs).collect()
+    return Vocabulary.from_rows(rows, n_docs, settings)
 
 
 def vectorize(

@@ -5,18 +5,18 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
+from siftline.operators import linear_fit
+from siftline.operators.articles import get_articles, search_articles
 from siftline.operators.features import Vocabulary, vectorize
+from siftline.session import cut_lineage
 
 MODEL_TYPES = ("logistic_regression", "linear_svc")
-_PARAMS = {"C": None, "max_iter": "maxIter", "tol": "tol", "fit_intercept": "fitIntercept",
-           "class_weight": None}
+# accepted parameters with their defaults
+MODEL_PARAMS = {"C": 1.0, "max_iter": 200, "tol": 1e-5, "fit_intercept": True, "class_weight": None}
 
 
 @dataclass
@@ -46,56 +46,52 @@ def train(
 ) -> LinearModel:
     """M1, M2: fit on rows with a vector and a 0/1 label.
 
-    The usual objective ``C * sum(loss) + |w|^2 / 2`` becomes Spark's mean loss
-    with ``regParam = 1 / (C * n)``.  The SVC here minimises plain hinge loss, so
-    its margins differ from squared-hinge libraries.
+    Logistic regression has an L2 penalty on the weights and a free intercept; the
+    SVC has squared hinge loss and a penalised intercept.  The training vectors are
+    written once (reliable checkpoint) because every pass reads them again.
     """
     if model_type not in MODEL_TYPES:
         raise ValueError(f"Unsupported model type: {model_type}; choose from {MODEL_TYPES}")
     params = dict(params or {})
-    unknown = set(params) - set(_PARAMS)
+    unknown = set(params) - set(MODEL_PARAMS)
     if unknown:
         raise ValueError(f"Unsupported model parameters: {sorted(unknown)}")
+    settings = {**MODEL_PARAMS, **params}
     started = time.time()
-    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    data = cut_lineage(
+        df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"))
+    )
+    counts = {int(r[0]): r[1] for r in data.groupBy("label").agg(F.count(F.lit(1))).collect()}
     n = sum(counts.values())
     if len(counts) < 2:
         raise ValueError("training needs both classes")
-    data = df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"))
-    conf = {spark_name: params[name] for name, spark_name in _PARAMS.items()
-            if spark_name and name in params}
-    weight_total = float(n)
-    class_weight = params.get("class_weight")
-    if class_weight is not None:
-        if class_weight == "balanced":
-            class_weight = {c: n / (len(counts) * k) for c, k in counts.items()}
-        weight = F.lit(1.0)
-        for c, w in class_weight.items():
-            weight = F.when(F.col("label") == float(c), F.lit(float(w))).otherwise(weight)
-        weight_total = float(sum(class_weight.get(c, 1.0) * k for c, k in counts.items()))
-        data = data.withColumn("weight", weight)
-        conf["weightCol"] = "weight"
-    conf["regParam"] = 1.0 / (float(params.get("C", 1.0)) * weight_total)
-    conf["standardization"] = False
-    conf.setdefault("maxIter", 100)
-    estimator = (
-        LogisticRegression(family="binomial", elasticNetParam=0.0, **conf)
-        if model_type == "logistic_regression"
-        else LinearSVC(**conf)
+    class_weight = settings["class_weight"] or {}
+    if class_weight == "balanced":
+        class_weight = {c: n / (len(counts) * k) for c, k in counts.items()}
+    weight = F.lit(1.0)
+    for c, w in class_weight.items():
+        weight = F.when(F.col("label") == float(c), F.lit(float(w))).otherwise(weight)
+    width = F.unwrap_udt(F.col("features"))["size"]
+    n_features = len(vocabulary.terms) if vocabulary else data.select(width).first()[0]
+    svc = model_type == "linear_svc"
+    coefficients, intercept, steps = linear_fit.fit(
+        data.withColumn("weight", weight), n_features,
+        linear_fit.squared_hinge if svc else linear_fit.logistic,
+        float(settings["C"]), settings["fit_intercept"], svc, settings["max_iter"], settings["tol"],
     )
-    fitted = estimator.fit(data)
     ended = time.time()
     stamp = "%Y-%m-%dT%H:%M:%S"
     return LinearModel(
         model_type,
-        [float(c) for c in fitted.coefficients.toArray()],
-        float(fitted.intercept),
+        coefficients.tolist(),
+        intercept,
         vocabulary,
         metadata={
             "model_type": model_type,
             "model_params": params,
             "training_samples": n,
-            "feature_count": len(fitted.coefficients),
+            "feature_count": n_features,
+            "iterations": steps,
             "training_start": time.strftime(stamp, time.gmtime(started)),
             "training_end": time.strftime(stamp, time.gmtime(ended)),
             "training_duration_seconds": ended - started,
@@ -105,13 +101,9 @@ def train(
 
 
 def with_margin(df: DataFrame, model: LinearModel, features: str = "features", out: str = "margin") -> DataFrame:
-    """Dot product with the weights plus intercept, as a native row-local expression."""
-    weighted = ElementwiseProduct(
-        scalingVec=Vectors.dense(model.coefficients), inputCol=features, outputCol="_cx"
-    ).transform(df)
-    values = F.unwrap_udt(F.col("_cx"))["values"]
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    return weighted.withColumn(out, total + F.lit(model.intercept)).drop("_cx")
+    """Decision value of vectors under the model."""
+    dot = linear_fit.add_margin(df, model.coefficients, features, out)
+    return dot.withColumn(out, F.col(out) + model.intercept)
 
 
 def _sigmoid(margin):
@@ -157,6 +149,18 @@ def evaluate_texts(df: DataFrame, model: LinearModel, text_col: str = "content")
     })
 
 
+def classify_articles(articles: DataFrame, model: LinearModel, limit: int = 100) -> DataFrame:
+    """M8: the newest stored articles; those without content are skipped after
+    the limit."""
+    newest = search_articles(articles, limit=limit).filter(F.coalesce("content", F.lit("")) != "")
+    return predict_with_score(newest, model).select("id", "url", "title", "is_relevant", "confidence")
+
+
+def classify_by_key(articles: DataFrame, keys: DataFrame, model: LinearModel, key: str = "id") -> DataFrame:
+    """Detailed prediction of stored articles looked up by id or url."""
+    return evaluate_texts(get_articles(articles, keys, key), model)
+
+
 def classify_lines(texts: DataFrame, model: LinearModel, text_col: str = "text") -> DataFrame:
     """M9: every text line with its prediction."""
     return predict_with_score(texts, model, text_col).select(text_col, "is_relevant", "confidence")

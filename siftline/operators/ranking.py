@@ -53,25 +53,34 @@ def hash_cuts(df: DataFrame, group: str, hash_col: str, take: dict[int, int]) ->
     counts = narrow.groupBy("g", F.substring("h", 1, 4).alias("prefix")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    running = F.sum("n").over(Window.partitionBy("g").orderBy("prefix"))
-    cuts: dict[int, str | None] = {}
-    for key, want in take.items():
-        cuts[key] = None
-        if want <= 0:
-            continue
-        holder = (
-            counts.filter(F.col("g") == key)
-            .withColumn("upto", running)
-            .filter(F.col("upto") >= want)
-            .orderBy("prefix")
-            .first()
-        )
-        left = want - (holder["upto"] - holder["n"])
-        cuts[key] = (
-            narrow.filter((F.col("g") == key) & F.col("h").startswith(holder["prefix"]))
-            .orderBy("h")
-            .limit(left)
-            .agg(F.max("h"))
-            .first()[0]
-        )
+    wanted = {key: int(n) for key, n in take.items() if n > 0}
+    cuts: dict[int, str | None] = dict.fromkeys(take)
+    if not wanted:
+        return cuts
+    want = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
+    # one row per group: the prefix holding its cut and the rows left to take there
+    holders = (
+        counts.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("prefix")))
+        .withColumn("want", want[F.col("g")])
+        .filter(F.col("upto") >= F.col("want"))
+        .groupBy("g")
+        .agg(F.min_by(F.struct("prefix", (F.col("want") - F.col("upto") + F.col("n")).alias("left")), "prefix").alias("cut"))
+        .select("g", "cut.*")
+        .collect()
+    )
+    in_prefix = F.lit(False)
+    left = F.lit(None).cast("bigint")
+    for h in holders:
+        here = (F.col("g") == h["g"]) & F.col("h").startswith(h["prefix"])
+        in_prefix = in_prefix | here
+        left = F.when(here, F.lit(h["left"])).otherwise(left)
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("h"))
+    for row in (
+        narrow.filter(in_prefix)
+        .withColumn("left", left)
+        .withColumn("rank", rank)
+        .filter(F.col("rank") == F.col("left"))
+        .collect()
+    ):
+        cuts[row["g"]] = row["h"]
     return cuts
