@@ -36,21 +36,23 @@ def export_json(df: DataFrame, path: str, filters: dict | None = None) -> None:
         .write.mode("overwrite").json(path)
 
 
+# fields keep their blanks and line breaks; quotes are doubled
+_CSV = {
+    "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def _write_csv(rows: DataFrame, path: str) -> bool:
     if rows.isEmpty():
         return False
-    rows.write.mode("overwrite").option("header", True).option("quote", '"').option(
-        "escape", '"'
-    ).option("emptyValue", "").option("nullValue", "").option("lineSep", "\n").csv(path)
+    rows.write.mode("overwrite").options(**_CSV, emptyValue="", nullValue="").csv(path)
     return True
 
 
 def read_csv(spark, path: str, schema: str) -> DataFrame:
     """Read a CSV export back, line breaks inside quoted fields included."""
-    return (
-        spark.read.option("header", True).option("quote", '"').option("escape", '"')
-        .option("multiLine", True).schema(schema).csv(path)
-    )
+    return spark.read.options(**_CSV, multiLine=True).schema(schema).csv(path)
 
 
 def export_csv(df: DataFrame, path: str, filters: dict | None = None) -> bool:

@@ -50,7 +50,9 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     a, b = canonical(got), canonical(want)
     for x, y in zip(a, b):
         if x != y:
-            return f"first difference:\n   spark {str(x)[:600]}\n   sql   {str(y)[:600]}"
+            cols = sorted(got.columns)
+            diff = [(c, p[:200], q[:200]) for c, p, q in zip(cols, x, y) if p != q]
+            return f"first difference: {diff}"
     return None
 
 

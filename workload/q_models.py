@@ -26,16 +26,22 @@ def frozen_model(spark, sf) -> md.LinearModel:
     )
 
 
-SCORES_SQL = f"""coef AS (SELECT term, idx, idf, ((idx * 7919 + 13) % 2001 - 1000) / 1000.0::DOUBLE AS c FROM vocab),
+
+def scores_sql(rows: str) -> str:
+    """Scores ``scores(id, p)`` of the rows (id, text) of a table."""
+    return f"""coef AS (SELECT term, idx, idf, ((idx * 7919 + 13) % 2001 - 1000) / 1000.0::DOUBLE AS c FROM vocab),
 all_tf AS (
   SELECT id, term, count(*) AS tf FROM (
     SELECT id, unnest({sql_terms('t')}) AS term
-    FROM (SELECT doc_id AS id, {sql_tokens('text')} AS t FROM documents)) GROUP BY id, term),
+    FROM (SELECT id, {sql_tokens('text')} AS t FROM {rows})) GROUP BY id, term),
 scores AS (
-  SELECT d.doc_id AS id, 1 / (1 + exp(-({INTERCEPT} + coalesce(
+  SELECT d.id, 1 / (1 + exp(-({INTERCEPT} + coalesce(
            sum(a.tf * c.idf * c.c) / sqrt(sum(a.tf * c.idf * a.tf * c.idf)), 0)))) AS p
-  FROM documents d LEFT JOIN all_tf a ON a.id = d.doc_id LEFT JOIN coef c ON c.term = a.term
-  GROUP BY d.doc_id)"""
+  FROM {rows} d LEFT JOIN all_tf a ON a.id = d.id LEFT JOIN coef c ON c.term = a.term
+  GROUP BY d.id)"""
+
+
+SCORES_SQL = scores_sql("(SELECT doc_id AS id, text FROM documents)")
 SCORED = feature_sql(ROWS_LABELED, SCORES_SQL)
 EVAL_SQL = """SELECT round((tp + tn) / total::DOUBLE, 6) AS accuracy,
   round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp)::DOUBLE END, 6) AS precision,
