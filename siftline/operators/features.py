@@ -68,37 +68,28 @@ def with_terms(
     )
 
 
-def _counted_terms(terms: Column) -> Column:
-    """Distinct terms of one document with their counts, inside the row.
-
-    In the sorted array every run of equal terms ends where the next term
-    differs; the distance between run ends is the count.
-    """
-    n = F.size(terms)
-    ends = F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: (i == n) | (F.get(terms, i) != F.get(terms, i - 1)),
-    )
-    starts = F.concat(F.array(F.lit(0)), ends)
-    # the trailing element of ``starts`` has no partner and pairs with null
-    runs = F.zip_with(
-        ends,
-        F.slice(starts, 1, F.size(ends)),
-        lambda e, s: F.struct(F.get(terms, e - 1).alias("term"), (e - s).alias("tf")),
-    )
-    return F.when(n > 0, runs)
-
-
-def term_counts(
+def term_occurrences(
     df: DataFrame, settings: FeatureSettings = FeatureSettings(), key: str = "id",
     text_col: str = "content",
 ) -> DataFrame:
-    """(key, term, tf), one row per document and distinct term; no shuffle."""
+    """(key, term, last): every term occurrence, ``last`` = 1 once per document.
+
+    The terms of a document are sorted inside its row, so the last of a run of
+    equal terms is seen by looking at the next one; document frequencies then need
+    no grouping by document.
+    """
+    terms = F.col("terms")
+    marked = F.zip_with(
+        terms,
+        F.slice(terms, 2, F.size(terms)),
+        lambda term, nxt: F.struct(
+            term.alias("term"), F.when(term.eqNullSafe(nxt), 0).otherwise(1).alias("last")
+        ),
+    )
     return (
         with_terms(df.select(key, text_col), settings, text_col)
         .select(key, F.sort_array("terms").alias("terms"))
-        .select(key, F.explode(_counted_terms(F.col("terms"))).alias("t"))
-        .select(key, "t.term", F.col("t.tf").cast("bigint").alias("tf"))
+        .select(key, F.inline(marked))
     )
 
 
@@ -117,9 +108,9 @@ def vocabulary_table(
     over at most ``max_features`` rows.
     """
     totals = (
-        term_counts(df, settings, key, text_col)
+        term_occurrences(df, settings, key, text_col)
         .groupBy("term")
-        .agg(F.sum("tf").alias("count"), F.count(F.lit(1)).alias("df"))
+        .agg(F.count(F.lit(1)).alias("count"), F.sum("last").alias("df"))
     )
     top = totals.orderBy(F.desc("count"), "term").limit(settings.max_features)
     docs = df.select(F.count(F.lit(1))).scalar() if n_docs is None else F.lit(n_docs)
@@ -134,10 +125,10 @@ def vocabulary_table(
 
 def fit_vocabulary(
     df: DataFrame, settings: FeatureSettings = FeatureSettings(), key: str = "id",
-    text_col: str = "content",
+    text_col: str = "content", n_docs: int | None = None,
 ) -> Vocabulary:
     """F1, fitted: brings back at most ``max_features`` rows."""
-    n_docs = df.count()
+    n_docs = df.count() if n_docs is None else n_docs
     rows = vocabulary_table(df, settings, key, text_col, n_docs).collect()
     return Vocabulary.from_rows(rows, n_docs, settings)
 
@@ -221,8 +212,14 @@ def split_sizes(counts: dict[int, int], test_size: float = 0.2) -> dict[int, int
     return take
 
 
+def class_counts(df: DataFrame, label: str = "label") -> dict[int, int]:
+    """Rows per class (a handful of classes)."""
+    return {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
+
+
 def stratified_split(
-    df: DataFrame, label: str = "label", key: str = "id", test_size: float = 0.2, seed: int = 42
+    df: DataFrame, label: str = "label", key: str = "id", test_size: float = 0.2, seed: int = 42,
+    counts: dict[int, int] | None = None,
 ) -> DataFrame:
     """add ``split`` ('train' or 'test') with exact stratified sizes.
 
@@ -230,7 +227,7 @@ def stratified_split(
     partitioning.  The cut hashes are found first; marking rows is row-local.
     """
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = counts or class_counts(df, label)
     cuts = hash_cuts(hashed, label, "_h", split_sizes(counts, test_size))
     in_test = F.lit(False)
     for value, cut in cuts.items():

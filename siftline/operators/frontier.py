@@ -45,7 +45,7 @@ def bfs(
     a page row counts as failed.  Each visited url carries its path of positions
     from the seed; comparing paths reproduces the queue order, so no level has to
     be numbered.  One job per level; a level is reduced to one row per url with a
-    map-side combined minimum and cut from its lineage by a reliable checkpoint.
+    map-side combined minimum and cut from its lineage by a stored table.
     Returns url, depth, status, path.
     """
     links = edges.filter(follow_condition(F.col("link"), allowed_domains, url_patterns))

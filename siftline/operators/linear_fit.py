@@ -19,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# partial sums per pass before the last one; each holds one number per term
+# partial sums that one task may combine; each holds one number per term
 GROUPS = 64
 # keeps every weight total positive; cancels between the two sides
 _FLOOR = 1e-9
@@ -50,11 +50,13 @@ def squared_hinge(m: Column, y: Column) -> tuple[Column, Column]:
     return gap * gap, -2.0 * sign * gap
 
 
-def loss_pass(data: DataFrame, loss: Callable, coefficients: np.ndarray) -> tuple[float, np.ndarray]:
-    """Total loss and gradient at the weights: one job.
+def loss_pass(
+    data: DataFrame, loss: Callable, coefficients: np.ndarray, grouped: bool = False
+) -> tuple[float, np.ndarray]:
+    """Total loss and gradient at the weights: one job, one row back.
 
-    Partitions are summed in a fixed number of groups and those into one row, so
-    neither the last task nor the answer grows with the data.  The weights travel
+    With many partitions (``grouped``) their sums are first combined in a fixed
+    number of groups, so that the last task does not grow with the data.  The weights travel
     inside the vector transformer and not as literals, which keeps the generated
     code of every pass the same (compiled once).
     """
@@ -68,16 +70,21 @@ def loss_pass(data: DataFrame, loss: Callable, coefficients: np.ndarray) -> tupl
     rising = F.greatest(F.col("slope"), F.lit(0.0)) + _FLOOR
     falling = F.greatest(-F.col("slope"), F.lit(0.0)) + _FLOOR
     total = Summarizer.metrics("sum")
-    parts = rows.groupBy((F.spark_partition_id() % GROUPS).alias("g")).agg(
+    sums = [
         F.sum("value").alias("value"),
         total.summary(F.col("x"), rising)["sum"].alias("up"),
         total.summary(F.col("x"), falling)["sum"].alias("down"),
-    )
-    last = parts.agg(
-        F.sum("value").alias("value"),
-        total.summary(F.col("up"))["sum"].alias("up"),
-        total.summary(F.col("down"))["sum"].alias("down"),
-    ).first()
+    ]
+    if grouped:
+        parts = rows.groupBy((F.spark_partition_id() % GROUPS).alias("g")).agg(*sums)
+        sums = [
+            F.sum("value").alias("value"),
+            total.summary(F.col("up"))["sum"].alias("up"),
+            total.summary(F.col("down"))["sum"].alias("down"),
+        ]
+        last = parts.agg(*sums).first()
+    else:
+        last = rows.agg(*sums).first()
     return last["value"], last["up"].toArray() - last["down"].toArray()
 
 
@@ -131,12 +138,14 @@ def fit(
     constant = data.withColumn("_one", F.lit(1.0 if fit_intercept else 0.0))
     rows = VectorAssembler(inputCols=["features", "_one"], outputCol="x").transform(constant)
     rows = rows.select("x", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    # the input is a stored table, so looking at its partitions starts no job
+    grouped = rows.rdd.getNumPartitions() > GROUPS
     norm = c * rows.agg(F.sum("weight")).first()[0]
     penalty = np.ones(n_features + 1)
     penalty[-1] = 1.0 if penalize_intercept else 0.0
 
     def objective(w):
-        value, grad = loss_pass(rows, loss, w)
+        value, grad = loss_pass(rows, loss, w, grouped)
         return (c * value + (penalty * w) @ w / 2) / norm, (c * grad + penalty * w) / norm
 
     w, steps = minimize(objective, np.zeros(n_features + 1), max_iter, tol)

@@ -48,7 +48,7 @@ def train(
 
     Logistic regression has an L2 penalty on the weights and a free intercept; the
     SVC has squared hinge loss and a penalised intercept.  The training vectors are
-    written once (reliable checkpoint) because every pass reads them again.
+    written to the shared folder once because every pass reads them again.
     """
     if model_type not in MODEL_TYPES:
         raise ValueError(f"Unsupported model type: {model_type}; choose from {MODEL_TYPES}")

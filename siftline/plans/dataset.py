@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.labels import resolve_label
-from siftline.operators.articles import load_articles
+from siftline.functions.labels import is_labeled, resolve_label
 from siftline.operators.features import (
-    FeatureSettings, Vocabulary, dataset_metadata, fit_vocabulary, stratified_split, vectorize,
+    FeatureSettings, Vocabulary, class_counts, dataset_metadata, fit_vocabulary, stratified_split,
+    vectorize,
 )
 from siftline.operators.model import LinearModel, evaluate, train, with_margin
+from siftline.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -42,10 +43,17 @@ def prepare_dataset(
     """
     if fit_on not in ("all", "train"):
         raise ValueError("fit_on must be 'all' or 'train'")
-    labeled = resolve_label(articles.filter(F.col("labels").isNotNull())).select("id", "content", "label")
-    split = stratified_split(labeled, "label", "id", test_size, seed)
-    fit_rows = split if fit_on == "all" else split.filter(F.col("split") == "train")
-    vocabulary = fit_vocabulary(fit_rows, settings)
+    # the labelled rows are read by several jobs, most of which need no text
+    labeled = cut_lineage(
+        resolve_label(articles.filter(is_labeled(F.col("labels")))).select("id", "content", "label"),
+        "labeled",
+    )
+    counts = class_counts(labeled)
+    split = stratified_split(labeled, "label", "id", test_size, seed, counts)
+    if fit_on == "all":
+        vocabulary = fit_vocabulary(split, settings, n_docs=sum(counts.values()))
+    else:
+        vocabulary = fit_vocabulary(split.filter(F.col("split") == "train"), settings)
     rows = vectorize(split, vocabulary).select("id", "label", "split", "features")
     return Dataset(rows, vocabulary, test_size, seed)
 

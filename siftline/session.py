@@ -50,12 +50,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark).rstrip('/')}/siftline/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of an intermediate result (survives executor loss)."""
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    The written table outlives lost executors, is read column by column and tells
+    the planner its true size.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_root(spark))
-    return df.checkpoint(eager=True)
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
