@@ -71,7 +71,9 @@ def train(
     weight = F.lit(1.0)
     for c, w in class_weight.items():
         weight = F.when(F.col("label") == float(c), F.lit(float(w))).otherwise(weight)
-    width = F.unwrap_udt(F.col("features"))["size"]
+    vector = F.unwrap_udt(F.col("features"))
+    # dense vectors carry no size of their own
+    width = F.coalesce(vector["size"], F.size(vector["values"]))
     n_features = len(vocabulary.terms) if vocabulary else data.select(width).first()[0]
     svc = model_type == "linear_svc"
     coefficients, intercept, steps = linear_fit.fit(
