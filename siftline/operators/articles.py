@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from siftline.functions import labels as lb
 from siftline.functions.text import contains_text
-from siftline.operators.ranking import dense_ids, max_id
+from siftline.operators.ranking import dense_ids, max_id, page_of
 from siftline.schemas import ARTICLE_COLUMNS
 
 
+_NEWEST = [F.desc("date_extracted"), F.asc("id")]
+
+
 def _last_per_key(df: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
     """The row with the largest ``seq`` per key.
 
@@ -69,7 +72,7 @@ def upsert_articles(
     numbered = dense_ids(rows, seq, start=max_id(existing))
     payload = [c for c in ARTICLE_COLUMNS if c != "url"]
     latest = _last_per_key(numbered, "url", seq, payload).select(*ARTICLE_COLUMNS)
-    kept = existing.select(*ARTICLE_COLUMNS).join(latest.select("url"), "url", "left_anti")
+    kept = existing.select(*ARTICLE_COLUMNS).join(rows.select("url"), "url", "left_anti")
     merged = kept.select(*ARTICLE_COLUMNS).unionByName(latest)
     return merged, rows.agg(F.count(F.lit(1)).alias("added"))
 
@@ -138,8 +141,7 @@ def load_articles(
         out = out.filter(lb.is_labeled(F.col("labels")))
         if only_relevant:
             out = out.filter(lb.is_relevant_json(F.col("labels")))
-    out = out.orderBy("id")
-    return out.limit(limit) if limit else out
+    return page_of(df, out, [F.col("id")], limit) if limit else out.orderBy("id")
 
 
 def load_labeled_data(articles: DataFrame | None, fallback: DataFrame | None) -> DataFrame:
@@ -183,8 +185,7 @@ def search_articles(
 ) -> DataFrame:
     """Q1: filtered articles, newest first, one page (top-k, no full sort)."""
     hits = _matching(df, domain, start_date, end_date, content_filter)
-    ordered = hits.orderBy(F.desc("date_extracted"), "id")
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    return page_of(df, hits, _NEWEST, limit, offset, ("date_extracted",))
 
 
 def count_articles(
@@ -206,7 +207,7 @@ def labeling_queue(df: DataFrame, labeled_ids: DataFrame | None = None, batch: i
     """Q4: newest unlabelled articles; ids done in this session are removed
     after the limit, so a batch may come out short."""
     unlabeled = F.col("labels").isNull() | F.col("labels").isin("{}", "")
-    queue = df.filter(unlabeled).orderBy(F.desc("date_extracted"), "id").limit(batch)
+    queue = page_of(df, df.filter(unlabeled), _NEWEST, batch, columns=("date_extracted",))
     if labeled_ids is None:
         return queue
     return queue.join(labeled_ids.select("id"), "id", "left_anti")

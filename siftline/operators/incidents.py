@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from siftline.functions.dates import format_datetime
 from siftline.functions.text import contains_text, truncate_words
-from siftline.operators.ranking import dense_ids, max_id
+from siftline.operators.ranking import dense_ids, max_id, page_of
 from siftline.schemas import INCIDENT_COLUMNS
+from siftline.session import cut_lineage
 
 
 def _stamp(now: str) -> Column:
@@ -64,7 +65,10 @@ def create_incidents(
     ``tags array<string>``.  No uniqueness on the reference: the same page twice
     gives two incidents.  Returns incidents, tags and link rows.
     """
-    numbered = dense_ids(incoming.filter(F.col("title").isNotNull()), seq, max_id(incidents))
+    # stored once: three tables are made from it and must agree on the ids
+    numbered = cut_lineage(
+        dense_ids(incoming.filter(F.col("title").isNotNull()), seq, max_id(incidents)), "incidents"
+    )
     at = _stamp(now)
     rows = numbered.select(
         "id", "title", "description", "source_id", "source_reference",
@@ -190,15 +194,11 @@ def list_incidents(
     if page < 1 or not 1 <= per_page <= 100:
         raise ValueError("page must be >= 1 and per_page between 1 and 100")
     hits = filter_incidents(incidents, tags, links, source_id, tag_name)
-    order = [F.desc("created_at"), F.col("id")]
-    narrow = hits.select("id", "created_at").orderBy(*order)
-    skipped = narrow.offset((page - 1) * per_page) if page > 1 else narrow
+    order = [F.desc("created_at"), F.asc("id")]
+    rows = page_of(incidents, hits, order, per_page, (page - 1) * per_page, ("created_at",))
     # at most per_page (100) ids
-    ids = skipped.limit(per_page).select("id")
-    rows = incidents.join(F.broadcast(ids), "id", "left_semi")
-    page_links = links.join(
-        F.broadcast(ids.withColumnRenamed("id", "incident_id")), "incident_id", "left_semi"
-    )
+    ids = rows.select(F.col("id").alias("incident_id"))
+    page_links = links.join(F.broadcast(ids), "incident_id", "left_semi")
     items = incident_view(rows, sources, tags, page_links).orderBy(*order)
     total = hits.agg(F.count(F.lit(1)).alias("total"))
     info = total.select(
@@ -233,9 +233,8 @@ def search_incidents(incidents: DataFrame, sources: DataFrame, q: str, limit: in
         | contains_text(F.col("description"), q)
         | contains_text(F.col("source_name"), q)
     )
-    return (
-        named.filter(hit).orderBy("id").limit(limit).select("id", "title", "description", "source_name")
-    )
+    page = page_of(named, named.filter(hit), [F.asc("id")], limit)
+    return page.select("id", "title", "description", "source_name")
 
 
 def list_sources(sources: DataFrame) -> DataFrame:

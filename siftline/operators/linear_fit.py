@@ -117,8 +117,10 @@ def minimize(objective: Callable, start: np.ndarray, max_iter: int, tol: float,
             if new_value <= value + 1e-4 * rate * downhill:
                 break
             rate /= 2
-            if rate < 1e-10:
+            if rate < 1e-4:
                 return x, step
+        if value - new_value <= 1e-12 * max(1.0, abs(value)):
+            return nxt, step + 1
         s, y = nxt - x, new_grad - grad
         if s @ y > 1e-12:
             history = (history + [(s, y)])[-memory:]

@@ -16,7 +16,7 @@ from siftline.session import cut_lineage
 
 MODEL_TYPES = ("logistic_regression", "linear_svc")
 # accepted parameters with their defaults
-MODEL_PARAMS = {"C": 1.0, "max_iter": 200, "tol": 1e-5, "fit_intercept": True, "class_weight": None}
+MODEL_PARAMS = {"C": 1.0, "max_iter": 200, "tol": 1e-4, "fit_intercept": True, "class_weight": None}
 
 
 @dataclass

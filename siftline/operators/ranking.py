@@ -36,6 +36,30 @@ def dense_ids(
     )
 
 
+# pages up to this size are merged by one task straight away
+SMALL_PAGE = 1_000
+MERGERS = 256
+
+
+def page_of(base: DataFrame, hits: DataFrame, order: list[Column], limit: int, offset: int = 0,
+            columns: tuple[str, ...] = ()) -> DataFrame:
+    """``limit`` rows of ``base`` after ``offset``, in an order that ends with the id.
+
+    ``hits`` are the rows of ``base`` that qualify.  The page is found on the
+    order ``columns`` and the id alone, so every task sends its best candidates as
+    a few bytes per row; the whole rows are then picked by id.  Candidates of a
+    large page are merged in two steps, spread over many tasks.
+    """
+    narrow = hits.select("id", *columns)
+    if limit + offset > SMALL_PAGE:
+        group = F.pmod(F.xxhash64("id"), F.lit(MERGERS))
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        narrow = narrow.withColumn("_rank", rank).filter(F.col("_rank") <= limit + offset)
+    ordered = narrow.orderBy(*order)
+    ids = (ordered.offset(offset) if offset else ordered).limit(limit).select("id")
+    return base.join(ids, "id", "left_semi").select(*base.columns).orderBy(*order)
+
+
 def max_id(df: DataFrame, col: str = "id") -> Column:
     """Largest id of a table as a scalar subquery, 0 when empty."""
     return df.select(F.coalesce(F.max(col), F.lit(0)).cast("bigint")).scalar()

@@ -69,7 +69,8 @@ def store_incidents(
     links: DataFrame, now: str, seq: str = "seq",
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Relevant outcomes into the tables: source, incident, ``auto-extracted`` tag."""
-    incoming = incoming_incidents(outcomes, seq)
+    # stored once, so that pages are parsed and scored a single time
+    incoming = cut_lineage(incoming_incidents(outcomes, seq), "incoming")
     all_sources = get_or_create_sources(
         sources, incoming.withColumnRenamed("source_reference", "url"), now, "domain", seq
     )
