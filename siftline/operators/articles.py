@@ -11,7 +11,8 @@ from siftline.operators.ranking import dense_ids, max_id, page_of
 from siftline.schemas import ARTICLE_COLUMNS
 
 
-_NEWEST = [F.desc("date_extracted"), F.asc("id")]
+def _newest() -> list[Column]:
+    return [F.desc("date_extracted"), F.asc("id")]
 
 
 def _last_per_key(df: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
@@ -185,7 +186,7 @@ def search_articles(
 ) -> DataFrame:
     """Q1: filtered articles, newest first, one page (top-k, no full sort)."""
     hits = _matching(df, domain, start_date, end_date, content_filter)
-    return page_of(df, hits, _NEWEST, limit, offset, ("date_extracted",))
+    return page_of(df, hits, _newest(), limit, offset, ("date_extracted",))
 
 
 def count_articles(
@@ -207,7 +208,7 @@ def labeling_queue(df: DataFrame, labeled_ids: DataFrame | None = None, batch: i
     """Q4: newest unlabelled articles; ids done in this session are removed
     after the limit, so a batch may come out short."""
     unlabeled = F.col("labels").isNull() | F.col("labels").isin("{}", "")
-    queue = page_of(df, df.filter(unlabeled), _NEWEST, batch, columns=("date_extracted",))
+    queue = page_of(df, df.filter(unlabeled), _newest(), batch, columns=("date_extracted",))
     if labeled_ids is None:
         return queue
     return queue.join(labeled_ids.select("id"), "id", "left_anti")

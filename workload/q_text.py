@@ -50,17 +50,16 @@ def _docs(spark, sf):
     return tb.documents(spark, sf)
 
 
-C = F.col("content")
 
 
 @query("T1_lower", "SELECT doc_id AS id, lower(coalesce(text, '')) AS out FROM documents")
 def _(spark, sf):
-    return _docs(spark, sf).select("id", tx.lower_text(C).alias("out"))
+    return _docs(spark, sf).select("id", tx.lower_text(F.col("content")).alias("out"))
 
 
 @query("T2_strip_urls", f"SELECT doc_id AS id, {sql_urls('text')} AS out FROM documents")
 def _(spark, sf):
-    return _docs(spark, sf).select("id", tx.strip_urls(C).alias("out"))
+    return _docs(spark, sf).select("id", tx.strip_urls(F.col("content")).alias("out"))
 
 
 # stored article urls inside text, so that there is something to remove
@@ -76,7 +75,7 @@ def _(spark, sf):
 
 @query("T3_strip_emails", f"SELECT doc_id AS id, {sql_emails('text')} AS out FROM documents")
 def _(spark, sf):
-    return _docs(spark, sf).select("id", tx.strip_emails(C).alias("out"))
+    return _docs(spark, sf).select("id", tx.strip_emails(F.col("content")).alias("out"))
 
 
 @query("T4_strip_paths", f"SELECT page_id AS id, {sql_paths('url')} AS out FROM pages")
@@ -88,7 +87,7 @@ def _(spark, sf):
 
 @query("T5_strip_numbers", f"SELECT doc_id AS id, {sql_numbers('text')} AS out FROM documents")
 def _(spark, sf):
-    return _docs(spark, sf).select("id", tx.strip_numbers(C).alias("out"))
+    return _docs(spark, sf).select("id", tx.strip_numbers(F.col("content")).alias("out"))
 
 
 @query(
@@ -96,7 +95,7 @@ def _(spark, sf):
     r"SELECT doc_id AS id, regexp_replace(text, '[^a-zA-Z0-9 ]+', ' ', 'g') AS out FROM documents",
 )
 def _(spark, sf):
-    return _docs(spark, sf).select("id", tx.strip_symbols(C).alias("out"))
+    return _docs(spark, sf).select("id", tx.strip_symbols(F.col("content")).alias("out"))
 
 
 @query(
@@ -106,13 +105,13 @@ def _(spark, sf):
         lambda w: length(w) >= 3 AND w NOT IN ({STOP_SQL})), '|') AS out FROM documents""",
 )
 def _(spark, sf):
-    words = tx.keep_words(F.lower(C), min_word_length=3)
+    words = tx.keep_words(F.lower(F.col("content")), min_word_length=3)
     return _docs(spark, sf).select("id", F.array_join(words, "|").alias("out"))
 
 
 @query("T8_preprocess", f"SELECT doc_id AS id, array_to_string({sql_tokens()}, ' ') AS clean FROM documents")
 def _(spark, sf):
-    return _docs(spark, sf).select("id", tx.preprocess(C).alias("clean"))
+    return _docs(spark, sf).select("id", tx.preprocess(F.col("content")).alias("clean"))
 
 
 @query(
@@ -125,7 +124,7 @@ def _(spark, sf):
         remove_stopwords=False, min_word_length=1, remove_numbers=False, remove_urls=False,
         remove_emails=False,
     )
-    return _docs(spark, sf).select("id", tx.preprocess(C, **flags).alias("clean"))
+    return _docs(spark, sf).select("id", tx.preprocess(F.col("content"), **flags).alias("clean"))
 
 
 @query(
@@ -135,7 +134,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     t = F.col("t")
-    return _docs(spark, sf).select("id", tx.tokenize(C).alias("t")).select(
+    return _docs(spark, sf).select("id", tx.tokenize(F.col("content")).alias("t")).select(
         "id",
         F.size(t).cast("bigint").alias("n_tokens"),
         F.element_at(t, 1).alias("first_token"),
@@ -162,7 +161,7 @@ def _(spark, sf):
     + " FROM documents",
 )
 def _(spark, sf):
-    return _docs(spark, sf).select("id", *[tx.preview(C, n).alias(f"p{n}") for n in (80, 200, 500, 1000)])
+    return _docs(spark, sf).select("id", *[tx.preview(F.col("content"), n).alias(f"p{n}") for n in (80, 200, 500, 1000)])
 
 
 @query(
@@ -173,7 +172,7 @@ def _(spark, sf):
         FROM documents""",
 )
 def _(spark, sf):
-    return _docs(spark, sf).select("id", tx.truncate_words(C).alias("out"))
+    return _docs(spark, sf).select("id", tx.truncate_words(F.col("content")).alias("out"))
 
 
 @query(
@@ -207,7 +206,7 @@ def _(spark, sf):
           lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), chr(10)) AS out FROM documents""",
 )
 def _(spark, sf):
-    return _docs(spark, sf).select("id", tx.clean_whitespace(C).alias("out"))
+    return _docs(spark, sf).select("id", tx.clean_whitespace(F.col("content")).alias("out"))
 
 
 @query("X9_domain", "SELECT page_id AS id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain FROM pages")
