@@ -11,10 +11,6 @@ from siftline.operators.ranking import dense_ids, max_id, page_of
 from siftline.schemas import ARTICLE_COLUMNS
 
 
-def _newest() -> list[Column]:
-    return [F.desc("date_extracted"), F.asc("id")]
-
-
 def _last_per_key(df: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
     """The row with the largest ``seq`` per key.
 
@@ -142,7 +138,7 @@ def load_articles(
         out = out.filter(lb.is_labeled(F.col("labels")))
         if only_relevant:
             out = out.filter(lb.is_relevant_json(F.col("labels")))
-    return page_of(df, out, [F.col("id")], limit) if limit else out.orderBy("id")
+    return page_of(df, out, limit=limit) if limit else out.orderBy("id")
 
 
 def load_labeled_data(articles: DataFrame | None, fallback: DataFrame | None) -> DataFrame:
@@ -185,8 +181,9 @@ def search_articles(
     offset: int = 0,
 ) -> DataFrame:
     """Q1: filtered articles, newest first, one page (top-k, no full sort)."""
-    hits = _matching(df, domain, start_date, end_date, content_filter)
-    return page_of(df, hits, _newest(), limit, offset, ("date_extracted",))
+    base = _matching(df, domain, start_date, end_date, None)
+    hits = _matching(base, None, None, None, content_filter)
+    return page_of(base, hits, "date_extracted", True, limit, offset)
 
 
 def count_articles(
@@ -208,7 +205,7 @@ def labeling_queue(df: DataFrame, labeled_ids: DataFrame | None = None, batch: i
     """Q4: newest unlabelled articles; ids done in this session are removed
     after the limit, so a batch may come out short."""
     unlabeled = F.col("labels").isNull() | F.col("labels").isin("{}", "")
-    queue = page_of(df, df.filter(unlabeled), _newest(), batch, columns=("date_extracted",))
+    queue = page_of(df, df.filter(unlabeled), "date_extracted", True, batch)
     if labeled_ids is None:
         return queue
     return queue.join(labeled_ids.select("id"), "id", "left_anti")

@@ -19,7 +19,11 @@ _PARSED = (
 def _parse_row(url: str, html: str | None, want: frozenset, min_length: int) -> tuple:
     if not html:
         return "", "", None, None, []
-    page = dom.Page(html)
+    try:
+        page = dom.Page(html)
+    except (AssertionError, ValueError):
+        # markup the parser rejects counts as an empty page
+        return "", "", None, None, []
     title = dom.title_of(page) if "title" in want else ""
     date = dom.publish_date_of(page) if "publish_date" in want else None
     head = next((page.text_of(i).strip() for i in page.elements("title")), None)

@@ -194,12 +194,12 @@ def list_incidents(
     if page < 1 or not 1 <= per_page <= 100:
         raise ValueError("page must be >= 1 and per_page between 1 and 100")
     hits = filter_incidents(incidents, tags, links, source_id, tag_name)
-    order = [F.desc("created_at"), F.asc("id")]
-    rows = page_of(incidents, hits, order, per_page, (page - 1) * per_page, ("created_at",))
+    rows = page_of(incidents, hits, "created_at", True, per_page, (page - 1) * per_page)
     # at most per_page (100) ids
     ids = rows.select(F.col("id").alias("incident_id"))
     page_links = links.join(F.broadcast(ids), "incident_id", "left_semi")
-    items = incident_view(rows, sources, tags, page_links).orderBy(*order)
+    view = incident_view(rows, sources, tags, page_links)
+    items = view.orderBy(F.desc("created_at"), "id")
     total = hits.agg(F.count(F.lit(1)).alias("total"))
     info = total.select(
         "total",
@@ -233,7 +233,7 @@ def search_incidents(incidents: DataFrame, sources: DataFrame, q: str, limit: in
         | contains_text(F.col("description"), q)
         | contains_text(F.col("source_name"), q)
     )
-    page = page_of(named, named.filter(hit), [F.asc("id")], limit)
+    page = page_of(named, named.filter(hit), limit=limit)
     return page.select("id", "title", "description", "source_name")
 
 

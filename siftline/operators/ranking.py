@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.session import cut_lineage
+
 # Rows that share one bucket of a unique integer order number: at most 2**17.
 BUCKET_BITS = 17
 
@@ -39,25 +41,42 @@ def dense_ids(
 # pages up to this size are merged by one task straight away
 SMALL_PAGE = 1_000
 MERGERS = 256
+# keys of pages up to this size pass through the driver, larger ones through a table
+COLLECTED_PAGE = 10_000
 
 
-def page_of(base: DataFrame, hits: DataFrame, order: list[Column], limit: int, offset: int = 0,
-            columns: tuple[str, ...] = ()) -> DataFrame:
-    """``limit`` rows of ``base`` after ``offset``, in an order that ends with the id.
+def page_of(
+    base: DataFrame, hits: DataFrame, by: str = "id", descending: bool = False, limit: int = 100,
+    offset: int = 0,
+) -> DataFrame:
+    """``limit`` rows of ``base`` after ``offset``, ordered by ``by`` and then id.
 
-    ``hits`` are the rows of ``base`` that qualify.  The page is found on the
-    order ``columns`` and the id alone, so every task sends its best candidates as
-    a few bytes per row; the whole rows are then picked by id.  Candidates of a
-    large page are merged in two steps, spread over many tasks.
+    ``hits`` are the rows of ``base`` that qualify.  The page is found first, on
+    the order column and the id alone, so every task sends its best candidates as a
+    few bytes per row; candidates of a large page are merged in two steps, spread
+    over many tasks.  The whole rows are then read by id, within the page's value
+    range, which lets the scan skip most of a stored table.
     """
-    narrow = hits.select("id", *columns)
+    order = [F.desc(by) if descending else F.asc(by)] + ([F.asc("id")] if by != "id" else [])
+    narrow = hits.select(F.col("id"), F.col(by).alias(by)) if by != "id" else hits.select("id")
     if limit + offset > SMALL_PAGE:
         group = F.pmod(F.xxhash64("id"), F.lit(MERGERS))
         rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
         narrow = narrow.withColumn("_rank", rank).filter(F.col("_rank") <= limit + offset)
     ordered = narrow.orderBy(*order)
-    ids = (ordered.offset(offset) if offset else ordered).limit(limit).select("id")
-    return base.join(ids, "id", "left_semi").select(*base.columns).orderBy(*order)
+    page = (ordered.offset(offset) if offset else ordered).limit(limit).select("id", F.col(by).alias("by"))
+    if limit <= COLLECTED_PAGE:
+        page = base.sparkSession.createDataFrame(page.collect(), page.schema)
+    else:
+        page = cut_lineage(page, "page")
+    low, high, low_id, high_id, blank = page.agg(
+        F.min("by"), F.max("by"), F.min("id"), F.max("id"), F.count_if(F.col("by").isNull())
+    ).first()
+    near = F.col(by).between(low, high)
+    if blank:
+        near = near | F.col(by).isNull()
+    rows = base.filter(F.col("id").between(low_id, high_id) & near)
+    return rows.join(page.select("id"), "id", "left_semi").select(*base.columns).orderBy(*order)
 
 
 def max_id(df: DataFrame, col: str = "id") -> Column:

@@ -96,6 +96,7 @@ def test_extract_job(spark):
     pages = spark.createDataFrame([
         ("https://h.org:8/x", f"<title>T | s</title><div class=content>{LONG}</div><a href=/l>l</a><a href=mailto:x>m</a>", 0, 200, None),
         ("https://e.org/", None, 0, 404, None),
+        ("https://r.org/", "<![foo[ <p>rejected", 0, 200, None),
     ], "url string, html string, depth int, status int, fetched_at timestamp")
     rows = {r.url: r for r in ex.extract_articles(pages, "now").collect()}
     a = rows["https://h.org:8/x"]
@@ -103,6 +104,6 @@ def test_extract_job(spark):
     e = rows["https://e.org/"]
     assert (e.title, e.content, e.metadata.publish_date, e.metadata.domain) == ("", "", None, "e.org")
     assert [(r.pos, r.link) for r in ex.extract_links(pages).collect()] == [(0, "https://h.org:8/l")]
-    assert tuple(ex.crawl_summary(pages, ex.extract_articles(pages, "now")).first()) == (2, 1, 1, 1)
+    assert tuple(ex.crawl_summary(pages, ex.extract_articles(pages, "now")).first()) == (3, 2, 1, 1)
     summary = {r.url: r for r in ex.summary_rows(pages, ex.parse_pages(pages, [])).collect()}
     assert summary["https://e.org/"].has_content is False and summary["https://e.org/"].title is None
