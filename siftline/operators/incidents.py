@@ -199,7 +199,7 @@ def list_incidents(
     ids = rows.select(F.col("id").alias("incident_id"))
     page_links = links.join(F.broadcast(ids), "incident_id", "left_semi")
     view = incident_view(rows, sources, tags, page_links)
-    items = view.orderBy(F.desc("created_at"), "id")
+    items = view.orderBy(F.desc("created_at"), "id").limit(per_page)
     total = hits.agg(F.count(F.lit(1)).alias("total"))
     info = total.select(
         "total",

@@ -76,7 +76,9 @@ def page_of(
     if blank:
         near = near | F.col(by).isNull()
     rows = base.filter(F.col("id").between(low_id, high_id) & near)
-    return rows.join(page.select("id"), "id", "left_semi").select(*base.columns).orderBy(*order)
+    picked = rows.join(page.select("id"), "id", "left_semi").select(*base.columns)
+    # no more rows than this are left; with a limit they are ordered without sampling first
+    return picked.orderBy(*order).limit(limit)
 
 
 def max_id(df: DataFrame, col: str = "id") -> Column:
