@@ -126,6 +126,6 @@ def admit(
     )
     return (
         first.join(seen.withColumnRenamed("link", "url"), "url", "left_anti")
-        .orderBy("priority", "pos")
+        .orderBy("priority", "pos", "url")
         .limit(free)
     )

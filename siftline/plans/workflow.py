@@ -90,7 +90,7 @@ def _admit_level(max_queue_size: int):
     """
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["parent", "priority", "pos"], kind="stable")
+        batch = batch.sort_values(["parent", "priority", "pos", "link"])
         admitted = int(batch["admitted"].iloc[0])
         taken: dict[str, tuple[int, int]] = {}
         for parent, link in zip(batch["parent"], batch["link"]):
