@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import mixing, quality
+from siftline.llm import bpe, mixing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +17,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -34,3 +38,17 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_mix_sources", mixing.ORACLE_SQL)
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf, "documents")).select(*mixing.OUTPUT)
+
+
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts before and after three edits of every document."""
+    docs = table(spark, sf, "documents")
+    edited = docs.select("doc_id", "text", token_counts.sample_edits(docs["text"], docs["doc_id"]).alias("edits"))
+    trees = token_counts.build_trees(edited, RANKS, public_tokenizers.PATTERN, keep=("edits",))
+    return token_counts.edit_trees(trees, RANKS, public_tokenizers.PATTERN)
