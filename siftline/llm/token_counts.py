@@ -19,6 +19,8 @@ from siftline.llm.bpe import WordCoder
 
 #: Leaves read after an edit at first; doubled until the split falls back onto an old boundary.
 LOOK_AHEAD = 8
+#: Code points before an edit that are split again at least.
+CONTEXT = 3
 
 
 class PieceTree:
@@ -68,12 +70,13 @@ class PieceTree:
         cut = min(max(cut, 0), total - at)
         a, head = self.find(at)
         b, tail = self.find(at + cut)
-        first = a
-        while first > 0:
+        # the split before a leaf is settled by the text up to its first other character than
+        # white space, and by two more characters where a contraction may begin
+        first, context = a, ""
+        while first > 0 and (len(context) < CONTEXT or context.isspace()):
             first -= 1
-            if self.leaf(first).strip():
-                break
-        before = "".join(self.leaf(i) for i in range(first, a)) + (self.leaf(a)[:head] if head else "") + put
+            context = self.leaf(first) + context
+        before = context + (self.leaf(a)[:head] if head else "") + put
         # the rest starts inside leaf b, or at its start, where an old boundary is
         window, ends = before, {len(before): b} if not tail else {}
         upto = b
