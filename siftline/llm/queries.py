@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, mixing, quality, token_counts
+from siftline.llm import bpe, mixing, ngram_join, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     edited = docs.select("doc_id", "text", token_counts.sample_edits(docs["text"], docs["doc_id"]).alias("edits"))
     trees = token_counts.build_trees(edited, RANKS, public_tokenizers.PATTERN, keep=("edits",))
     return token_counts.edit_trees(trees, RANKS, public_tokenizers.PATTERN)
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
