@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, mixing, ngram_join, quality, token_counts
+from siftline.llm import bpe, mixing, ngram_join, nn_descent, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query("op9_nn_descent")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return nn_descent.search_table(table(spark, sf, "embeddings"))
