@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, mixing, ngram_join, nn_descent, quality, token_counts
+from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, quality, site_tree, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,13 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_nn_descent")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return nn_descent.search_table(table(spark, sf, "embeddings"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.predict_languages(table(spark, sf, "documents"))
+
+
+@query("op5_site_tree")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return site_tree.extract_text(table(spark, sf, "pages"))
