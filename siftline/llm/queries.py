@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, quality, site_tree, token_counts
+from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, quality, site_tree, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_site_tree")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return site_tree.extract_text(table(spark, sf, "pages"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf, "documents"))
