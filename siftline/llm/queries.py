@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, quality, site_tree, suffix_dedup, token_counts
+from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, preferences, quality, site_tree, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,10 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_suffix_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(table(spark, sf, "documents"))
+
+
+@query("op8_preferences", preferences.ORACLE_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations, paired with one that opens alike where there is one."""
+    convs = preferences.conversations(table(spark, sf, "conversations"))
+    return preferences.format_preferences(preferences.pair_up(convs), convs)
