@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     lost executor costs one step.  Nodes without links do not appear.  Nulls are ignored.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    edges = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = cut_lineage(edges.mapInArrow(_local_forest, "u bigint, v bigint").distinct(), "links")
     state = _state(edges)
     while state[0]:
         edges = cut_lineage(_small_star(_large_star(edges)), "star")
@@ -42,6 +46,39 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+class Forest:
+    """Sets of numbers that can be joined."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        path = []
+        while (up := self.above.get(x, x)) != x:
+            path.append(x)
+            x = up
+        for y in path:
+            self.above[y] = x
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Join the sets of both; false if they were one."""
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.above[max(x, y)] = min(x, y)
+        return True
+
+
+def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task that join something new: a dense group leaves no more than its nodes."""
+    forest = Forest()
+    for batch in batches:
+        edges = [(u, v) for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()) if forest.join(u, v)]
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["u", "v"])
+
+
 def _state(edges: DataFrame) -> tuple:
     """Number of edges and a sum that tells one edge set from another."""
     mixed = F.xxhash64("u", "v")

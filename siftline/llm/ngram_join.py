@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import components
+from siftline.llm.common import Forest, components
 from siftline.llm.shingles import blocks, set_hash, shingle_sets
 from siftline.session import cut_lineage
 
@@ -29,6 +29,9 @@ BUCKET_BITS = 17
 FRAGMENTS = 8
 #: Bits of the filter that picks the candidates' texts; false hits are dropped by the join.
 FILTER_BITS = 23
+#: Sets in a block of a group of candidates, and in a shard of tiles, about.
+TILE_NODES = 256
+SHARD_NODES = 1_000
 
 
 def _bucket(grams: np.ndarray) -> np.ndarray:
@@ -161,18 +164,54 @@ def segments(docs: DataFrame, fragment, wanted, width: int, text: str) -> DataFr
     return rows.groupBy("node", "frag").agg(F.first("grams").alias("grams"))
 
 
+def _tiles(pairs: DataFrame) -> DataFrame:
+    """Add to each pair its ``shard``: pairs of one group of candidates meet in few shards.
+
+    Candidates that pairs connect are a group; its nodes are dealt into blocks of about
+    TILE_NODES, and a tile holds the pairs between two blocks.  So a set travels once per
+    block of its group, not once per pair.  Whole tiles share a shard.
+    """
+    groups = components(pairs)
+    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    placed = groups.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE_NODES)).alias("block"))
+    at = lambda side: placed.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"), F.col("block").alias(f"{side}_block"))
+    tiled = pairs.join(at("a"), "a").join(at("b"), "b")
+    shards = max(1, groups.count() // SHARD_NODES)
+    tile = F.xxhash64("a_root", F.least("a_block", "b_block"), F.greatest("a_block", "b_block"))
+    return tiled.select("a", "b", "na", "nb", F.pmod(tile, F.lit(shards)).alias("shard"))
+
+
+def _check_pairs(percent: int):
+    def check(pairs: pa.Table, parts: pa.Table) -> pa.Table:
+        """Sum the overlaps of each pair over the fragments; keep what joins linked sets."""
+        sets: dict[int, dict[int, np.ndarray]] = {}
+        for node, frag, grams in zip(parts.column("node").to_pylist(), parts.column("frag").to_pylist(), parts.column("grams")):
+            sets.setdefault(node, {})[frag] = grams.values.to_numpy()
+        forest, joined, links = Forest(), [], {}
+        for a, b, na, nb in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "na", "nb"))):
+            left, right = sets.get(a, {}), sets.get(b, {})
+            overlap = sum(len(np.intersect1d(grams, right[frag], assume_unique=True)) for frag, grams in left.items() if frag in right)
+            if overlap * 100 >= (na + nb - overlap) * percent:
+                links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+                if forest.join(a, b):
+                    joined.append((a, b, 0))
+        rows = joined + [(node, None, n) for node, n in links.items()]
+        return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "n"])
+
+    return check
+
+
 def linked_sets(docs: DataFrame, summary: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """(a, b, overlap): pairs of different shingle sets with the similarity."""
+    """(a, b, n): links that connect all shingle sets of the similarity, with n = 0; and rows
+    with ``b`` null that count ``n`` links of ``a``, to be summed."""
     send = docs.sparkSession.sparkContext.broadcast
     rank, fragment = map(send, global_order(summary))
     pairs = cut_lineage(candidate_pairs(prefix_rows(docs, rank, width, percent, text), percent), "pairs")
     parts = cut_lineage(segments(docs, fragment, send(_node_filter(pairs)), width, text), "segments")
-    cut = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("frag"))
-    left = parts.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = parts.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
-    partial = cut.join(left, ["a", "frag"]).join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("n"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("overlap"))
-    return total.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b", "overlap")
+    tiled = cut_lineage(_tiles(pairs), "tiles")
+    needed = tiled.select(F.col("shard").alias("at"), F.col("a").alias("node")).union(tiled.select(F.col("shard").alias("at"), F.col("b").alias("node"))).distinct()
+    sent = needed.join(parts, "node").select("at", "node", "frag", "grams")
+    return tiled.groupBy("shard").cogroup(sent.groupBy("at")).applyInArrow(_check_pairs(percent), "a bigint, b bigint, n bigint")
 
 
 def jaccard_components(
@@ -190,10 +229,10 @@ def jaccard_components(
     keys = ("doc_id", "row") if row else ("doc_id",)
     summary = cut_lineage(shingle_summary(held, width, "text", keys), "shingles")
     links = cut_lineage(linked_sets(held, summary, width, percent, "text"), "set-links")
-    both = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    both = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     rows = summary.where("bucket is null")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(components(links), "node", "left").join(both, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = nodes.join(components(links.where("b is not null")), "node", "left").join(both, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "root").select("node", "root", "component_id", "n_links")
     return rows.join(named, "node", "left").select(
