@@ -24,6 +24,20 @@ def array_total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def with_text(held: DataFrame, docs: DataFrame, text: str, value: Column, n_chars: str) -> DataFrame:
+    """The columns of ``docs``, packed in ``doc`` of ``held``, with a new text.
+
+    ``n_chars``, where there is such a column, follows the text.  Packing keeps helper
+    columns apart from any names in ``docs``.
+    """
+    out = held.select("doc", value.alias("value"))
+    fields = [
+        F.col("value") if c == text else F.char_length("value").cast(docs.schema[c].dataType) if c == n_chars else F.col("doc")[c]
+        for c in docs.columns
+    ]
+    return out.select(*(f.alias(c) for f, c in zip(fields, docs.columns)))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of the connected components of undirected ``links``.
 

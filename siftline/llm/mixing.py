@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import SPACE_RUN, array_total, words_of
+from siftline.llm.common import SPACE_RUN, array_total, with_text, words_of
 from siftline.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -131,20 +131,17 @@ def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_i
     the blocks taken at least that often, white space between words as it was.  A
     document of which all blocks are taken keeps its text unchanged.
     """
-    held = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-in")
-    mix = mix_sources(held, text, source, doc_id, row="_row", **sizes).where("taken > 0").select(
-        F.col("row").alias("_row"), F.col("pieces").alias("_p"),
-        F.explode(F.sequence(F.lit(1), F.array_max(F.transform("pieces", lambda p: p["times"])).cast("int"))).alias("_n"),
-    )
-    out = held.join(mix, "_row")
-    flags = F.flatten(F.transform("_p", lambda p: F.array_repeat(p["times"] >= F.col("_n"), p["words"].cast("int"))))
-    out = out.withColumn("_f", flags)
-    words = F.regexp_extract_all(F.col(text), F.lit(f"{SPACE_RUN[:-1]}*[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    cut = F.array_join(F.filter(words, lambda w, k: F.get("_f", k)), "")
-    out = out.withColumn(text, F.when(F.forall("_f", lambda f: f), F.col(text)).otherwise(F.regexp_replace(cut, f"^{SPACE_RUN}", "")))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
-    return out.select(*docs.columns)
+    held = cut_lineage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-in")
+    view = held.select("row", *(F.col("doc")[c].alias(n) for c, n in ((text, "text"), (source, "source"), (doc_id, "doc_id"))))
+    most = F.array_max(F.transform("pieces", lambda p: p["times"])).cast("int")
+    mix = mix_sources(view, row="row", **sizes).where("taken > 0").select("row", "pieces", F.explode(F.sequence(F.lit(1), most)).alias("copy"))
+    out = held.join(mix, "row")
+    taken = F.flatten(F.transform("pieces", lambda p: F.array_repeat(p["times"] >= F.col("copy"), p["words"].cast("int"))))
+    out = out.withColumn("taken", taken)
+    whole = F.col("doc")[text]
+    words = F.regexp_extract_all(whole, F.lit(f"{SPACE_RUN[:-1]}*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    cut = F.regexp_replace(F.array_join(F.filter(words, lambda w, k: F.get("taken", k)), ""), f"^{SPACE_RUN}", "")
+    return with_text(out, docs, text, F.when(F.forall("taken", lambda t: t), whole).otherwise(cut), n_chars)
 
 
 ORACLE_SQL = f"""

@@ -246,8 +246,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **limi
 
     Documents with empty sets all stay.
     """
-    held = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "join-in")
-    found = jaccard_components(held, text=text, doc_id=doc_id, row="_row", **limits)
-    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("k")).select(F.col("k.row").alias("_row"))
-    kept = first.union(found.where("root is null").select(F.col("row").alias("_row")))
-    return held.join(kept, "_row", "left_semi").select(*docs.columns)
+    held = cut_lineage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "join-in")
+    view = held.select("row", F.col("doc")[doc_id].alias("doc_id"), F.col("doc")[text].alias("text"))
+    found = jaccard_components(view, row="row", **limits)
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("k")).select(F.col("k.row").alias("row"))
+    kept = first.union(found.where("root is null").select("row"))
+    return held.join(kept, "row", "left_semi").select("doc.*")

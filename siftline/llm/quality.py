@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import WORD, array_total, words_of
+from siftline.llm.common import WORD, array_total, with_text, words_of
 from siftline.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
@@ -128,16 +128,11 @@ def apply_quality_rules(docs: DataFrame, text: str = "text", host: str = "source
     ``n_chars``, where such a column exists, follows the new text.
     """
     verdict = quality_rules(docs, text, host, **limits).where("kept").select(*KEY, "removed").dropDuplicates(KEY)
-    keyed = docs.select("*", *(c.alias(f"_{n}") for c, n in zip(_key(F.col(host), F.col(text)), KEY)))
-    marks = verdict.select(*(F.col(n).alias(f"_{n}") for n in KEY), F.col("removed").alias("_removed"))
-    lines = F.split(text, "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("_removed", F.get("_line", i)), F.lit(False))), "\n")
-    out = keyed.join(marks, [f"_{n}" for n in KEY]).withColumn(
-        "_line", F.when(F.col("_removed").isNotNull(), F.transform(line_hashes(lines), lambda x: x["line"]))
-    ).withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(left))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
-    return out.select(*docs.columns)
+    held = docs.select(F.struct("*").alias("doc"), *_key(F.col(host), F.col(text))).join(verdict, KEY)
+    lines = F.split(F.col("doc")[text], "\n")
+    held = held.withColumn("line", F.when(F.col("removed").isNotNull(), F.transform(line_hashes(lines), lambda x: x["line"])))
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("removed", F.get("line", i)), F.lit(False))), "\n")
+    return with_text(held, docs, text, F.when(F.col("removed").isNull(), F.col("doc")[text]).otherwise(left), n_chars)
 
 
 ORACLE_SQL = f"""

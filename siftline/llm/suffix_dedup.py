@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.anchors import scan_texts
+from siftline.llm.common import with_text
 from siftline.llm.suffix_groups import suffix_array
 from siftline.session import cut_lineage
 
@@ -274,9 +275,6 @@ def apply_dedup(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", *
 
     Documents of which nothing is left go; those that lose nothing stay as they are.
     """
-    done = dedup_substrings(docs, text, tuple(docs.columns), with_kept=True, **sizes).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
-    changed = F.col("n_removed") > 0
-    out = done.withColumn(text, F.when(changed, F.col("kept")).otherwise(F.col(text)))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(changed, F.char_length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(*docs.columns)
+    held = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
+    done = dedup_substrings(held, keep=("doc",), with_kept=True, **sizes).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    return with_text(done, docs, text, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("doc")[text]), n_chars)
