@@ -56,7 +56,7 @@ def nodes_of(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     ids are members, which is all that a search for fewer can return.
     """
     key = ["h1", "h2"]
-    marked = vectors.select("vec_id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
+    marked = vectors.select("vec_id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).distinct()
     ranked = marked.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("vec_id"))).where(F.col("k") <= keep)
     first = ranked.where("k = 1").select(*key, F.col("vec_id").alias("node"))
     members = cut_lineage(ranked.join(first, key).select("node", "vec_id"), "members")
@@ -201,7 +201,8 @@ def search_table(vectors: DataFrame, every: int = 100, k: int = 10, vector: str
 
     Returns query_id, rank, vec_id, score (Euclidean distance).  Rows with a null id, and
     vectors that are null, empty, zero or hold null or non-finite parts take no part; only
-    vectors of the query's length are candidates.  Ties go to the smaller id.
+    vectors of the query's length are candidates.  Ties go to the smaller id; a repeated
+    row counts once.
     """
     rows = cut_lineage(usable(vectors, vector, vec_id), "vectors")
     nodes, members = nodes_of(rows, k + 1)

@@ -3,7 +3,8 @@
 The element trees of a host's pages are merged by path.  A path's importance comes from
 two entropies over the pages: how many ways its children are laid out, and how much its
 text differs from page to page.  Paths of low importance are template branches; they go,
-together with the elements whose tag or class names a part that is no article.
+together with the elements whose tag or class names a part that is no article.  A page
+that marks its article keeps just that.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "label",
 }
+#: Elements without text of their own that may stand inside a line of text.
+SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "audio", "video", "button", "select", "map"}
+QUIET = INLINE | SILENT
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
@@ -52,6 +56,7 @@ WHOLE = {"html", "body", "article", "main"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+IN_ARTICLE = re.compile(r">(?:article|main)(?:[.>]|$)")
 NAME_PART = re.compile(r"[a-z]+")
 
 
@@ -131,11 +136,11 @@ class Page:
                 return
             if tag in VOID or not _label(tag, attributes, True)[1]:
                 return
-        else:
+        elif tag not in SILENT:
             self._flush()
         if tag in VOID:
             return
-        if self._count.get("p") and tag not in INLINE:
+        if self._count.get("p") and tag not in QUIET:
             self._close_to({"p"}, SCOPES)
         if tag in CLOSED_BY:
             self._close_to(CLOSED_BY[tag], {"ul", "ol", "dl", "table"})
@@ -151,14 +156,14 @@ class Page:
         self._count[tag] = self._count.get(tag, 0) + 1
 
     def _end(self, tag: str) -> None:
-        if tag not in INLINE:
+        if tag not in QUIET:
             self._flush()
         if self._count.get(tag):
             while self._pop() != tag:
                 pass
 
     def _pop(self) -> str:
-        if self._open[-1][0] not in INLINE:
+        if self._open[-1][0] not in QUIET:
             self._flush()
         tag = self._open.pop()[0]
         self._count[tag] -= 1
@@ -176,6 +181,13 @@ class Page:
                 return
 
 
+def main_blocks(blocks: list[tuple[str, str]], drop: set[str]) -> list[str]:
+    """The texts of a page without the paths in ``drop``; where some stand in an article or
+    main element, only those, whatever ``drop`` says."""
+    inside = [text for path, text in blocks if IN_ARTICLE.search(path)]
+    return inside or [text for path, text in blocks if path not in drop]
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
@@ -252,7 +264,7 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", page_id
             texts = []
             for value, paths in zip(batch.column("html"), batch.column("paths")):
                 drop = set(paths.as_py() or ())
-                texts.append("\n".join([t for p, t in Page(value.as_py()).blocks if p not in drop]))
+                texts.append("\n".join(main_blocks(Page(value.as_py()).blocks, drop)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
