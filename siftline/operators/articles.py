@@ -177,12 +177,15 @@ def _matching(
 
 def search_articles(
     df: DataFrame, domain: str | None = None, start_date: str | None = None,
-    end_date: str | None = None, content_filter: str | None = None, limit: int = 100,
+    end_date: str | None = None, content_filter: str | None = None, limit: int | None = 100,
     offset: int = 0,
 ) -> DataFrame:
-    """Q1: filtered articles, newest first, one page (top-k, no full sort)."""
+    """Q1: filtered articles, newest first, one page (top-k, no full sort); without a limit
+    all of them, unordered."""
     base = _matching(df, domain, start_date, end_date, None)
     hits = _matching(base, None, None, None, content_filter)
+    if limit is None:
+        return hits
     return page_of(base, hits, "date_extracted", True, limit, offset)
 
 

@@ -105,15 +105,21 @@ def crawl_summary(pages: DataFrame, extracted: DataFrame) -> DataFrame:
     )
 
 
-def summary_rows(pages: DataFrame, parsed: DataFrame) -> DataFrame:
-    """One summary row per crawled page; the title falls back to ``<title>``."""
-    titles = parsed.select(
-        "url",
-        F.when(F.coalesce(F.col("title"), F.lit("")) != "", F.col("title"))
-        .otherwise(F.col("page_title"))
-        .alias("title"),
-    )
+SUMMARY_COLUMNS = ["depth", "status", "fetched_at", "has_content"]
+
+
+def parse_crawl(pages: DataFrame) -> DataFrame:
+    """Pages parsed once, with what ``summary_rows`` needs riding along."""
     has_content = F.col("html").isNotNull() & (F.col("html") != "")
-    return pages.select(
-        "url", "depth", "status", F.col("fetched_at").alias("timestamp"), has_content.alias("has_content")
-    ).join(titles, "url", "left")
+    return parse_pages(pages.withColumn("has_content", has_content), SUMMARY_COLUMNS)
+
+
+def summary_rows(parsed: DataFrame) -> DataFrame:
+    """One summary row per crawled page; the title falls back to ``<title>``.
+
+    ``parsed`` comes from ``parse_crawl``; a page crawled twice has two rows.
+    """
+    title = F.when(F.coalesce(F.col("title"), F.lit("")) != "", F.col("title")).otherwise(F.col("page_title"))
+    return parsed.select(
+        "url", "depth", "status", F.col("fetched_at").alias("timestamp"), "has_content", title.alias("title")
+    )

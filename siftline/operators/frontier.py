@@ -36,7 +36,7 @@ def should_follow(
 
 def bfs(
     seeds: DataFrame, edges: DataFrame, pages: DataFrame, max_depth: int = 2,
-    max_urls: int | None = 100, allowed_domains: Iterable[str] | None = None,
+    max_urls: int | None = None, allowed_domains: Iterable[str] | None = None,
     url_patterns: Iterable[str] | None = None,
 ) -> DataFrame:
     """Pages visited breadth-first from the seeds.
@@ -49,6 +49,8 @@ def bfs(
     Returns url, depth, status, path.
     """
     links = edges.filter(follow_condition(F.col("link"), allowed_domains, url_patterns))
+    # a page stored more than once is visited once, with its best status
+    pages = pages.groupBy("url").agg(F.min_by("status", F.struct(F.col("status") != 200, "status")).alias("status"))
     level = seeds.select("url", F.array(F.col("pos").cast("bigint")).alias("path"))
     visited = None
     used = 0
@@ -106,14 +108,13 @@ def prioritize(links: DataFrame, seed_domain: str) -> DataFrame:
 
 def admit(
     queue: DataFrame, links: DataFrame, seed_domain: str, visited: DataFrame | None = None,
-    max_queue_size: int = 1000,
+    max_queue_size: int | None = None,
 ) -> DataFrame:
-    """The links added to the queue, in order, within the size limit.
+    """The links added to the queue.
 
-    The queue holds at most ``max_queue_size`` urls, so its length is counted
-    first and the rest is a top-k.
+    Without a limit these are all different new links.  With one, the queue's
+    length is counted first and the links up to the limit come in order.
     """
-    free = max(max_queue_size - queue.count(), 0)
     seen = queue.select(F.col("url").alias("link"))
     if visited is not None:
         seen = seen.unionByName(visited.select(F.col("url").alias("link")))
@@ -124,8 +125,7 @@ def admit(
         .agg(F.min(F.struct("priority", "pos")).alias("_first"))
         .select(F.col("link").alias("url"), "_first.*")
     )
-    return (
-        first.join(seen.withColumnRenamed("link", "url"), "url", "left_anti")
-        .orderBy("priority", "pos", "url")
-        .limit(free)
-    )
+    fresh = first.join(seen.withColumnRenamed("link", "url"), "url", "left_anti")
+    if max_queue_size is None:
+        return fresh
+    return fresh.orderBy("priority", "pos", "url").limit(max(max_queue_size - queue.count(), 0))

@@ -9,6 +9,7 @@ the few thousand weights themselves are updated by L-BFGS.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -19,8 +20,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# partial sums that one task may combine; each holds one number per term
-GROUPS = 64
 # keeps every weight total positive; cancels between the two sides
 _FLOOR = 1e-9
 
@@ -51,12 +50,12 @@ def squared_hinge(m: Column, y: Column) -> tuple[Column, Column]:
 
 
 def loss_pass(
-    data: DataFrame, loss: Callable, coefficients: np.ndarray, grouped: bool = False
+    data: DataFrame, loss: Callable, coefficients: np.ndarray, groups: int = 1
 ) -> tuple[float, np.ndarray]:
     """Total loss and gradient at the weights: one job, one row back.
 
-    With many partitions (``grouped``) their sums are first combined in a fixed
-    number of groups, so that the last task does not grow with the data.  The weights travel
+    The partitions' sums are first combined in ``groups`` groups, then those; with the
+    root of the partition number both steps stay small.  The weights travel
     inside the vector transformer and not as literals, which keeps the generated
     code of every pass the same (compiled once).
     """
@@ -75,27 +74,25 @@ def loss_pass(
         total.summary(F.col("x"), rising)["sum"].alias("up"),
         total.summary(F.col("x"), falling)["sum"].alias("down"),
     ]
-    if grouped:
-        parts = rows.groupBy((F.spark_partition_id() % GROUPS).alias("g")).agg(*sums)
-        sums = [
-            F.sum("value").alias("value"),
-            total.summary(F.col("up"))["sum"].alias("up"),
-            total.summary(F.col("down"))["sum"].alias("down"),
-        ]
-        last = parts.agg(*sums).first()
-    else:
-        last = rows.agg(*sums).first()
+    parts = rows.groupBy((F.spark_partition_id() % groups).alias("g")).agg(*sums)
+    sums = [
+        F.sum("value").alias("value"),
+        total.summary(F.col("up"))["sum"].alias("up"),
+        total.summary(F.col("down"))["sum"].alias("down"),
+    ]
+    last = parts.agg(*sums).first()
     return last["value"], last["up"].toArray() - last["down"].toArray()
 
 
 def minimize(objective: Callable, start: np.ndarray, max_iter: int, tol: float, memory: int = 10):
     """L-BFGS with backtracking; stops when the gradient's largest entry is below
-    ``tol``.  ``objective(x)`` gives value and gradient.  Returns point, steps taken."""
+    ``tol``.  ``objective(x)`` gives value and gradient.  Returns point, steps taken and
+    the largest entry of the gradient there."""
     x, (value, grad) = start, objective(start)
     history: list[tuple[np.ndarray, np.ndarray]] = []
     for step in range(max_iter):
         if np.max(np.abs(grad)) <= tol:
-            return x, step
+            return x, step, float(np.max(np.abs(grad)))
         direction = -grad
         scales = []
         for s, y in reversed(history):
@@ -118,20 +115,20 @@ def minimize(objective: Callable, start: np.ndarray, max_iter: int, tol: float,
                 break
             rate /= 2
             if rate < 1e-4:
-                return x, step
+                return x, step, float(np.max(np.abs(grad)))
         if value - new_value <= 1e-12 * max(1.0, abs(value)):
-            return nxt, step + 1
+            return nxt, step + 1, float(np.max(np.abs(new_grad)))
         s, y = nxt - x, new_grad - grad
         if s @ y > 1e-12:
             history = (history + [(s, y)])[-memory:]
         x, value, grad = nxt, new_value, new_grad
-    return x, max_iter
+    return x, max_iter, float(np.max(np.abs(grad)))
 
 
 def fit(
     data: DataFrame, n_features: int, loss: Callable, c: float = 1.0, fit_intercept: bool = True,
     penalize_intercept: bool = False, max_iter: int = 100, tol: float = 1e-5,
-) -> tuple[np.ndarray, float, int]:
+) -> tuple[np.ndarray, float, int, float]:
     """Minimise ``c * sum(weight * loss) + |w|^2 / 2`` over (features, label, weight).
 
     Values are divided by ``c * total weight`` so that the tolerance means the same
@@ -141,15 +138,15 @@ def fit(
     rows = VectorAssembler(inputCols=["features", "_one"], outputCol="x").transform(constant)
     rows = rows.select("x", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
     # the input is a stored table, so looking at its partitions starts no job
-    grouped = rows.rdd.getNumPartitions() > GROUPS
+    groups = math.isqrt(rows.rdd.getNumPartitions()) or 1
     norm = c * rows.agg(F.sum("weight")).first()[0]
     penalty = np.ones(n_features + 1)
     penalty[-1] = 1.0 if penalize_intercept else 0.0
 
     def objective(w):
-        value, grad = loss_pass(rows, loss, w, grouped)
+        value, grad = loss_pass(rows, loss, w, groups)
         return (c * value + (penalty * w) @ w / 2) / norm, (c * grad + penalty * w) / norm
 
-    w, steps = minimize(objective, np.zeros(n_features + 1), max_iter, tol)
+    w, steps, slope = minimize(objective, np.zeros(n_features + 1), max_iter, tol)
     rows.unpersist()
-    return w[:-1], float(w[-1]) if fit_intercept else 0.0, steps
+    return w[:-1], float(w[-1]) if fit_intercept else 0.0, steps, slope

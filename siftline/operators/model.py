@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -76,12 +77,15 @@ def train(
     width = F.coalesce(vector["size"], F.size(vector["values"]))
     n_features = len(vocabulary.terms) if vocabulary else data.select(width).first()[0]
     svc = model_type == "linear_svc"
-    coefficients, intercept, steps = linear_fit.fit(
+    coefficients, intercept, steps, slope = linear_fit.fit(
         data.withColumn("weight", weight), n_features,
         linear_fit.squared_hinge if svc else linear_fit.logistic,
         float(settings["C"]), settings["fit_intercept"], svc, settings["max_iter"], settings["tol"],
     )
     ended = time.time()
+    converged = slope <= settings["tol"]
+    if not converged:
+        warnings.warn(f"{model_type}: gradient {slope:.2g} after {steps} steps, wanted {settings['tol']:.2g}", stacklevel=2)
     stamp = "%Y-%m-%dT%H:%M:%S"
     return LinearModel(
         model_type,
@@ -94,6 +98,8 @@ def train(
             "training_samples": n,
             "feature_count": n_features,
             "iterations": steps,
+            "converged": converged,
+            "gradient": slope,
             "training_start": time.strftime(stamp, time.gmtime(started)),
             "training_end": time.strftime(stamp, time.gmtime(ended)),
             "training_duration_seconds": ended - started,
@@ -151,9 +157,9 @@ def evaluate_texts(df: DataFrame, model: LinearModel, text_col: str = "content")
     })
 
 
-def classify_articles(articles: DataFrame, model: LinearModel, limit: int = 100) -> DataFrame:
-    """M8: the newest stored articles; those without content are skipped after
-    the limit."""
+def classify_articles(articles: DataFrame, model: LinearModel, limit: int | None = None) -> DataFrame:
+    """M8: all stored articles, or the ``limit`` newest; those without content are
+    skipped after the limit."""
     newest = search_articles(articles, limit=limit).filter(F.coalesce("content", F.lit("")) != "")
     return predict_with_score(newest, model).select("id", "url", "title", "is_relevant", "confidence")
 

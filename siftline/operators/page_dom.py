@@ -71,6 +71,7 @@ class Page(HTMLParser):
         self.last, self.lo, self.hi = [], [], []
         self.text, self.silent = [], []
         self._open, self._quiet = [], 0
+        self._waiting = {}  # open elements per tag
         self.feed(html)
         self.close()
         self._close_down_to(0)
@@ -85,6 +86,7 @@ class Page(HTMLParser):
         self.lo.append(len(self.text))
         self.hi.append(0)
         self._open.append(len(self.tag) - 1)
+        self._waiting[tag] = self._waiting.get(tag, 0) + 1
         self._quiet += tag in SILENT_TAGS
         if tag in VOID_TAGS:
             self._close_down_to(len(self._open) - 1)
@@ -94,7 +96,14 @@ class Page(HTMLParser):
         if tag not in VOID_TAGS:
             self._close_down_to(len(self._open) - 1)
 
+    def unknown_decl(self, data):
+        # the text of a CDATA section is text
+        if data.startswith("CDATA["):
+            self.handle_data(data[len("CDATA["):])
+
     def handle_endtag(self, tag):
+        if not self._waiting.get(tag):
+            return
         for depth in range(len(self._open) - 1, -1, -1):
             if self.tag[self._open[depth]] == tag:
                 self._close_down_to(depth)
@@ -103,6 +112,7 @@ class Page(HTMLParser):
     def _close_down_to(self, depth):
         while len(self._open) > depth:
             i = self._open.pop()
+            self._waiting[self.tag[i]] -= 1
             self.last[i] = len(self.tag)
             self.hi[i] = len(self.text)
             self._quiet -= self.tag[i] in SILENT_TAGS

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.session import cut_lineage
 
-# Rows that share one bucket of a unique integer order number: at most 2**17.
-BUCKET_BITS = 17
+def tasks_of(df: DataFrame) -> int:
+    """Partitions of a shuffle, the number of groups that merge candidates or counts."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def dense_ids(
@@ -17,11 +17,15 @@ def dense_ids(
     """Add ``start + 1, start + 2, ...`` in order of the integer column ``seq``.
 
     Equal to one global ``row_number()``, but the rows are ranked inside buckets
-    of neighbouring ``seq`` values (at most ``2**17`` each when ``seq`` is
-    unique) and only the per-bucket counts are summed up globally.  Both steps
-    use the same hash partitioning on the bucket.
+    cut at quantiles of ``seq``, so buckets are even however sparse the numbers
+    are, and only one count per bucket is summed up globally.  Both steps use the
+    same hash partitioning on the bucket.
     """
-    bucketed = df.withColumn("_bucket", F.shiftright(F.col(seq).cast("bigint"), BUCKET_BITS))
+    n = tasks_of(df)
+    order_number = F.col(seq).cast("bigint")
+    shares = [i / n for i in range(1, n)] or [0.5]
+    cuts = df.select(F.percentile_approx(order_number, shares, 100 * n)).scalar()
+    bucketed = df.withColumn("_cuts", cuts).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(seq)))).drop("_cuts")
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(
         Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,45 +42,28 @@ def dense_ids(
     )
 
 
-# pages up to this size are merged by one task straight away
-SMALL_PAGE = 1_000
-MERGERS = 256
-# keys of pages up to this size pass through the driver, larger ones through a table
-COLLECTED_PAGE = 10_000
-
-
 def page_of(
-    base: DataFrame, hits: DataFrame, by: str = "id", descending: bool = False, limit: int = 100,
+    base: DataFrame, hits: DataFrame, by: str = "id", descending: bool = False, limit: int | None = 100,
     offset: int = 0,
 ) -> DataFrame:
     """``limit`` rows of ``base`` after ``offset``, ordered by ``by`` and then id.
 
     ``hits`` are the rows of ``base`` that qualify.  The page is found first, on
-    the order column and the id alone, so every task sends its best candidates as a
-    few bytes per row; candidates of a large page are merged in two steps, spread
-    over many tasks.  The whole rows are then read by id, within the page's value
-    range, which lets the scan skip most of a stored table.
+    the order column and the id alone: every task keeps its best candidates, keyed
+    groups merge them, one task orders what is left.  The whole rows are then read
+    by id.  The plan is lazy and the same at every size.  Without a limit all
+    qualifying rows come back, in no order.
     """
     order = [F.desc(by) if descending else F.asc(by)] + ([F.asc("id")] if by != "id" else [])
     narrow = hits.select(F.col("id"), F.col(by).alias(by)) if by != "id" else hits.select("id")
-    if limit + offset > SMALL_PAGE:
-        group = F.pmod(F.xxhash64("id"), F.lit(MERGERS))
-        rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-        narrow = narrow.withColumn("_rank", rank).filter(F.col("_rank") <= limit + offset)
-    ordered = narrow.orderBy(*order)
-    page = (ordered.offset(offset) if offset else ordered).limit(limit).select("id", F.col(by).alias("by"))
-    if limit <= COLLECTED_PAGE:
-        page = base.sparkSession.createDataFrame(page.collect(), page.schema)
-    else:
-        page = cut_lineage(page, "page")
-    low, high, low_id, high_id, blank = page.agg(
-        F.min("by"), F.max("by"), F.min("id"), F.max("id"), F.count_if(F.col("by").isNull())
-    ).first()
-    near = F.col(by).between(low, high)
-    if blank:
-        near = near | F.col(by).isNull()
-    rows = base.filter(F.col("id").between(low_id, high_id) & near)
-    picked = rows.join(page.select("id"), "id", "left_semi").select(*base.columns)
+    if limit is None:
+        return base.join(narrow.select("id"), "id", "left_semi").select(*base.columns)
+    group = F.pmod(F.xxhash64("id"), F.lit(tasks_of(base)))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    best = narrow.withColumn("_rank", rank).filter(F.col("_rank") <= limit + offset).drop("_rank")
+    ordered = best.orderBy(*order)
+    page = (ordered.offset(offset) if offset else ordered).limit(limit).select("id")
+    picked = base.join(page, "id", "left_semi").select(*base.columns)
     # no more rows than this are left; with a limit they are ordered without sampling first
     return picked.orderBy(*order).limit(limit)
 

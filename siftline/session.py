@@ -60,14 +60,3 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy row-local work enough tasks when the input is few files.
-
-    ``df`` must be a plain scan (looking at its partition count then starts no
-    job).  Large inputs already have enough splits and are returned as they are,
-    so nothing is shuffled at scale.
-    """
-    wanted = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -20,14 +20,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("url", "html", *columns)
 
 
-def read_labeled_json(spark: SparkSession, path: str) -> DataFrame:
-    """S3: labelled articles from JSON array files (one array per file).
+def read_labeled_json(spark: SparkSession, path: str, fmt: str = "array") -> DataFrame:
+    """S3: labelled articles from JSON files.
 
     ``labels`` and the top-level ``is_relevant`` arrive as JSON text, so that the
-    type of each value can still be judged.  Each file is one task; a large export
-    is better kept as many files or as JSON lines, which this also reads.
+    type of each value can still be judged.  ``fmt`` tells whether a file is one
+    ``array``, read by one task, or has one record in each of its ``lines``, which
+    any number of tasks share.
     """
-    return spark.read.option("multiLine", True).schema(schemas.LABELED_FILE).json(path)
+    if fmt not in ("array", "lines"):
+        raise ValueError(f"Unsupported format: {fmt}")
+    return spark.read.option("multiLine", fmt == "array").schema(schemas.LABELED_FILE).json(path)
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:

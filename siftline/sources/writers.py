@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from siftline.functions import labels as lb
 from siftline.functions.text import crawl_key, domain_of
 from siftline.operators.articles import labeled_export, search_articles
-from siftline.operators.extract import summary_rows
-
-EXPORT_LIMIT = 10_000  # fixed value: default size of an export
+from siftline.operators.extract import as_articles, parse_crawl, summary_rows
+from siftline.session import cut_lineage
 
 
 def append_session(df: DataFrame, path: str, config_columns: list[str]) -> None:
@@ -26,12 +25,13 @@ def append_executions(df: DataFrame, path: str) -> None:
 
 def _filtered(df: DataFrame, filters: dict | None) -> DataFrame:
     args = dict(filters or {})
-    args.setdefault("limit", EXPORT_LIMIT)
+    args.setdefault("limit", None)
     return search_articles(df, **args)
 
 
 def export_json(df: DataFrame, path: str, filters: dict | None = None) -> None:
-    """Filtered search result as JSON lines, labels as an object."""
+    """Filtered search result as JSON lines, labels as an object; all rows unless
+    ``filters`` gives a limit."""
     _filtered(df, filters).withColumn("labels", lb.parse_labels(F.col("labels"))) \
         .write.mode("overwrite").json(path)
 
@@ -56,8 +56,8 @@ def read_csv(spark, path: str, schema: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, filters: dict | None = None) -> bool:
-    """Filtered search result as CSV, labels as JSON text; nothing is written
-    for an empty result."""
+    """Filtered search result as CSV, labels as JSON text; all rows unless ``filters``
+    gives a limit, nothing is written for an empty result."""
     rows = _filtered(df, filters).withColumn("labels", F.to_json(lb.parse_labels(F.col("labels"))))
     return _write_csv(rows, path)
 
@@ -73,18 +73,19 @@ def export_labeled(df: DataFrame, path: str, fmt: str = "json") -> bool:
     return True
 
 
-def write_crawl_outputs(pages: DataFrame, parsed: DataFrame, extracted: DataFrame, path: str) -> None:
+def write_crawl_outputs(pages: DataFrame, now: str, path: str) -> None:
     """Summary, raw html and extracted records below ``path``.
 
-    One row per page keyed like a file of its own; html is written with its
-    domain as partition folder.
+    One row per page keyed like a file of its own.  Pages are parsed once; both the
+    summary and the records are written from that stored result.
     """
-    summary_rows(pages, parsed).write.mode("overwrite").json(f"{path}/summary")
+    parsed = cut_lineage(parse_crawl(pages), "parsed")
+    summary_rows(parsed).write.mode("overwrite").json(f"{path}/summary")
     stored = pages.filter(F.col("html").isNotNull() & (F.col("html") != ""))
     stored.select(crawl_key(F.col("url")).alias("key"), "url", "html").write.mode(
         "overwrite"
     ).parquet(f"{path}/html")
-    extracted.withColumn("key", crawl_key(F.col("url"))).withColumn(
+    as_articles(parsed, now).withColumn("key", crawl_key(F.col("url"))).withColumn(
         "domain", domain_of(F.col("url"))
     ).write.mode("overwrite").json(f"{path}/extracted")
 

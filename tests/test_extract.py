@@ -105,5 +105,5 @@ def test_extract_job(spark):
     assert (e.title, e.content, e.metadata.publish_date, e.metadata.domain) == ("", "", None, "e.org")
     assert [(r.pos, r.link) for r in ex.extract_links(pages).collect()] == [(0, "https://h.org:8/l")]
     assert tuple(ex.crawl_summary(pages, ex.extract_articles(pages, "now")).first()) == (3, 2, 1, 1)
-    summary = {r.url: r for r in ex.summary_rows(pages, ex.parse_pages(pages, [])).collect()}
+    summary = {r.url: r for r in ex.summary_rows(ex.parse_crawl(pages)).collect()}
     assert summary["https://e.org/"].has_content is False and summary["https://e.org/"].title is None

@@ -105,7 +105,7 @@ def test_training_reaches_the_optimum(spark, model_type, params):
         assert b == 0
 
 
-def test_grouped_pass_equals_direct_pass(spark):
+def test_pass_in_groups_equals_one_group(spark):
     from siftline.operators import linear_fit as lf
 
     _, _, df = training_rows(spark)
@@ -113,7 +113,7 @@ def test_grouped_pass_equals_direct_pass(spark):
     w = np.array([0.1, 2.0, -0.3, 0.4])
     for loss in (lf.logistic, lf.squared_hinge):
         v1, g1 = lf.loss_pass(rows, loss, w)
-        v2, g2 = lf.loss_pass(rows, loss, w, grouped=True)
+        v2, g2 = lf.loss_pass(rows, loss, w, groups=3)
         assert abs(v1 - v2) < 1e-9 and np.abs(g1 - g2).max() < 1e-6
 
 

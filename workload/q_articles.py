@@ -70,18 +70,29 @@ def _(spark, sf):
     return ar.load_articles(_articles(spark, sf), only_relevant=True, limit=50)
 
 
-@query(
-    "S3_read_labeled_json",
-    tb.with_tables("labeled") + "SELECT id, label, length(content) AS n FROM labeled WHERE content <> ''",
-)
+S3_SQL = tb.with_tables("labeled") + "SELECT id, label, length(content) AS n FROM labeled WHERE content <> ''"
+
+
+def _labeled_back(spark, path, fmt):
+    back = lb.resolve_label(readers.read_labeled_json(spark, path, fmt), "is_relevant")
+    return back.select("id", "label", F.length("content").cast("bigint").alias("n"))
+
+
+@query("S3_read_labeled_json", S3_SQL)
 def _(spark, sf):
+    """Array files: one array of neighbouring ids per file."""
     path = work_path(spark, "labeled-json")
     rows = tb.labeled(spark, sf).select("id", "content", F.col("label").alias("is_relevant"))
-    rows.write.json(path)
-    back = lb.resolve_label(
-        spark.read.schema("id bigint, content string, labels string, is_relevant string").json(path), "is_relevant"
-    )
-    return back.select("id", "label", F.length("content").cast("bigint").alias("n"))
+    arrays = rows.groupBy(F.floor(F.col("id") / 1000)).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.select("value", F.monotonically_increasing_id().alias("file")).write.partitionBy("file").text(path)
+    return _labeled_back(spark, path, "array")
+
+
+@query("S3_read_labeled_json_lines", S3_SQL)
+def _(spark, sf):
+    path = work_path(spark, "labeled-json-lines")
+    tb.labeled(spark, sf).select("id", "content", F.col("label").alias("is_relevant")).write.json(path)
+    return _labeled_back(spark, path, "lines")
 
 
 @query(
@@ -173,7 +184,7 @@ def _(spark, sf):
 
 
 EXPORT_SQL = ART + """SELECT id, url, title, content, date_extracted FROM articles
-  WHERE date_extracted >= '2024-01-01T02' ORDER BY date_extracted DESC, id LIMIT 10000"""
+  WHERE date_extracted >= '2024-01-01T02' ORDER BY date_extracted DESC, id"""
 
 
 @query("W6_export_json", EXPORT_SQL)
@@ -184,6 +195,14 @@ def _(spark, sf):
     return spark.read.schema(schema).json(path)
 
 
+@query("W6_export_json_limited", EXPORT_SQL + " LIMIT 50")
+def _(spark, sf):
+    path = work_path(spark, "export-json-limited")
+    writers.export_json(_articles(spark, sf), path, {"start_date": "2024-01-01T02", "limit": 50})
+    schema = "id bigint, url string, title string, content string, date_extracted string"
+    return spark.read.schema(schema).json(path)
+
+
 @query("W7_export_csv", EXPORT_SQL)
 def _(spark, sf):
     path = work_path(spark, "export-csv")

@@ -41,7 +41,7 @@ def _incoming(spark, sf):
     messages with the same tags repeat their tag names."""
     return tb.raw(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
-        F.left("text", F.lit(40)).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("description"),
         F.lit(None).cast("bigint").alias("source_id"),
         F.concat(F.lit("https://chat.example.org/"), F.col("conv_id").cast("string")).alias("source_reference"),
@@ -50,7 +50,7 @@ def _incoming(spark, sf):
 
 
 NEW_SQL = """incoming AS (
-  SELECT conv_id * 1000 + turn AS seq, left(text, 40) AS title, text AS description, role,
+  SELECT conv_id * 1000 + turn AS seq, split_part(text, chr(10), 1) AS title, text AS description, role,
          'https://chat.example.org/' || conv_id AS source_reference,
          (SELECT max(id) FROM incidents) + row_number() OVER (ORDER BY conv_id * 1000 + turn) AS id FROM conversations),
 named AS (SELECT id AS incident_id, seq, 0 AS pos, role AS name FROM incoming

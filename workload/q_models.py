@@ -120,13 +120,24 @@ def _(spark, sf):
     )
 
 
-@query(
-    "M8_classify_articles",
+M8_SQL = (
     tb.with_tables("articles", "labeled", extra=",\n".join([ROWS_LABELED, feature_sql(ROWS_LABELED, SCORES_SQL).split(ROWS_LABELED + ",\n")[1].rstrip()]))
     + """SELECT a.id, url, title, p > 0.5 AS is_relevant,
                 round(CASE WHEN p > 0.5 THEN p ELSE 1 - p END, 6) AS confidence
-         FROM (SELECT * FROM articles ORDER BY date_extracted DESC, id LIMIT 100) a
-         JOIN scores s ON s.id = a.id WHERE a.content <> ''""",
+         FROM articles a
+         JOIN scores s ON s.id = a.id WHERE a.content <> ''"""
+)
+
+
+@query("M8_classify_articles", M8_SQL)
+def _(spark, sf):
+    out = md.classify_articles(tb.articles(spark, sf), frozen_model(spark, sf))
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    "M8_classify_newest",
+    M8_SQL.replace("articles a", "(SELECT * FROM articles ORDER BY date_extracted DESC, id LIMIT 100) a"),
 )
 def _(spark, sf):
     out = md.classify_articles(tb.articles(spark, sf), frozen_model(spark, sf), 100)

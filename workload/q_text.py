@@ -178,10 +178,10 @@ def _(spark, sf):
 @query(
     "W11_sanitize_key",
     r"""SELECT page_id AS id, CASE WHEN length(k) > 100 THEN left(k, 80) || '___' || right(k, 17) ELSE k END AS key
-        FROM (SELECT page_id, regexp_replace(url || '#' || left(html, 90), '[^\p{L}\p{N}._-]', '_', 'g') AS k FROM pages)""",
+        FROM (SELECT page_id, regexp_replace(url || '#' || html, '[^\p{L}\p{N}._-]', '_', 'g') AS k FROM pages)""",
 )
 def _(spark, sf):
-    long_url = F.concat("url", F.lit("#"), F.left("html", F.lit(90)))
+    long_url = F.concat("url", F.lit("#"), F.col("html"))
     return tb.raw(spark, sf, "pages").select(
         F.col("page_id").alias("id"), tx.sanitize_key(long_url).alias("key")
     )
@@ -189,11 +189,11 @@ def _(spark, sf):
 
 @query(
     "W12_crawl_key",
-    r"""SELECT page_id AS id, right(regexp_replace(url || '#' || left(html, 160), '[^\p{L}\p{N}]', '_', 'g'), 150) AS key
+    r"""SELECT page_id AS id, right(regexp_replace(url || '#' || html, '[^\p{L}\p{N}]', '_', 'g'), 150) AS key
         FROM pages""",
 )
 def _(spark, sf):
-    long_url = F.concat("url", F.lit("#"), F.left("html", F.lit(160)))
+    long_url = F.concat("url", F.lit("#"), F.col("html"))
     return tb.raw(spark, sf, "pages").select(
         F.col("page_id").alias("id"), tx.crawl_key(long_url).alias("key")
     )

@@ -9,11 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.session import spread
-
 NOW = "2024-03-01T12:00:00"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The driver's tables at the small scales are one file with one row group, which one
+    task would read; here, and nowhere in the library, they are dealt out first."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def raw(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -35,7 +40,7 @@ def _article_columns(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(labels.select("doc_id", "quality"), "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("https://"), host, F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("content"),
         host.alias("domain"),
         F.lit("").alias("publish_date"),
@@ -119,7 +124,7 @@ def incidents(spark: SparkSession, sf: str) -> DataFrame:
     src = sources(spark, sf).select(F.col("id").alias("source_id"), F.col("name").alias("source"))
     return raw(spark, sf, "documents").join(src, "source", "left").select(
         F.col("doc_id").alias("id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("description"),
         "source_id",
         F.concat(
@@ -221,7 +226,7 @@ SQL = {
     "articles": """articles AS (
   SELECT d.doc_id AS id,
          'https://' || source || '.example.org/' || lang || '/' || d.doc_id AS url,
-         left(split_part(text, chr(10), 1), 80) AS title, text AS content,
+         split_part(text, chr(10), 1) AS title, text AS content,
          source || '.example.org' AS domain, '' AS publish_date,
          strftime(TIMESTAMP '2024-01-01' + to_minutes(d.doc_id), '%Y-%m-%dT%H:%M:%S') AS date_extracted,
          strftime(TIMESTAMP '2024-01-01' + to_minutes(d.doc_id), '%Y-%m-%dT%H:%M:%S') AS date_stored,
@@ -247,7 +252,7 @@ SQL = {
     "incident_tags": """incident_tags AS (
   SELECT incident_id, t.id AS tag_id FROM tag_names n JOIN tags t ON t.name = n.name)""",
     "incidents": """incidents AS (
-  SELECT d.doc_id AS id, left(split_part(text, chr(10), 1), 80) AS title, text AS description,
+  SELECT d.doc_id AS id, split_part(text, chr(10), 1) AS title, text AS description,
          s.id AS source_id,
          'https://' || source || '.example.org/' || lang || '/' || d.doc_id AS source_reference,
          TIMESTAMP '2024-01-01' + to_hours(d.doc_id) AS created_at,
