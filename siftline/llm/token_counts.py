@@ -12,21 +12,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.bpe import WordCoder
+from siftline.llm.bpe import load_ranks
 
+#: Words whose counts a task keeps; beyond it the cache starts afresh.
+CACHE_WORDS = 500_000
 #: Leaves read after an edit at first; doubled until the split falls back onto an old boundary.
 LOOK_AHEAD = 8
 #: Code points before an edit that are split again at least.
 CONTEXT = 3
 
 
+class PieceCounter:
+    """Splits texts into pre-tokens and counts the tokens of each, once per word in the cache."""
+
+    def __init__(self, path: str, pattern: str, most: int = CACHE_WORDS):
+        compiled = regex.compile(pattern)
+        self.split, self.split_iter, self.most = compiled.findall, compiled.finditer, most
+        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
+        self.known: dict[str, int] = {}
+
+    def count(self, word: str) -> int:
+        n = self.known.get(word)
+        if n is None:
+            n = len(self.encode(word))
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[word] = n
+        return n
+
+    def counts(self, words: list[str]) -> list[int]:
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self.count(w) if n is None else n for w, n in zip(words, found)]
+        return found
+
+
 class PieceTree:
     """Segment tree of one document; positions are code points."""
 
-    def __init__(self, coder: WordCoder, text: str, lengths, tokens):
+    def __init__(self, coder: PieceCounter, text: str, lengths, tokens):
         self.coder, self.text = coder, text
         self.n = len(lengths)
         self.cap = 1 << max(0, self.n - 1).bit_length()
@@ -122,7 +151,7 @@ class PieceTree:
             self.changed[i] = []
         self.changed[first] = pieces
         low, high = self.cap + first, self.cap + stop - 1
-        for sums, value in ((self.chars, sum(map(len, pieces))), (self.tokens, sum(self.coder.word(p)[1] for p in pieces))):
+        for sums, value in ((self.chars, sum(map(len, pieces))), (self.tokens, sum(self.coder.counts(pieces)))):
             sums[low:high + 1] = 0
             sums[low] = value
             self._sum_up(sums, low, high)
@@ -140,7 +169,7 @@ class PieceTree:
             tokens += self.tokens[self.cap + done:self.cap + i].tolist()
             texts += self.changed[i]
             lengths += map(len, self.changed[i])
-            tokens += [self.coder.word(p)[1] for p in self.changed[i]]
+            tokens += self.coder.counts(self.changed[i])
             done = i + 1
         texts.append(self.text[self.starts[done]:])
         lengths += self.chars[self.cap + done:self.cap + self.n].tolist()
@@ -161,14 +190,13 @@ def build_trees(docs: DataFrame, path: str, pattern: str, text: str = "text", do
     schema = TREE_SQL + "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(path, pattern)
+        coder = PieceCounter(path, pattern)
         for batch in batches:
             lengths, tokens = [], []
             for value in batch.column("text"):
                 words = coder.split(value.as_py())
-                known, word = coder.known, coder.word
                 lengths.append(np.fromiter(map(len, words), np.int32, len(words)))
-                tokens.append(np.fromiter([(known.get(w) or word(w))[1] for w in words], np.int32, len(words)))
+                tokens.append(np.array(coder.counts(words), np.int32))
             columns = [batch.column("doc_id"), batch.column("text"), pa.array(lengths, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns + [batch.column(k) for k in keep], names=[*TREE.names, *keep])
 
@@ -188,7 +216,7 @@ def edit_trees(trees: DataFrame, path: str, pattern: str, edits: str = "edits",
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in counts) + ", text string, lengths array<int>, tokens array<int>" * with_state
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(path, pattern)
+        coder = PieceCounter(path, pattern)
         for batch in batches:
             rows: list[list[int]] = []
             states = []

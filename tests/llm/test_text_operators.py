@@ -154,19 +154,19 @@ def test_token_counts_follow_edits(spark, tokens):
 
 
 def test_piece_tree_against_splitting_anew():
-    coder, rng = bpe.WordCoder(RANKS, PATTERN), random.Random(9)
+    coder, rng = token_counts.PieceCounter(RANKS, PATTERN, most=20), random.Random(9)
     parts = ["a", "foo", " ", "  ", "\n", "\n\n", "'s", "'", "12", "!", "é", " x", "日", "\t", "'l", "l"]
     for _ in range(1500):
         text = "".join(rng.choices(parts, k=rng.randrange(0, 40)))
         words = coder.split(text)
-        tree = token_counts.PieceTree(coder, text, [len(w) for w in words], [coder.word(w)[1] for w in words])
+        tree = token_counts.PieceTree(coder, text, [len(w) for w in words], coder.counts(words))
         for _ in range(rng.randrange(1, 5)):
             at, cut, put = rng.randrange(-1, len(text) + 2), rng.choice([0, 1, 2, 50]), "".join(rng.choices(parts, k=rng.randrange(0, 4)))
             tree.edit(at, cut, put)
             spot = min(max(at, 0), len(text))
             text = text[:spot] + put + text[spot + cut:]
             assert tree.state()[0] == text and tree.state()[1] == [len(w) for w in coder.split(text)]
-            assert tree.tokens[1] == sum(coder.word(w)[1] for w in coder.split(text))
+            assert tree.tokens[1] == sum(coder.counts(coder.split(text)))
 
 
 def test_languages_are_learnt_from_rows_not_held_out(spark):
