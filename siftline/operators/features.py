@@ -16,6 +16,10 @@ from siftline.operators.ranking import hash_cuts
 VOCABULARY_SCHEMA = "term string, idx int, count bigint, df bigint, idf double"
 
 
+#: Largest vocabulary that is broadcast: about 100 MB of terms and numbers.
+MOST_FEATURES = 1_000_000
+
+
 @dataclass(frozen=True)
 class FeatureSettings:
     max_features: int = 10_000
@@ -24,8 +28,8 @@ class FeatureSettings:
     text_flags: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        if self.max_features < 1:
-            raise ValueError("max_features must be positive: it bounds what is broadcast")
+        if not 1 <= self.max_features <= MOST_FEATURES:
+            raise ValueError(f"max_features must be 1 to {MOST_FEATURES}: it bounds what is broadcast")
 
 
 @dataclass(frozen=True)
@@ -198,6 +202,8 @@ def feature_names(vocab: DataFrame) -> DataFrame:
 
 def split_sizes(counts: dict[int, int], test_size: float = 0.2) -> dict[int, int]:
     """Test rows per class: ``ceil(test_size * n)`` in all, largest remainders first."""
+    if not counts:
+        raise ValueError("no labelled rows to split")
     total = sum(counts.values())
     n_test = math.ceil(test_size * total)
     if min(counts.values()) < 2:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import urljoin
 
 # ---------------------------------------------------------------- fixed values
 VOID_TAGS = frozenset(
@@ -237,10 +237,3 @@ def links_of(page: Page, base: str) -> list[str]:
             except ValueError:
                 continue
     return out
-
-
-def authority_of(url: str) -> str:
-    try:
-        return urlsplit(url).netloc
-    except ValueError:
-        return ""

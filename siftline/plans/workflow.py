@@ -30,6 +30,8 @@ def process_pages(
     not be scored is relevant with 0.5.
     """
     keep = [c for c in (keep or []) if c not in ("url", "status")]
+    # the html of a failed page is not looked at
+    pages = pages.withColumn("html", F.when(F.col("status") == 200, F.col("html")))
     parsed = parse_pages(
         pages, ["url", "status", *keep], ("title", "content", "publish_date", "links"),
         min_content_length,

@@ -1,12 +1,5 @@
 """Table schemas as DDL text, accepted wherever Spark takes a schema."""
 
-PAGES = "url string, html string, depth int, status int, fetched_at timestamp"
-
-EXTRACTED = (
-    "url string, title string, content string, date_extracted string, "
-    "metadata struct<publish_date:string,domain:string>"
-)
-
 ARTICLES = (
     "id bigint, url string, title string, content string, domain string, "
     "publish_date string, date_extracted string, date_stored string, "
@@ -14,17 +7,10 @@ ARTICLES = (
 )
 ARTICLE_COLUMNS = [part.split()[0] for part in ARTICLES.split(", ")]
 
-LABELS = "struct<is_relevant:boolean,labeled_by:string,labeled_date:string>"
-
 # One element of a labelled-article file.  Both label forms stay JSON text so
 # that a boolean, a number and a string can still be told apart.
 LABELED_FILE = ARTICLES + ", is_relevant string"
 
-CRAWL_SESSIONS = (
-    "id bigint, start_time string, end_time string, urls_processed int, "
-    "success_count int, config string"
-)
-
 INCIDENTS = (
     "id bigint, title string, description string, source_id bigint, "
     "source_reference string, created_at timestamp_ntz, updated_at timestamp_ntz"
@@ -34,11 +20,3 @@ SOURCES = "id bigint, name string, url string, created_at timestamp_ntz, updated
 TAGS = "id bigint, name string, created_at timestamp_ntz"
 INCIDENT_TAGS = "incident_id bigint, tag_id bigint"
 
-JOBS = (
-    "job_id string, url string, interval_minutes int, max_urls int, next_run string, "
-    "status string, last_run string, run_count int, created_at string"
-)
-JOB_EXECUTIONS = (
-    "id bigint, job_id string, url string, start_time string, end_time string, "
-    "status string, urls_processed int, relevant_found int, error string, created_at string"
-)
