@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.text import domain_of, scheme_of
@@ -83,95 +82,58 @@ def store_incidents(
     return rows, all_sources, all_tags, all_links
 
 
-def _admit_level(max_queue_size: int):
-    """Queue admission of one seed's level.
-
-    The group holds the links of at most ``max_urls`` pages.  Pages are taken in
-    queue order; the n-th admitted url is the n-th processed, so after page ``t``
-    leaves, the queue length is ``admitted - (t + 1)``.
-    """
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["parent", "priority", "pos", "link"])
-        admitted = int(batch["admitted"].iloc[0])
-        taken: dict[str, tuple[int, int]] = {}
-        for parent, link in zip(batch["parent"], batch["link"]):
-            waiting = admitted - (parent + 1)
-            if waiting >= max_queue_size or link in taken:
-                continue
-            taken[link] = (admitted, waiting + 1)
-            admitted += 1
-        return pd.DataFrame({
-            "seed": batch["seed"].iloc[0],
-            "url": list(taken),
-            "turn": [t for t, _ in taken.values()],
-            "waiting": [w for _, w in taken.values()],
-        })
-
-    return run
-
-
 def run_workflow(
-    seeds: DataFrame, states: DataFrame, links: DataFrame, max_urls: int = 50,
-    max_queue_size: int = 1000, allowed_domains: Iterable[str] | None = None,
+    seeds: DataFrame, states: DataFrame, links: DataFrame, max_depth: int | None = None,
+    max_urls: int | None = None, allowed_domains: Iterable[str] | None = None,
 ) -> DataFrame:
     """Statistics of one workflow per seed, all seeds in parallel.
 
-    seeds(url), states(url, success, relevant), links(src_url, pos, link).  Only
-    relevant pages are expanded.  A workflow touches at most ``max_urls`` pages,
-    so its own work is bounded; levels of all seeds advance together.
+    seeds(url), states(url, success, relevant), links(src_url, pos, link).  Level by
+    level, the links of relevant pages that a seed has not visited yet are visited
+    once.  ``max_depth`` bounds the levels, ``max_urls`` the pages of a seed: of the
+    level that reaches it, links of the seed's own domain come first, then by
+    position.  Both default to everything that can be reached.
     """
     link = F.col("link")
     usable = links.filter((scheme_of(link) != "") & (domain_of(link) != ""))
     if allowed_domains:
         usable = usable.filter(domain_of(link).isin(list(allowed_domains)))
-    expandable = states.filter("relevant").select("url")
-
-    level = seeds.select("url").distinct().select(
-        F.col("url").alias("seed"), "url", F.lit(0).alias("turn"), F.lit(1).alias("waiting")
-    )
-    seen = level = cut_lineage(level)
-    while True:
-        counts = seen.groupBy("seed").agg(F.count(F.lit(1)).alias("admitted"))
-        candidates = (
-            level.filter(F.col("turn") < max_urls)
-            .join(expandable, "url", "left_semi")
+    # repeats on one page change nothing
+    usable = usable.groupBy("src_url", "link").agg(F.min("pos").alias("pos"))
+    expandable = states.filter("relevant").select("url").distinct()
+    level = seeds.select(F.col("url").alias("seed"), "url").distinct()
+    seen = level = cut_lineage(level, "level")
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        away = (domain_of(link) != domain_of(F.col("seed"))).cast("int")
+        found = (
+            level.join(expandable, "url", "left_semi")
             .join(usable, F.col("url") == F.col("src_url"))
-            .select(
-                "seed",
-                F.col("turn").alias("parent"),
-                (domain_of(link) != domain_of(F.col("seed"))).cast("int").alias("priority"),
-                "pos",
-                "link",
-            )
-            # repeats on one page cannot change the outcome
-            .groupBy("seed", "parent", "priority", "link")
-            .agg(F.min("pos").alias("pos"))
-            .join(seen.select("seed", F.col("url").alias("link")), ["seed", "link"], "left_anti")
-            .join(counts, "seed")
-        )
-        level = cut_lineage(
-            candidates.groupBy("seed").applyInPandas(
-                _admit_level(max_queue_size), "seed string, url string, turn int, waiting int"
-            )
+            .groupBy("seed", "link")
+            .agg(F.min(F.struct(away.alias("away"), "pos")).alias("first"))
+            .withColumnRenamed("link", "url")
+            .join(seen, ["seed", "url"], "left_anti")
         )
+        if max_urls is not None:
+            used = seen.groupBy("seed").agg(F.count(F.lit(1)).alias("used"))
+            rank = F.row_number().over(Window.partitionBy("seed").orderBy("first", "url"))
+            found = found.withColumn("rank", rank).filter(F.col("rank") <= max_urls)
+            found = found.join(used, "seed").filter(F.col("rank") <= max_urls - F.col("used"))
+        level = cut_lineage(found.select("seed", "url"), "level")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
 
-    done = seen.join(states.select("url", "success", "relevant"), "url", "left").withColumn(
-        "done", F.col("turn") < max_urls
-    )
     success = F.coalesce("success", F.lit(False))
     relevant = success & F.coalesce("relevant", F.lit(False))
     return (
-        done.groupBy(F.col("seed").alias("seed_url"))
+        seen.join(states.select("url", "success", "relevant"), "url", "left")
+        .groupBy(F.col("seed").alias("seed_url"))
         .agg(
-            F.count_if("done").alias("urls_processed"),
-            F.count_if(F.col("done") & relevant).alias("relevant_found"),
-            F.count_if(F.col("done") & ~success).alias("failed"),
-            F.max("waiting").cast("bigint").alias("queue_peak"),
-            F.count_if("done").alias("urls_visited"),
-            F.count_if(~F.col("done")).alias("queue_size_final"),
+            F.count(F.lit(1)).alias("urls_processed"),
+            F.count_if(relevant).alias("relevant_found"),
+            F.count_if(~success).alias("failed"),
+            F.count_distinct("url").alias("urls_visited"),
         )
     )

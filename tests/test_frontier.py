@@ -56,30 +56,26 @@ def test_bfs_filters_links_not_seeds(spark):
     assert sorted(r.url for r in got.collect()) == ["http://a.org/1", "http://b.org/1"]
 
 
-def plain_workflow(seed, success, relevant, links, max_urls, cap):
-    queue, visited, stats = [seed], [], dict(relevant=0, failed=0, peak=1)
-    done = 0
-    while queue and done < max_urls:
-        url = queue.pop(0)
-        visited.append(url)
-        done += 1
-        if not success.get(url):
-            stats["failed"] += 1
-            continue
-        if not relevant[url]:
-            continue
-        stats["relevant"] += 1
-        new = [v for v in links[url] if v not in visited and v not in queue]
-        same = [v for v in new if host(v) == host(seed)]
-        for v in same + [v for v in new if host(v) != host(seed)]:
-            if v not in queue and len(queue) < cap:
-                queue.append(v)
-        stats["peak"] = max(stats["peak"], len(queue))
-    return (done, stats["relevant"], stats["failed"], stats["peak"], len(visited), len(queue))
-
-
-@pytest.mark.parametrize("seed, max_urls, cap", [(1, 50, 1000), (2, 8, 1000), (3, 50, 3), (4, 12, 2), (5, 1, 5), (6, 50, 5)])
-def test_workflow(spark, seed, max_urls, cap):
+def plain_workflow(seed, success, relevant, links, max_depth, max_urls):
+    seen, level, depth = [seed], [seed], 0
+    while level and (max_depth is None or depth < max_depth):
+        depth += 1
+        first = {}
+        for url in level:
+            for pos, v in enumerate(links[url] if relevant.get(url) else []):
+                if v not in seen:
+                    key = (host(v) != host(seed), pos, v)
+                    first[v] = min(first.get(v, key), key)
+        level = [v for _, _, v in sorted(first.values())]
+        if max_urls is not None:
+            level = level[:max(0, max_urls - len(seen))]
+        seen += level
+    ok = [u for u in seen if success.get(u)]
+    return len(seen), sum(relevant[u] for u in ok), len(seen) - len(ok), len(seen)
+
+
+@pytest.mark.parametrize("seed, max_depth, max_urls", [(1, None, None), (2, None, 8), (3, 2, None), (4, 1, 12), (5, None, 1), (6, 3, 5)])
+def test_workflow(spark, seed, max_depth, max_urls):
     urls, status, links = random_graph(seed, 30)
     rng = random.Random(seed + 100)
     success = {u: s == 200 for u, s in status.items()}
@@ -88,8 +84,8 @@ def test_workflow(spark, seed, max_urls, cap):
     states = spark.createDataFrame([(u, success[u], relevant[u]) for u in status], "url string, success boolean, relevant boolean")
     start = urls[:3]
     seeds = spark.createDataFrame([(u,) for u in start], "url string")
-    got = {r.seed_url: tuple(r)[1:] for r in wf.run_workflow(seeds, states, edges, max_urls, cap).collect()}
-    assert got == {u: plain_workflow(u, success, relevant, links, max_urls, cap) for u in start}
+    got = {r.seed_url: tuple(r)[1:] for r in wf.run_workflow(seeds, states, edges, max_depth, max_urls).collect()}
+    assert got == {u: plain_workflow(u, success, relevant, links, max_depth, max_urls) for u in start}
 
 
 def test_new_links_and_admission(spark):
