@@ -39,29 +39,35 @@ def _window_minimum(keys: np.ndarray, width: int) -> np.ndarray:
 def scan(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor in a block of texts at ``starts``..``ends``.
 
-    Returns the first and last window start of each run, its anchor, and the gram's hash.
+    Returns the first and last window start of each run, its anchor, and sums from which
+    ``span_hashes`` takes the hash of any span.
     """
     none = np.zeros(0, np.int64)
     if len(data) < window:
         return none, none, none, none.astype(np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * _POWERS[:len(data)])])
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * _INVERSES[:len(data) - GRAM + 1])
+    grams = span_hashes(sums, np.arange(len(data) - GRAM + 1), GRAM)
     keys = (grams & ~_PLACES) | np.arange(len(grams), dtype=np.uint64)
     anchor = (_window_minimum(keys, window - GRAM + 1) & _PLACES).astype(np.int64)
     text = np.repeat(np.arange(len(starts)), ends - starts)
     inside = text[:len(anchor)] == text[window - 1:]
     at = np.flatnonzero(inside)
     if not len(at):
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, sums
     new = np.flatnonzero(np.concatenate([[True], (anchor[at[1:]] != anchor[at[:-1]]) | (at[1:] != at[:-1] + 1)]))
     first, last = at[new], at[np.concatenate([new[1:] - 1, [len(at) - 1]])]
-    return first, last, anchor[first], grams[anchor[first]]
+    return first, last, anchor[first], sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the spans of ``length`` bytes at ``starts`` of a scanned block."""
+    return mix((sums[starts + length] - sums[starts]) * _INVERSES[starts])
 
 
-def scan_texts(texts: list[bytes], window: int) -> Iterator[tuple[int, int, bytes, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block: (text number or -1, offset, bytes, and the runs of ``scan``), see below.
+def scan_texts(texts: list[bytes], window: int) -> Iterator[tuple]:
+    """Scan texts in blocks.
 
-    Yields tuples (numbers, bases, data, owner, first, last, anchor, gram) where ``owner``
+    Yields tuples (numbers, bases, data, owner, first, last, anchor, sums) where ``owner``
     is the index of each run's text in ``numbers`` and ``bases`` holds what to add to a
     place in ``data`` to get the place in that text.
     """
@@ -73,9 +79,9 @@ def scan_texts(texts: list[bytes], window: int) -> Iterator[tuple[int, int, byte
         ends = np.cumsum(lengths)
         starts = ends - lengths
         data = b"".join(p for _, _, p in group)
-        first, last, anchor, gram = scan(np.frombuffer(data, np.uint8), starts, ends, window)
+        first, last, anchor, sums = scan(np.frombuffer(data, np.uint8), starts, ends, window)
         owner = np.searchsorted(ends, first, "right")
-        return [n for n, _, _ in group], np.array([b for _, b, _ in group]) - starts, data, owner, first, last, anchor, gram
+        return [n for n, _, _ in group], np.array([b for _, b, _ in group]) - starts, data, owner, first, last, anchor, sums
 
     for number, text in enumerate(texts):
         for base in range(0, max(1, len(text) - window + 1), BLOCK - window):

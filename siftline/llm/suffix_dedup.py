@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.anchors import scan_texts
+from siftline.llm.anchors import scan_texts, span_hashes
 from siftline.llm.common import with_text
+from siftline.llm.shingles import mix
 from siftline.llm.suffix_groups import suffix_array
 from siftline.session import cut_lineage
 
@@ -39,21 +40,22 @@ def _number(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _stretches(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, bytes]]:
-    """(text, core hash, first window, last window, core start, text bytes) of all stretches.
+def _stretches(texts: list[bytes]) -> Iterator[tuple]:
+    """Per block (numbers, bases, data, owner, key, low, high, core) of all stretches.
 
     Stretch ``j`` of an anchor holds its windows that start ``j * STRETCH`` to
-    ``(j + 1) * STRETCH - 1`` bytes before it.
+    ``(j + 1) * STRETCH - 1`` bytes before it; ``low`` and ``high`` are its first and last
+    window, ``key`` is a hash of the core's bytes and of ``j``.  Places are in ``data``.
     """
-    for numbers, bases, data, owner, first, last, anchor, _ in scan_texts(texts, WINDOW):
-        for o, f, l, a in zip(owner.tolist(), first.tolist(), last.tolist(), anchor.tolist()):
-            base, number = int(bases[o]), numbers[o]
-            for j in range((a - l) // STRETCH, (a - f) // STRETCH + 1):
-                core = a - j * STRETCH
-                low = max(f, core - STRETCH + 1)
-                high = min(l, core)
-                key = _number(data[core:core + CORE] + j.to_bytes(4, "little"))
-                yield number, key, low + base, high + base, core + base, texts[number]
+    for numbers, bases, data, owner, first, last, anchor, sums in scan_texts(texts, WINDOW):
+        near, far = (anchor - last) // STRETCH, (anchor - first) // STRETCH
+        count = far - near + 1
+        run = np.repeat(np.arange(len(first)), count)
+        j = near[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        core = anchor[run] - j * STRETCH
+        low, high = np.maximum(first[run], core - STRETCH + 1), np.minimum(last[run], core)
+        key = mix(span_hashes(sums, core, CORE) + j.astype(np.uint64)).view(np.int64) if len(core) else core
+        yield numbers, bases, data, owner[run], key, low, high, core
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -67,8 +69,8 @@ def core_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in _blocks(batch.column("text")):
-                found = np.fromiter((s[1] for s in _stretches(texts)), np.int64)
-                core, n = np.unique(found, return_counts=True)
+                found = [s[4] for s in _stretches(texts)]
+                core, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(n, pa.int64())], names=["core", "n"])
 
     rows = _texts(docs, text).select("text").mapInArrow(emit, "core bigint, n bigint")
@@ -116,16 +118,16 @@ def stretch_rows(docs: DataFrame, wanted, text: str = "text") -> DataFrame:
             at = 0
             for texts in _blocks(batch.column("text")):
                 out = []
-                for number, core, low, high, mid, data in _stretches(texts):
-                    bit = core & mask
-                    if not (int(table[bit >> 5]) >> (bit & 31)) & 1:
-                        continue
-                    snip = _number(data[low:high + WINDOW])
-                    body = None
-                    if (core, snip) not in seen:
-                        seen.add((core, snip))
-                        body = data[low:mid] + data[mid + CORE:high + WINDOW]
-                    out.append((*keys[at + number], core, snip, low, high - low + 1, mid - low, body))
+                for numbers, bases, data, owner, key, low, high, core in _stretches(texts):
+                    bit = key & mask
+                    hit = np.flatnonzero((table[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1)
+                    for o, k, f, l, c in zip(*(x[hit].tolist() for x in (owner, key, low, high, core))):
+                        snip = _number(data[f:l + WINDOW])
+                        body = None
+                        if (k, snip) not in seen:
+                            seen.add((k, snip))
+                            body = data[f:c] + data[c + CORE:l + WINDOW]
+                        out.append((*keys[at + numbers[o]], k, snip, f + int(bases[o]), l - f + 1, c - f, body))
                 at += len(texts)
                 if out:
                     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
