@@ -32,6 +32,11 @@ NUMBER_PATTERN = r"\b\d+(?:\.\d+)?\b"
 # ----------------------------------------------------------------------------
 
 
+def _only_where(col: Column, holds, strip) -> Column:
+    """``strip`` for the texts that a cheap test says it can change; ``col`` is computed once."""
+    return F.get(F.transform(F.array(col), lambda x: F.when(holds(x), strip(x)).otherwise(x)), F.lit(0))
+
+
 def lower_text(col: Column) -> Column:
     """Lower case, null as the empty string."""
     return F.lower(F.coalesce(col, F.lit("")))
@@ -96,12 +101,12 @@ def clean_tokens(
     """T1..T7 in order, as a token array."""
     out = lower_text(col)
     if remove_urls:
-        out = strip_urls(out)
+        out = _only_where(out, lambda x: x.contains("http") | x.contains("www."), strip_urls)
     if remove_emails:
-        out = strip_emails(out)
-    out = strip_paths(out)
+        out = _only_where(out, lambda x: x.contains("@"), strip_emails)
+    out = _only_where(out, lambda x: x.contains("/") | x.contains("\\"), strip_paths)
     if remove_numbers:
-        out = strip_numbers(out)
+        out = _only_where(out, lambda x: x.rlike(r"(?U)\d"), strip_numbers)
     return keep_words(out, remove_stopwords, min_word_length)
 
 
