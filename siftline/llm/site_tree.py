@@ -3,8 +3,9 @@
 The element trees of a host's pages are merged by path.  A path's importance comes from
 two entropies over the pages: how many ways its children are laid out, and how much its
 text differs from page to page.  Paths of low importance are template branches; they go,
-together with the elements whose tag or class names a part that is no article.  A page
-that marks its article keeps just that.
+inside articles too, together with the elements whose tag or class names a part that is
+no article.  Of what is left, a marked article outweighs the text around it unless that is
+several times as long.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ LEAST_IMPORTANCE = 0.3
 #: of the host's text.
 LEAST_PAGES = 5
 MAJOR_SHARE = 0.2
+#: Text around a marked article counts once it is more than so many times as long.
+ARTICLE_WEIGHT = 2
 
 # fixed values: elements by their role in HTML
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template"}
@@ -182,10 +185,13 @@ class Page:
 
 
 def main_blocks(blocks: list[tuple[str, str]], drop: set[str]) -> list[str]:
-    """The texts of a page without the paths in ``drop``; where some stand in an article or
-    main element, only those, whatever ``drop`` says."""
-    inside = [text for path, text in blocks if IN_ARTICLE.search(path)]
-    return inside or [text for path, text in blocks if path not in drop]
+    """The texts of a page without the paths in ``drop``; where some of them stand in an
+    article or main element, only those, unless the others are over ARTICLE_WEIGHT times
+    as long."""
+    left = [(IN_ARTICLE.search(path) is not None, text) for path, text in blocks if path not in drop]
+    inside = [text for within, text in left if within]
+    size, whole = sum(map(len, inside)), sum(len(text) for _, text in left)
+    return inside if inside and whole - size <= ARTICLE_WEIGHT * size else [text for _, text in left]
 
 
 def host_of(url: Column) -> Column:
@@ -228,6 +234,10 @@ def low_branches(rows: DataFrame, least: float = LEAST_IMPORTANCE, pages: int =
     layouts to base ``m``; the content importance is one less the mean of ``log_m`` of the
     number of pages that share a text block.  A path with ``l`` layouts weighs them as
     ``1 - GAMMA ** l`` to ``GAMMA ** l``.
+
+    Paths in articles go only where the host's articles tell pages apart (mean importance
+    by size of ``least`` or more) or where the text of importance around them is over
+    ARTICLE_WEIGHT times as long; elsewhere the marks are all there is to go by.
     """
     seen = rows.groupBy("host", "path", "kind", "value").agg(F.count_distinct("page").alias("c"), F.sum("size").alias("size"))
     each = rows.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("m"))
@@ -238,13 +248,19 @@ def low_branches(rows: DataFrame, least: float = LEAST_IMPORTANCE, pages: int =
         F.sum(F.when(F.col("kind") == 1, F.log("c")).otherwise(0.0)).alias("text_log"),
         F.count_if(F.col("kind") == 1).alias("blocks"), F.sum("size").alias("size"),
     )
-    whole = sums.groupBy("host").agg(F.sum("size").alias("all_size"))
     base = F.log("m")
     layout = F.when((F.col("l") == 0) | (F.col("m") <= 1), 1.0).otherwise((F.log("layout_c") - F.col("layout_clogc") / F.col("layout_c")) / base)
     content = F.when((F.col("blocks") == 0) | (F.col("m") <= 1), 1.0).otherwise(1 - F.col("text_log") / F.col("blocks") / base)
     gamma = F.pow(F.lit(GAMMA), F.col("l"))
-    judged = sums.join(each, ["host", "path"]).join(whole, "host").withColumn("importance", (1 - gamma) * layout + gamma * content)
-    low = judged.where((F.col("blocks") > 0) & (F.col("m") >= pages) & (F.col("importance") < least) & (F.col("size") < F.col("all_size") * major))
+    judged = sums.join(each, ["host", "path"]).withColumn("importance", (1 - gamma) * layout + gamma * content)
+    judged = cut_lineage(judged.where("blocks > 0").select("host", "path", "m", "size", "importance", F.col("path").rlike(IN_ARTICLE.pattern).alias("within")), "importance")
+    whole = judged.groupBy("host").agg(
+        F.sum("size").alias("all_size"), F.sum(F.when(F.col("within"), F.col("size")).otherwise(0)).alias("inner_size"),
+        F.sum(F.when(F.col("within"), F.col("size") * F.col("importance")).otherwise(0.0)).alias("inner"),
+        F.sum(F.when(~F.col("within") & (F.col("importance") >= least), F.col("size")).otherwise(0)).alias("outer_size"),
+    )
+    telling = (F.col("inner") >= F.col("inner_size") * least) | (F.col("outer_size") > F.col("inner_size") * ARTICLE_WEIGHT)
+    low = judged.join(whole, "host").where((F.col("m") >= pages) & (F.col("importance") < least) & (F.col("size") < F.col("all_size") * major) & (~F.col("within") | telling))
     return low.groupBy("host").agg(F.collect_set("path").alias("paths"))
 
 

@@ -179,6 +179,20 @@ def test_template_branches_of_a_host_go(spark):
     assert site_tree.extract_text(df.limit(0)).count() == 0
 
 
+def test_the_tree_decides_inside_articles_too(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(words(rng, n))
+    page = "<body><article><h1>{h}</h1><p>{p}</p><div class=pitch><p>Read on every day</p></div></article><div class=strip>{s}</div></body>"
+    marked = [(i, "http://a.example/x", page.format(h=text(3), p=text(60), s=text(5))) for i in range(12)]
+    cards = [(100 + i, "http://b.example/x", f"<div class=body><h1>{text(3)}</h1><p>{text(80)}</p></div><article><p>Read on every day</p></article>") for i in range(12)]
+    loose = [(200, "http://c.example/x", f"<div class=body><p>{text(80)}</p></div><article><p>{text(4)}</p></article>")]
+    df = spark.createDataFrame(marked + cards + loose, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_tree.extract_text(df).collect()}
+    for i, _, html in marked + cards:
+        assert got[i] == "\n".join(re.findall("<(?:h1|p)>(.*?)</", html)[:2])
+    assert got[200] == "\n".join(re.findall("<p>(.*?)</p>", loose[0][2]))
+
+
 @pytest.mark.parametrize("html,blocks", [
     ("a<script>if (a<b) '</p>'</script>b", ["ab"]),
     ("<p>x <!-- <p> no --> y</p>z", ["x y", "z"]),
