@@ -58,7 +58,7 @@ ARTICLE = {"article", "main"}
 WHOLE = {"html", "body", "article", "main"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'/>=][^\s/>=]*)\s*(?:=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 IN_ARTICLE = re.compile(r">(?:article|main)(?:[.>]|$)")
 NAME_PART = re.compile(r"[a-z]+")
 
@@ -79,7 +79,7 @@ def _label(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
                 noise = noise or value == "true"
             elif name == "hidden":
                 noise = True
-            else:
+            elif name in ("class", "id"):
                 parts = NAME_PART.findall(value)
                 if tag not in WHOLE and not any(p in DENIALS for p in parts):
                     noise = noise or any(p in NOISE_NAMES and not (inside and p == "header") for p in parts)

@@ -206,6 +206,14 @@ def test_blocks_of_a_page(html, blocks):
     assert [text for _, text in site_tree.Page(html).blocks] == blocks
 
 
+@pytest.mark.parametrize("attributes,noise", [
+    ('style="overflow:hidden"', False), ('href="/the-hidden-cost"', False), ('data-id="nav"', False), ("href=/x?id=menu", False), ('title="role=navigation"', False),
+    ("HIDDEN", True), ('data-x="1"hidden=""', True), ("aria-hidden=true", True), ("id = 'menu'", True), ('style="a:b" class="x\nsidebar"', True),
+])
+def test_attributes_are_read_by_their_whole_names(attributes, noise):
+    assert [text for _, text in site_tree.Page(f"<p>a <span {attributes}>b</span></p>").blocks] == (["a"] if noise else ["a b"])
+
+
 def test_neighbours_reach_recall_on_a_table_with_odd_rows(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16))
