@@ -1,6 +1,6 @@
 """Removal of long byte strings that occur more than once, over a whole corpus.
 
-Windows of WINDOW bytes can only be equal if their anchors are at equal offsets and the
+Windows of one width in bytes can only be equal if their anchors are at equal offsets and the
 bytes that all windows of a stretch share (its core) are equal.  Stretches are grouped by
 core; within a group, a stretch is its bytes around the core with the core as one symbol,
 equal stretches are one, and a suffix array over the different stretches of many groups
@@ -18,16 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.anchors import scan_texts, span_hashes
+from siftline.llm.anchors import GRAM, scan_texts, span_hashes
 from siftline.llm.common import with_text
 from siftline.llm.shingles import mix
 from siftline.llm.suffix_groups import suffix_array
 from siftline.session import cut_lineage
 
 WINDOW = 400
-#: Windows of a stretch at most; its core is the other bytes.
-STRETCH = 128
-CORE = WINDOW - STRETCH + 1
 #: Symbols of a shard about, and different stretches of one core that go to one shard at most.
 SHARD_SYMBOLS = 500_000
 MOST_STRETCHES = 5_000
@@ -36,44 +33,50 @@ MOST_STRETCHES = 5_000
 LEAST_BITS, MOST_BITS = 16, 26
 
 
+def stretch_of(window: int) -> int:
+    """Windows of a stretch at most; its core is the other bytes."""
+    return max(1, window * 8 // 25)
+
+
 def _number(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _stretches(texts: list[bytes]) -> Iterator[tuple]:
+def _stretches(texts: list[bytes], window: int) -> Iterator[tuple]:
     """Per block (numbers, bases, data, owner, key, low, high, core) of all stretches.
 
-    Stretch ``j`` of an anchor holds its windows that start ``j * STRETCH`` to
-    ``(j + 1) * STRETCH - 1`` bytes before it; ``low`` and ``high`` are its first and last
+    Stretch ``j`` of an anchor holds its windows that start ``j * stretch`` to
+    ``(j + 1) * stretch - 1`` bytes before it; ``low`` and ``high`` are its first and last
     window, ``key`` is a hash of the core's bytes and of ``j``.  Places are in ``data``.
     """
-    for numbers, bases, data, owner, first, last, anchor, sums in scan_texts(texts, WINDOW):
-        near, far = (anchor - last) // STRETCH, (anchor - first) // STRETCH
+    stretch = stretch_of(window)
+    for numbers, bases, data, owner, first, last, anchor, sums in scan_texts(texts, window):
+        near, far = (anchor - last) // stretch, (anchor - first) // stretch
         count = far - near + 1
         run = np.repeat(np.arange(len(first)), count)
         j = near[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-        core = anchor[run] - j * STRETCH
-        low, high = np.maximum(first[run], core - STRETCH + 1), np.minimum(last[run], core)
-        key = mix(span_hashes(sums, core, CORE) + j.astype(np.uint64)).view(np.int64) if len(core) else core
+        core = anchor[run] - j * stretch
+        low, high = np.maximum(first[run], core - stretch + 1), np.minimum(last[run], core)
+        key = mix(span_hashes(sums, core, window - stretch + 1) + j.astype(np.uint64)).view(np.int64) if len(core) else core
         yield numbers, bases, data, owner[run], key, low, high, core
 
 
-def _texts(docs: DataFrame, text: str) -> DataFrame:
+def _texts(docs: DataFrame, text: str, window: int) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.xxhash64(whole).alias("text_hash"), F.octet_length(whole).alias("n_bytes"), whole.alias("text")).where(F.col("n_bytes") >= WINDOW)
+    return docs.select(F.xxhash64(whole).alias("text_hash"), F.octet_length(whole).alias("n_bytes"), whole.alias("text")).where(F.col("n_bytes") >= window)
 
 
-def core_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def core_counts(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The core hashes that occur twice or more in the corpus."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in _blocks(batch.column("text")):
-                found = [s[4] for s in _stretches(texts)]
+                found = [s[4] for s in _stretches(texts, window)]
                 core, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(n, pa.int64())], names=["core", "n"])
 
-    rows = _texts(docs, text).select("text").mapInArrow(emit, "core bigint, n bigint")
+    rows = _texts(docs, text, window).select("text").mapInArrow(emit, "core bigint, n bigint")
     return rows.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core")
 
 
@@ -103,13 +106,15 @@ def core_filter(cores: DataFrame) -> tuple[int, np.ndarray]:
 STRETCH_ROWS = "text_hash bigint, n_bytes int, core bigint, snip bigint, first int, windows int, head int, body binary"
 
 
-def stretch_rows(docs: DataFrame, wanted, text: str = "text") -> DataFrame:
+def stretch_rows(docs: DataFrame, wanted, text: str = "text", window: int = WINDOW) -> DataFrame:
     """All stretches whose core the filter lets through, in the text they stand in.
 
     ``snip`` is a hash of the stretch's bytes; ``body`` holds the ``head`` bytes before
     the core and the bytes after it, given once per task and stretch.
     """
 
+    width = window - stretch_of(window) + 1
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (bits, table), seen = wanted.value, set()
         mask = (1 << bits) - 1
@@ -118,15 +123,15 @@ def stretch_rows(docs: DataFrame, wanted, text: str = "text") -> DataFrame:
             at = 0
             for texts in _blocks(batch.column("text")):
                 out = []
-                for numbers, bases, data, owner, key, low, high, core in _stretches(texts):
+                for numbers, bases, data, owner, key, low, high, core in _stretches(texts, window):
                     bit = key & mask
                     hit = np.flatnonzero((table[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1)
                     for o, k, f, l, c in zip(*(x[hit].tolist() for x in (owner, key, low, high, core))):
-                        snip = _number(data[f:l + WINDOW])
+                        snip = _number(data[f:l + window])
                         body = None
                         if (k, snip) not in seen:
                             seen.add((k, snip))
-                            body = data[f:c] + data[c + CORE:l + WINDOW]
+                            body = data[f:c] + data[c + width:l + window]
                         out.append((*keys[at + numbers[o]], k, snip, f + int(bases[o]), l - f + 1, c - f, body))
                 at += len(texts)
                 if out:
@@ -134,7 +139,7 @@ def stretch_rows(docs: DataFrame, wanted, text: str = "text") -> DataFrame:
                     names = [c.split()[0] for c in STRETCH_ROWS.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return _texts(docs, text).select("text_hash", "n_bytes", "text").mapInArrow(emit, STRETCH_ROWS)
+    return _texts(docs, text, window).select("text_hash", "n_bytes", "text").mapInArrow(emit, STRETCH_ROWS)
 
 
 RUNS = "core bigint, snip bigint, runs array<struct<a:int,b:int>>"
@@ -151,11 +156,11 @@ def _runs_of(marks: list[int]) -> list[dict]:
     return out
 
 
-def repeated_windows(stretches: list[tuple[int, bytes, int, int]]) -> list[list[int]]:
+def repeated_windows(stretches: list[tuple[int, bytes, int, int]], stretch: int) -> list[list[int]]:
     """Per stretch (core number, body, head, windows) its windows that occur in another one.
 
     One suffix array over all of them: bytes are symbols 1 to 256, each core is a symbol
-    of its own, and a 0 ends each stretch.  Two neighbours that share STRETCH symbols
+    of its own, and a 0 ends each stretch.  Two neighbours that share ``stretch`` symbols
     from a window's start on are equal windows.
     """
     symbols: list[int] = []
@@ -169,36 +174,37 @@ def repeated_windows(stretches: list[tuple[int, bytes, int, int]]) -> list[list[
     found: list[set[int]] = [set() for _ in stretches]
     order = [p for p in suffix_array(symbols) if starts[p][1] >= 0]
     for p, q in zip(order, order[1:]):
-        if symbols[p:p + STRETCH] == symbols[q:q + STRETCH]:
+        if symbols[p:p + stretch] == symbols[q:q + stretch]:
             found[starts[p][0]].add(starts[p][1])
             found[starts[q][0]].add(starts[q][1])
     return [sorted(x) for x in found]
 
 
-def _shard(table: pa.Table) -> pa.Table:
+def _shard(table: pa.Table, stretch: int) -> pa.Table:
     cores, snips = table.column("core").to_pylist(), table.column("snip").to_pylist()
     number = {c: i for i, c in enumerate(dict.fromkeys(cores))}
     rows = list(zip((number[c] for c in cores), table.column("body").to_pylist(), table.column("head").to_pylist(), table.column("windows").to_pylist()))
-    marks = repeated_windows(rows)
+    marks = repeated_windows(rows, stretch)
     return pa.table([pa.array(cores, pa.int64()), pa.array(snips, pa.int64()), pa.array([_runs_of(m) for m in marks], RUN_TYPE)], names=["core", "snip", "runs"])
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_hashes(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         rows = zip(*(batch.column(c).to_pylist() for c in ("core", "snip", "body", "head", "windows")))
         for core, snip, body, head, windows in rows:
             for w in range(windows):
                 # the window's bytes before the core tell how many follow it
-                data = blake2b(body[w:w + STRETCH - 1] + (head - w).to_bytes(2, "little"), digest_size=16).digest()
+                data = blake2b(body[w:w + stretch - 1] + (head - w).to_bytes(2, "little"), digest_size=16).digest()
                 out.append((core, snip, w, data))
         if out:
             types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["core", "snip", "w", "h"])
 
 
-def repeated_runs(rows: DataFrame, most: int = MOST_STRETCHES, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
+def repeated_runs(rows: DataFrame, window: int = WINDOW, most: int = MOST_STRETCHES, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
     """(core, snip, runs): the repeated windows of each different stretch, as runs a..b."""
+    stretch = stretch_of(window)
     distinct = rows.groupBy("core", "snip").agg(F.count("*").alias("n"), F.max("body").alias("body"), F.max("head").alias("head"), F.max("windows").alias("windows"))
     per_core = distinct.groupBy("core").agg(F.count("*").alias("m"))
     distinct = cut_lineage(distinct.join(per_core, "core"), "stretches")
@@ -207,24 +213,24 @@ def repeated_runs(rows: DataFrame, most: int = MOST_STRETCHES, shard_symbols: in
     symbols = mixed.agg(F.sum(F.octet_length("body") + 2)).first()[0] or 0
     shards = -(-symbols // shard_symbols) or 1
     placed = mixed.withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards)))
-    small = placed.groupBy("shard").applyInArrow(_shard, RUNS)
-    many = distinct.where(F.col("m") > most).select("core", "snip", "body", "head", "windows").mapInArrow(_window_hashes, "core bigint, snip bigint, w int, h binary")
+    small = placed.groupBy("shard").applyInArrow(lambda table: _shard(table, stretch), RUNS)
+    many = distinct.where(F.col("m") > most).select("core", "snip", "body", "head", "windows").mapInArrow(lambda batches: _window_hashes(batches, stretch), "core bigint, snip bigint, w int, h binary")
     twice = many.groupBy("core", "h").agg(F.count("*").alias("k")).where("k > 1").select("core", "h")
     large = many.join(twice, ["core", "h"]).select("core", "snip", F.expr("array(struct(w as a, w as b))").alias("runs"))
     return whole.union(small.where("size(runs) > 0")).union(large)
 
 
-def removed_spans(docs: DataFrame, text: str = "text", **sizes) -> DataFrame:
+def removed_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, **sizes) -> DataFrame:
     """(text_hash, n_bytes, spans): per different text with repeats, starts and ends of windows
     that occur elsewhere, joined where they touch within one stretch."""
-    cores = cut_lineage(core_counts(docs, text), "cores")
+    cores = cut_lineage(core_counts(docs, text, window), "cores")
     wanted = docs.sparkSession.sparkContext.broadcast(core_filter(cores))
-    rows = cut_lineage(stretch_rows(docs, wanted, text), "stretch-rows")
-    runs = cut_lineage(repeated_runs(rows, **sizes), "runs")
+    rows = cut_lineage(stretch_rows(docs, wanted, text, window), "stretch-rows")
+    runs = cut_lineage(repeated_runs(rows, window, **sizes), "runs")
     # a text that stands twice gives equal rows; one of each is enough from here on
     places = rows.select("text_hash", "n_bytes", "core", "snip", "first").distinct()
     hits = places.join(runs, ["core", "snip"]).select("text_hash", "n_bytes", "first", F.explode("runs").alias("r"))
-    spans = hits.select("text_hash", "n_bytes", F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b") + WINDOW).alias("b")).alias("s"))
+    spans = hits.select("text_hash", "n_bytes", F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b") + window).alias("b")).alias("s"))
     return spans.groupBy("text_hash", "n_bytes").agg(F.collect_list("s").alias("spans"))
 
 
@@ -239,16 +245,18 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_kept: bool = False, **sizes) -> DataFrame:
+def dedup_substrings(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_kept: bool = False, window: int = WINDOW, **sizes) -> DataFrame:
     """Columns ``keep`` with n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
-    Every byte covered by a WINDOW-byte string that also starts anywhere else, in the
+    Every byte covered by a string of ``window`` bytes that also starts anywhere else, in the
     input, is removed.  ``with_kept`` adds ``kept``, the remaining bytes as
     text (a character that lost some of its bytes shows as U+FFFD).  Null
-    texts count as empty; texts below WINDOW bytes lose nothing; repeated rows lose all
-    from WINDOW bytes on.
+    texts count as empty; texts below ``window`` bytes lose nothing; repeated rows lose
+    all from ``window`` bytes on.  The anchors need windows of GRAM bytes at least.
     """
-    spans = cut_lineage(removed_spans(docs, text, **sizes), "spans")
+    if window < GRAM:
+        raise ValueError(f"window must be at least {GRAM}")
+    spans = cut_lineage(removed_spans(docs, text, window, **sizes), "spans")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, whole.alias("_text"), F.xxhash64(whole).alias("text_hash"), F.octet_length(whole).alias("n_bytes")).join(spans, ["text_hash", "n_bytes"], "left")
     rows = rows.select(*keep, "_text", F.transform("spans", lambda s: s["a"]).alias("_a"), F.transform("spans", lambda s: s["b"]).alias("_b"))

@@ -147,6 +147,15 @@ def test_repeated_strings_go_as_counting_all_windows_says(spark, most):
     assert [i for i in range(len(texts)) if got[i] != want[i]] == []
 
 
+@pytest.mark.parametrize("window,most", [(240, 5000), (240, 1), (97, 5000)])
+def test_other_widths_than_the_contract_go_as_counting_says(spark, window, most):
+    texts = repeating_texts()
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOC).repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup_substrings(df, window=window, most=most, shard_symbols=2000).collect()}
+    want = repeated(texts, window)
+    assert [i for i in range(len(texts)) if got[i] != want[i]] == []
+
+
 def test_applied_removal_keeps_columns_and_drops_emptied_documents(spark):
     texts = repeating_texts()
     df = spark.createDataFrame([(i, t, "l", "s", 0) for i, t in enumerate(texts)], DOC).withColumns({"kept": F.lit(1), "n_bytes": F.lit("x"), "doc": F.lit(2)})

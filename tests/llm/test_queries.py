@@ -1,6 +1,7 @@
 """The queries of the operators on the smallest tables, and the pipeline against plain versions."""
 
 import os
+import random
 import sys
 from collections import Counter
 
@@ -83,6 +84,18 @@ def test_pipeline_stages_match_plain_versions(spark, tokens):  # noqa: F811
     assert Counter((i, tuple(x)) for i, x in zip(out["doc_id"], out["ids"])) == ids
 
 
+def test_pipeline_removes_repeated_passages_of_fifty_words(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(3, 7))) for _ in range(n))
+    passage = text(52)
+    assert len(passage) < 400
+    docs = spark.createDataFrame([(i, f"{text(80)} {passage} {text(80)}", "en", "s", 0) for i in range(2)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = corpus_pipeline.substring_stage(spark, docs, SF).collect()
+    assert len(left) == 2 and not any(passage in r["text"] for r in left)
+    want = repeated([r["text"] for r in docs.collect()], corpus_pipeline.PASSAGE_BYTES)
+    assert sorted(len(r["text"]) for r in left) == sorted(n - gone for n, gone, _, _ in want)
+
+
 def test_pipeline_runs_from_documents(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
