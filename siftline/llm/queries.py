@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, preferences, quality, site_tree, suffix_dedup, token_counts
+from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, preferences, quality, site_tree, suffix_dedup, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     """All conversations, paired with one that opens alike where there is one."""
     convs = preferences.conversations(table(spark, sf, "conversations"))
     return preferences.format_preferences(preferences.pair_up(convs), convs)
+
+
+@query("op11_url_filters", url_filters.ORACLE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """All urls by the host rules and the pattern rules."""
+    return url_filters.judge_urls(table(spark, sf, "pages"), url_filters.rule_table(spark), keep=("page_id",))
