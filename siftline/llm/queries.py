@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, preferences, quality, site_tree, suffix_dedup, token_counts, url_filters
+from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, preferences, quality, site_tree, spelling, suffix_dedup, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     """All urls by the host rules and the pattern rules."""
     return url_filters.judge_urls(table(spark, sf, "pages"), url_filters.rule_table(spark), keep=("page_id",))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """All words of all documents with the form and root they vary."""
+    return spelling.group_variants(table(spark, sf, "documents"))
