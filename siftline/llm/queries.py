@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, preferences, quality, site_tree, spelling, suffix_dedup, token_counts, url_filters
+from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, preferences, quality, site_tree, spelling, suffix_dedup, token_counts, url_filters, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     """All words of all documents with the form and root they vary."""
     return spelling.group_variants(table(spark, sf, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors on the leading whitened components."""
+    return whitening.whiten_rows(table(spark, sf, "embeddings"))

@@ -35,7 +35,7 @@ def test_query(spark, name):
 def test_entry_serves_all(spark):
     import __spark_entry__ as contract
 
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
