@@ -1,4 +1,4 @@
-from pyspark.sql import functions as F
+import time
 
 from siftline import schemas
 from siftline.streaming import incremental as st
@@ -32,12 +32,62 @@ def test_scoring_sees_each_url_once_and_merges_idempotently(spark, tmp_path):
     assert {n: t.count() for n, t in again.items()} == {n: t.count() for n, t in once.items()}
 
 
-def test_daily_counts_stream(spark, tmp_path):
-    inbox = str(tmp_path / "in")
-    rows = spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,id) created_at from range(60)")
-    rows.write.parquet(inbox)
-    stream = st.daily_counts(st.stream_pages(spark, inbox, "created_at timestamp"))
-    q = stream.writeStream.format("memory").queryName("daily_test").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {str(r.day)[:10]: r.incidents for r in spark.table("daily_test").collect()}
-    assert got == {"2024-01-01": 24, "2024-01-02": 24, "2024-01-03": 12}
+def test_state_is_bounded_and_late_repeats_are_merged_once(spark, tmp_path):
+    inbox, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    totals = []
+    for k in range(6):
+        # five new urls a run, and one that every run brings
+        rows = [(100 * k + i, f"http://h.org/{k}-{i}", TEXT, 200) for i in range(5)] + [(100 * k + 50, "http://h.org/again", TEXT, 200)]
+        spark.createDataFrame(rows, COLS).coalesce(1).write.mode("append").parquet(inbox)
+        scored = st.score_stream(st.stream_pages(spark, inbox, COLS), None, keep=["seq"], repeat_within="1 second")
+        time.sleep(1.2)
+        done = st.run_available(scored, sink, progress)
+        totals += [op["numRowsTotal"] for p in done for op in p["stateOperators"]]
+        assert any("rocksdb" in name for p in done for op in p["stateOperators"] for name in op["customMetrics"])
+    # 36 pages have passed; the state holds those of the last run or two
+    assert len(totals) >= 6 and max(totals) <= 12
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    out = spark.read.parquet(sink)
+    assert out.filter("url = 'http://h.org/again'").count() > 1
+    tables = [spark.createDataFrame([], s) for s in (schemas.ARTICLES, schemas.INCIDENTS, schemas.SOURCES, schemas.TAGS, schemas.INCIDENT_TAGS)]
+    merged = st.merge_scored(out, *tables, NOW)
+    assert merged["incidents"].count() == merged["incidents"].select("source_reference").distinct().count() == 31
+    assert merged["articles"].count() == 31
+
+
+def test_html_is_parsed_before_the_shuffle(spark, tmp_path):
+    spark.createDataFrame([(1, "http://h.org/1", TEXT, 200)], COLS).write.parquet(str(tmp_path / "in"))
+    scored = st.score_stream(st.stream_pages(spark, str(tmp_path / "in"), COLS), None)
+    plan = scored._jdf.queryExecution().analyzed().toString()
+    assert plan.index("DeduplicateWithinWatermark") < plan.index("MapInPandas")
+
+
+def test_daily_counts_close_days_and_add_open_ones(spark, tmp_path):
+    inbox, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+
+    def arrive(*times):
+        spark.sql("select explode(array({})) created_at".format(", ".join(f"timestamp'{t}'" for t in times))).coalesce(1).write.mode("append").parquet(inbox)
+        st.run_available(st.daily_counts(st.stream_pages(spark, inbox, "created_at timestamp")), sink, progress)
+        closed = spark.read.schema("day timestamp, incidents bigint").parquet(sink)
+        totals = st.daily_totals(closed, spark.read.parquet(inbox))
+        return [{str(r.day)[8:10]: r.incidents for r in df.collect()} for df in (closed, totals)]
+
+    closed, totals = arrive(*(f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00" for h in range(4 * 24 + 13)))
+    # the last row is of day 5, 12:00; one day earlier day 4 is still open
+    assert closed == {"01": 24, "02": 24, "03": 24}
+    assert totals == closed | {"04": 24, "05": 13}
+    # late by less than a day: counted; late by days: the closed day stays as it was
+    closed, totals = arrive("2024-01-04 13:30:00", "2024-01-01 05:00:00")
+    assert closed == {"01": 24, "02": 24, "03": 24}
+    assert totals == closed | {"04": 25, "05": 13}
+    closed, totals = arrive("2024-01-07 00:00:00")
+    assert closed == {"01": 24, "02": 24, "03": 24, "04": 25, "05": 13}
+    assert totals == closed | {"07": 1}
+    plan = st.daily_totals(spark.read.parquet(sink), spark.read.parquet(inbox))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at,2024-01-06" in plan
+
+
+def test_daily_totals_without_a_closed_day(spark):
+    rows = spark.sql("select explode(array(timestamp'2024-01-01 01:00:00', null)) created_at")
+    none = spark.createDataFrame([], "day timestamp, incidents bigint")
+    assert [r.incidents for r in st.daily_totals(none, rows).collect()] == [1]
