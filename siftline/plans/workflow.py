@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.text import domain_of, scheme_of
 from siftline.operators.extract import parse_pages
+from siftline.operators.frontier import store_graph
 from siftline.operators.incidents import create_incidents, get_or_create_sources
 from siftline.operators.model import LinearModel, predict_with_score
 from siftline.session import cut_lineage
@@ -99,36 +101,38 @@ def run_workflow(
     if allowed_domains:
         usable = usable.filter(domain_of(link).isin(list(allowed_domains)))
     # repeats on one page change nothing
-    usable = usable.groupBy("src_url", "link").agg(F.min("pos").alias("pos"))
-    expandable = states.filter("relevant").select("url").distinct()
-    level = seeds.select(F.col("url").alias("seed"), "url").distinct()
-    seen = level = cut_lineage(level, "level")
+    usable = cut_lineage(usable.groupBy("src_url", "link").agg(F.min("pos").alias("pos")), "links")
+    graph = store_graph(usable, states.select("url", F.when(F.col("relevant"), 200).otherwise(0).alias("status")))
+    expandable = graph.pages.filter("status = 200").drop("status")
+    keys = ["seed", "url"]
+    level = graph.store(seeds.select(F.col("url").alias("seed"), "url").distinct(), keys)
+    levels = [level]
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
         away = (domain_of(link) != domain_of(F.col("seed"))).cast("int")
         found = (
-            level.join(expandable, "url", "left_semi")
-            .join(usable, F.col("url") == F.col("src_url"))
+            graph.follow(level.join(expandable, "url").select("url", "seed", "parts"))
             .groupBy("seed", "link")
             .agg(F.min(F.struct(away.alias("away"), "pos")).alias("first"))
             .withColumnRenamed("link", "url")
-            .join(seen, ["seed", "url"], "left_anti")
         )
+        for seen in levels:
+            found = found.join(seen, keys, "left_anti")
         if max_urls is not None:
-            used = seen.groupBy("seed").agg(F.count(F.lit(1)).alias("used"))
+            used = reduce(DataFrame.unionByName, levels).groupBy("seed").agg(F.count(F.lit(1)).alias("used"))
             rank = F.row_number().over(Window.partitionBy("seed").orderBy("first", "url"))
             found = found.withColumn("rank", rank).filter(F.col("rank") <= max_urls)
             found = found.join(used, "seed").filter(F.col("rank") <= max_urls - F.col("used"))
-        level = cut_lineage(found.select("seed", "url"), "level")
+        level = graph.store(found.select(*keys), keys)
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
+        levels.append(level)
 
     success = F.coalesce("success", F.lit(False))
     relevant = success & F.coalesce("relevant", F.lit(False))
     return (
-        seen.join(states.select("url", "success", "relevant"), "url", "left")
+        reduce(DataFrame.unionByName, levels).join(states.select("url", "success", "relevant"), "url", "left")
         .groupBy(F.col("seed").alias("seed_url"))
         .agg(
             F.count(F.lit(1)).alias("urls_processed"),

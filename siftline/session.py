@@ -64,6 +64,18 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """As ``cut_lineage``, but stored in hash buckets of ``keys``, one file each.
+
+    Joins and groupings on the keys read the table without shuffling it.
+    """
+    spark = df.sparkSession
+    table = f"siftline_{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *keys)
+    rows.write.format("parquet").bucketBy(buckets, *keys).option("path", work_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors, for clusters where it is not installed."""
     package = Path(__file__).resolve().parent

@@ -38,21 +38,54 @@ def plain_bfs(seeds, status, links, max_depth, max_urls):
     return {(u, d, s) for u, (d, s) in visited.items()}
 
 
+def graphs(edges, pages):
+    """The plain graph, the stored one, and one in which nearly every page is a hub."""
+    return [fr.plain_graph(edges, pages), fr.store_graph(edges, pages), fr.store_graph(edges, pages, hub_links=2, buckets=3)]
+
+
 @pytest.mark.parametrize("seed, max_depth, max_urls", [(1, 2, 100), (2, 3, 9), (3, 2, 5), (4, 3, None), (5, 0, 100)])
 def test_bfs(spark, seed, max_depth, max_urls):
     urls, status, links = random_graph(seed)
     pages, edges = frames(spark, status, links)
     start = [urls[0], urls[7], urls[0]]
     seeds = spark.createDataFrame([(u, i) for i, u in enumerate(start)], "url string, pos int")
-    got = fr.bfs(seeds, edges, pages, max_depth, max_urls).select("url", "depth", "status")
-    assert sorted(map(tuple, got.collect())) == sorted(plain_bfs(start, status, links, max_depth, max_urls))
+    want = sorted(plain_bfs(start, status, links, max_depth, max_urls))
+    for graph in graphs(edges, pages)[seed % 2:]:
+        got = fr.bfs(seeds, graph, max_depth, max_urls).select("url", "depth", "status")
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_hub_links_are_dealt_into_parts(spark):
+    links = {"http://a.org/hub": [f"http://a.org/{i}" for i in range(500)], "http://a.org/1": ["http://a.org/hub"]}
+    pages, edges = frames(spark, {u: 200 for u in links}, links)
+    graph = fr.store_graph(edges, pages, hub_links=50, buckets=4)
+    parts = {r.src_url[-1] + str(r.part): r["count"] for r in graph.links.groupBy("src_url", "part").count().collect()}
+    assert len(parts) == 11 and sum(parts.values()) == 501 and max(parts.values()) < 100
+    seeds = spark.createDataFrame([("http://a.org/1", 0)], "url string, pos int")
+    assert fr.bfs(seeds, graph).count() == 501
+
+
+def test_a_level_does_not_shuffle_the_links(spark):
+    urls, status, links = random_graph(6)
+    graph = fr.store_graph(*reversed(frames(spark, status, links)), buckets=4)
+    frontier = graph.pages.filter("status = 200").select("url", "parts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph.follow(frontier)._jdf.queryExecution().executedPlan().toString()
+        seen = frontier.select("url").distinct().join(graph.pages.select("url"), "url", "left_anti")
+        alone = seen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the only exchange lies above the frontier's scan, the links' scan comes after it
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("FileScan") < plan.rindex("FileScan")
+    assert "SelectedBucketsCount: 4 out of 4" in plan and "Exchange" not in alone
 
 
 def test_bfs_filters_links_not_seeds(spark):
     pages, edges = frames(spark, {"http://a.org/1": 200, "http://b.org/1": 200, "http://a.org/2": 200},
                           {"http://b.org/1": ["http://a.org/1", "http://b.org/2", "http://a.org/2"]})
     seeds = spark.createDataFrame([("http://b.org/1", 0)], "url string, pos int")
-    got = fr.bfs(seeds, edges, pages, allowed_domains=["a.org"], url_patterns=["/1$", "zzz"])
+    got = fr.bfs(seeds, fr.plain_graph(edges, pages), allowed_domains=["a.org"], url_patterns=["/1$", "zzz"])
     assert sorted(r.url for r in got.collect()) == ["http://a.org/1", "http://b.org/1"]
 
 

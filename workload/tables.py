@@ -182,19 +182,16 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """A page graph: parts and suppliers link each other through the line items."""
     li = raw(spark, sf, "lineitem")
+    pos = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    # grouped on the numbers; the urls are made of what is left
+    pairs = li.groupBy("l_partkey", "l_suppkey").agg(F.min(pos).alias("pos"))
     part = F.concat(F.lit("https://parts.example.org/"), F.col("l_partkey").cast("string"))
     supp = F.concat(F.lit("https://suppliers.example.org/"), F.col("l_suppkey").cast("string"))
-    pos = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     both = F.array(
         F.struct(part.alias("src_url"), supp.alias("link")),
         F.struct(supp.alias("src_url"), part.alias("link")),
     )
-    return (
-        li.select(pos.alias("pos"), F.explode(both).alias("e"))
-        .groupBy("e.src_url", "e.link")
-        .agg(F.min("pos").alias("pos"))
-        .select("src_url", "pos", "link")
-    )
+    return pairs.select("pos", F.explode(both).alias("e")).select("e.src_url", "pos", "e.link")
 
 
 def graph_pages(spark: SparkSession, sf: str) -> DataFrame:
