@@ -9,18 +9,8 @@ from siftline.functions import labels as lb
 from siftline.functions.text import contains_text
 from siftline.operators.ranking import dense_ids, max_id, page_of
 from siftline.schemas import ARTICLE_COLUMNS
-
-
-def _last_per_key(df: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
-    """The row with the largest ``seq`` per key.
-
-    Written as an aggregate so that copies of a hot key collapse before the
-    shuffle; a window would send all of them to one task.
-    """
-    packed = F.struct(*columns)
-    return (
-        df.groupBy(key).agg(F.max_by(packed, F.col(seq)).alias("_row")).select(key, "_row.*")
-    )
+from siftline.session import cut_lineage
+from siftline.sources.keyed_table import KeyedTable
 
 
 def _field(df: DataFrame, name: str, default: Column | None = None) -> Column:
@@ -66,14 +56,30 @@ def upsert_articles(
     new table and a one-row count of accepted records.
     """
     rows = normalize_incoming(incoming, now, seq)
-    numbered = dense_ids(rows, seq, start=max_id(existing))
-    payload = [c for c in ARTICLE_COLUMNS if c != "url"]
-    latest = _last_per_key(numbered, "url", seq, payload).select(*ARTICLE_COLUMNS)
-    kept = existing.select(*ARTICLE_COLUMNS).join(rows.select("url"), "url", "left_anti")
+    winners = latest_ids(rows, max_id(existing), seq)
+    kept = existing.select(*ARTICLE_COLUMNS).join(winners.select("url"), "url", "left_anti")
+    latest = rows.join(winners, ["url", seq]).select(*ARTICLE_COLUMNS)
     merged = kept.select(*ARTICLE_COLUMNS).unionByName(latest)
     return merged, rows.agg(F.count(F.lit(1)).alias("added"))
 
 
+def latest_ids(rows: DataFrame, start: Column | int, seq: str = "seq") -> DataFrame:
+    """(url, seq, id): the last record of every url and its id.
+
+    Made from (url, seq) alone; ids rise with ``seq``, so two maxima name the winner and
+    copies of a hot url collapse before the shuffle.  Stored, so that its true size decides
+    whether bodies and stored rows meet it where they are.
+    """
+    numbered = dense_ids(rows.select("url", seq), seq, start)
+    return cut_lineage(numbered.groupBy("url").agg(F.max(seq).alias(seq), F.max("id").alias("id")), "winners")
+
+
+def upsert_stored(table: KeyedTable, incoming: DataFrame, now: str, seq: str = "seq") -> list[int]:
+    """W1 on a table in parts: only the parts with an incoming url are rewritten, and returned."""
+    rows = normalize_incoming(incoming, now, seq)
+    return table.merge(rows.join(latest_ids(rows, max_id(table.rows()), seq), ["url", seq]).drop(seq))
+
+
 def insert_articles_strict(
     existing: DataFrame, incoming: DataFrame, now: str, seq: str = "seq"
 ) -> tuple[DataFrame, DataFrame]:

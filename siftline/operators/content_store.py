@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.text import sanitize_key
-from siftline.operators.articles import _last_per_key
 
 
 def write_content(
@@ -16,7 +15,7 @@ def write_content(
     """Store records under their sanitised key.
 
     Without ``overwrite`` the first record of a key stays; with it the last one
-    wins.  Records without the id field are skipped.  Returns the new store
+    wins.  ``seq`` is the unique order number of the records.  Records without the id field are skipped.  Returns the new store
     (content_id, record columns, timestamp) and a one-row count of records taken.
     """
     valid = df.filter(F.col(id_field).isNotNull())
@@ -26,10 +25,10 @@ def write_content(
     )
     keyed = stamped.withColumn("content_id", sanitize_key(F.col(id_field)))
     columns = [c for c in keyed.columns if c not in (seq, "content_id")]
-    rank = F.col(seq) if overwrite else -F.col(seq)
-    incoming = _last_per_key(
-        keyed.withColumn("_rank", rank), "content_id", "_rank", columns
-    ).select("content_id", *columns)
+    # decided on the key and the number alone, so that whole records are moved once
+    best = F.max(seq) if overwrite else F.min(seq)
+    winners = keyed.select("content_id", seq).groupBy("content_id").agg(best.alias(seq))
+    incoming = keyed.join(winners, ["content_id", seq], "left_semi").select("content_id", *columns)
     saved = valid.agg(F.count(F.lit(1)).alias("saved"))
     if existing is None:
         return incoming, saved

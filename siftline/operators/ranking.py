@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.session import cut_lineage
+
 
 def tasks_of(df: DataFrame) -> int:
     """Partitions of a shuffle, the number of groups that merge candidates or counts."""
@@ -16,29 +18,24 @@ def dense_ids(
 ) -> DataFrame:
     """Add ``start + 1, start + 2, ...`` in order of the integer column ``seq``.
 
-    Equal to one global ``row_number()``, but the rows are ranked inside buckets
-    cut at quantiles of ``seq``, so buckets are even however sparse the numbers
-    are, and only one count per bucket is summed up globally.  Both steps use the
-    same hash partitioning on the bucket.
+    Equal to one global ``row_number()``.  The rows are dealt out by ranges of ``seq``,
+    which are even however sparse the numbers are, and stored with their place in their
+    range; only one count per range is summed up globally.  Stored, because a range that is
+    computed again could be cut elsewhere.
     """
-    n = tasks_of(df)
-    order_number = F.col(seq).cast("bigint")
-    shares = [i / n for i in range(1, n)] or [0.5]
-    cuts = df.select(F.percentile_approx(order_number, shares, 100 * n)).scalar()
-    bucketed = df.withColumn("_cuts", cuts).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(seq)))).drop("_cuts")
-    sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(
-        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
     order = [F.col(seq)] + [F.col(c) for c in ties or []]
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    ranged = df.repartitionByRange(tasks_of(df), *order).sortWithinPartitions(*order)
+    placed = ranged.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    held = cut_lineage(placed, "ranges")
+    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    # one row per range
+    offsets = F.broadcast(sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before")))
     base = start if isinstance(start, Column) else F.lit(start)
     return (
-        bucketed.withColumn("_rank", rank)
-        .join(offsets, "_bucket")
-        .withColumn(id_col, (base + F.col("_before") + F.col("_rank")).cast("bigint"))
-        .drop("_bucket", "_rank", "_before")
+        held.join(offsets, "_range")
+        .withColumn(id_col, (base + F.col("_before") + F.col("_place") + 1).cast("bigint"))
+        .drop("_range", "_place", "_before")
     )
 
 
