@@ -9,9 +9,11 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from siftline.functions import text as tx
-from siftline.operators.ranking import hash_cuts
+from siftline.operators.ranking import dense_ids, hash_cuts
+from siftline.session import cut_lineage
 
 VOCABULARY_SCHEMA = "term string, idx int, count bigint, df bigint, idf double"
 
@@ -64,9 +66,11 @@ def with_terms(
     df: DataFrame, settings: FeatureSettings = FeatureSettings(), text_col: str = "content",
     out: str = "terms",
 ) -> DataFrame:
-    """Add the n-gram array of the cleaned text."""
+    """Add the n-gram array of the cleaned text; an array column holds cleaned words already."""
+    cleaned = isinstance(df.schema[text_col].dataType, ArrayType)
+    tokens = F.col(text_col) if cleaned else tx.clean_tokens(F.col(text_col), **settings.text_flags)
     return (
-        df.withColumn("_tokens", tx.clean_tokens(F.col(text_col), **settings.text_flags))
+        df.withColumn("_tokens", tokens)
         .withColumn(out, tx.ngrams(F.col("_tokens"), settings.ngram_range))
         .drop("_tokens")
     )
@@ -102,21 +106,39 @@ def idf_column(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs + 1) / (df + 1)) + 1.0
 
 
+def most_frequent(totals: DataFrame, most: int) -> DataFrame:
+    """The ``most`` terms of largest count, ties by term.
+
+    A histogram of the counts, one row per different count, finds the least count that
+    still fits.  Terms above it are taken as they are; only those at it are ordered, by
+    ranges of the term, so no task ever holds the best terms of all the others.
+    """
+    above = F.sum("terms").over(Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1))
+    histogram = totals.groupBy("count").agg(F.count(F.lit(1)).alias("terms")).withColumn("above", F.coalesce(above, F.lit(0)))
+    cut = histogram.filter(F.col("above") < most).orderBy("count").first()
+    if cut is None or cut["above"] + cut["terms"] <= most:
+        return totals if cut is None else totals.filter(F.col("count") >= cut["count"])
+    at_cut = dense_ids(totals.filter(F.col("count") == cut["count"]), "count", id_col="_rank", ties=["term"])
+    tied = at_cut.filter(F.col("_rank") <= most - cut["above"]).drop("_rank")
+    return totals.filter(F.col("count") > cut["count"]).unionByName(tied)
+
+
 def vocabulary_table(
     df: DataFrame, settings: FeatureSettings = FeatureSettings(), key: str = "id",
     text_col: str = "content", n_docs: int | None = None,
 ) -> DataFrame:
-    """F1 as a lazy table: the most frequent terms, indexed alphabetically.
+    """the most frequent terms, indexed alphabetically.
 
-    One shuffle on the term, combined map-side first.  The index window runs
-    over at most ``max_features`` rows.
+    One shuffle on the term, combined map-side first; the totals are stored.  The index
+    window runs over at most ``max_features`` rows.
     """
-    totals = (
+    totals = cut_lineage(
         term_occurrences(df, settings, key, text_col)
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("count"), F.sum("last").alias("df"))
+        .agg(F.count(F.lit(1)).alias("count"), F.sum("last").alias("df")),
+        "totals",
     )
-    top = totals.orderBy(F.desc("count"), "term").limit(settings.max_features)
+    top = most_frequent(totals, settings.max_features)
     docs = df.select(F.count(F.lit(1))).scalar() if n_docs is None else F.lit(n_docs)
     return top.select(
         "term",
@@ -161,14 +183,16 @@ def vectorize(
     )
 
 
-def vector_entries(df: DataFrame, key: str = "id", vector: str = "features") -> DataFrame:
-    """Sparse vectors as (key, idx, value) rows."""
+def vector_entries(df: DataFrame, key: str = "id", vector: str = "features", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Vectors as (key, idx, value) rows, with the ``carry`` columns."""
     raw = F.unwrap_udt(F.col(vector))
+    # a dense vector has no indices: its values stand in order
+    places = F.expr("coalesce(v.indices, if(size(v.values) = 0, array(), sequence(0, size(v.values) - 1)))")
     return (
-        df.select(key, raw.alias("v"))
-        .select(key, F.explode_outer(F.arrays_zip("v.indices", "v.values")).alias("e"))
+        df.select(key, *carry, raw.alias("v"))
+        .select(key, *carry, F.explode_outer(F.arrays_zip(places.alias("indices"), F.col("v.values").alias("values"))).alias("e"))
         .filter(F.col("e").isNotNull())
-        .select(key, F.col("e.indices").alias("idx"), F.col("e.values").alias("value"))
+        .select(key, *carry, F.col("e.indices").alias("idx"), F.col("e.values").alias("value"))
     )
 
 

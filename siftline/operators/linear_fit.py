@@ -20,7 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# keeps every weight total positive; cancels between the two sides
+# keeps every weight total positive; what it adds to the gradient is taken off again
 _FLOOR = 1e-9
 
 
@@ -35,53 +35,56 @@ def add_margin(df: DataFrame, coefficients, features: str = "x", out: str = "mar
     ).drop("_cx")
 
 
-def logistic(m: Column, y: Column) -> tuple[Column, Column]:
-    """Log loss and its slope in the margin."""
-    return (
-        F.log1p(F.exp(-F.abs(m))) + F.greatest(m, F.lit(0.0)) - y * m,
-        1.0 / (1.0 + F.exp(-m)) - y,
-    )
+def logistic(t: Column) -> tuple[Column, Column]:
+    """Log loss and its slope in the folded margin."""
+    return F.log1p(F.exp(-F.abs(t))) + F.greatest(t, F.lit(0.0)), 1.0 / (1.0 + F.exp(-t))
+
+
+def squared_hinge(t: Column) -> tuple[Column, Column]:
+    gap = F.greatest(1.0 + t, F.lit(0.0))
+    return gap * gap, 2.0 * gap
+
+
+def fold_label(df: DataFrame, width: int, features: str = "x", label: str = "label", out: str = "z") -> DataFrame:
+    """The vectors, negated for class 1.
+
+    With the label folded in, a loss is a rising function of one number ``t = z . w`` and
+    its slope has one sign; a pass then needs one weighted sum of the vectors.
+    """
+    negated = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * width), inputCol=features, outputCol="_neg").transform(df)
+    return negated.withColumn(out, F.when(F.col(label) == 1.0, F.col("_neg")).otherwise(F.col(features))).drop("_neg")
 
 
-def squared_hinge(m: Column, y: Column) -> tuple[Column, Column]:
-    sign = 2.0 * y - 1.0
-    gap = F.greatest(1.0 - sign * m, F.lit(0.0))
-    return gap * gap, -2.0 * sign * gap
+def _vector_sum(rows: DataFrame, groups: int, weight: str, *more: Column):
+    """Weighted sum of the vectors ``z``, and sums of further columns, as one row.
+
+    The partitions' sums are first combined in ``groups`` groups, then those; with the
+    root of the partition number both steps stay small.
+    """
+    total = Summarizer.metrics("sum")
+    names = [f"s{i}" for i in range(len(more))]
+    sums = [F.sum(c).alias(n) for n, c in zip(names, more)]
+    parts = rows.groupBy((F.spark_partition_id() % groups).alias("g")).agg(
+        total.summary(F.col("z"), F.col(weight))["sum"].alias("z"), *sums
+    )
+    return parts.agg(total.summary(F.col("z"))["sum"].alias("z"), *(F.sum(n).alias(n) for n in names)).first()
 
 
 def loss_pass(
-    data: DataFrame, loss: Callable, coefficients: np.ndarray, groups: int = 1
+    data: DataFrame, loss: Callable, coefficients: np.ndarray, floor: np.ndarray, groups: int = 1
 ) -> tuple[float, np.ndarray]:
     """Total loss and gradient at the weights: one job, one row back.
 
-    The partitions' sums are first combined in ``groups`` groups, then those; with the
-    root of the partition number both steps stay small.  The weights travel
-    inside the vector transformer and not as literals, which keeps the generated
-    code of every pass the same (compiled once).
+    ``floor`` is the plain sum of the vectors.  The weights travel inside the vector
+    transformer and not as literals, which keeps the generated code of every pass the
+    same (compiled once).
     """
-    scored = add_margin(data, coefficients)
-    value, slope = loss(F.col("margin"), F.col("label"))
-    rows = scored.select(
-        "x",
-        (value * F.col("weight")).alias("value"),
-        (slope * F.col("weight")).alias("slope"),
+    value, slope = loss(F.col("margin"))
+    rows = add_margin(data, coefficients, "z").select(
+        "z", (value * F.col("weight")).alias("value"), (slope * F.col("weight") + _FLOOR).alias("slope")
     )
-    rising = F.greatest(F.col("slope"), F.lit(0.0)) + _FLOOR
-    falling = F.greatest(-F.col("slope"), F.lit(0.0)) + _FLOOR
-    total = Summarizer.metrics("sum")
-    sums = [
-        F.sum("value").alias("value"),
-        total.summary(F.col("x"), rising)["sum"].alias("up"),
-        total.summary(F.col("x"), falling)["sum"].alias("down"),
-    ]
-    parts = rows.groupBy((F.spark_partition_id() % groups).alias("g")).agg(*sums)
-    sums = [
-        F.sum("value").alias("value"),
-        total.summary(F.col("up"))["sum"].alias("up"),
-        total.summary(F.col("down"))["sum"].alias("down"),
-    ]
-    last = parts.agg(*sums).first()
-    return last["value"], last["up"].toArray() - last["down"].toArray()
+    last = _vector_sum(rows, groups, "slope", F.col("value"))
+    return last["s0"], last["z"].toArray() - _FLOOR * floor
 
 
 def minimize(objective: Callable, start: np.ndarray, max_iter: int, tol: float, memory: int = 10):
@@ -136,15 +139,16 @@ def fit(
     """
     constant = data.withColumn("_one", F.lit(1.0 if fit_intercept else 0.0))
     rows = VectorAssembler(inputCols=["features", "_one"], outputCol="x").transform(constant)
-    rows = rows.select("x", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = fold_label(rows, n_features + 1).select("z", "weight", F.lit(1.0).alias("one")).persist(StorageLevel.MEMORY_AND_DISK)
     # the input is a stored table, so looking at its partitions starts no job
     groups = math.isqrt(rows.rdd.getNumPartitions()) or 1
-    norm = c * rows.agg(F.sum("weight")).first()[0]
+    plain = _vector_sum(rows, groups, "one", F.col("weight"))
+    norm, floor = c * plain["s0"], plain["z"].toArray()
     penalty = np.ones(n_features + 1)
     penalty[-1] = 1.0 if penalize_intercept else 0.0
 
     def objective(w):
-        value, grad = loss_pass(rows, loss, w, groups)
+        value, grad = loss_pass(rows, loss, w, floor, groups)
         return (c * value + (penalty * w) @ w / 2) / norm, (c * grad + penalty * w) / norm
 
     w, steps, slope = minimize(objective, np.zeros(n_features + 1), max_iter, tol)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siftline.functions import text as tx
 from siftline.operators import linear_fit
 from siftline.operators.articles import get_articles, search_articles
-from siftline.operators.features import Vocabulary, vectorize
+from siftline.operators.features import Vocabulary, vector_entries, vectorize
 from siftline.session import cut_lineage
 
 MODEL_TYPES = ("logistic_regression", "linear_svc")
@@ -108,6 +108,31 @@ def train(
     )
 
 
+def optimality(
+    df: DataFrame, model: LinearModel, key: str = "id", features: str = "features", label: str = "label",
+) -> DataFrame:
+    """(idx, term, coefficient, gradient): the training objective's slope at the weights.
+
+    Made from the vectors' entries by grouping on the index, apart from the fit's own sums;
+    at a fitted model every entry is within the fit's tolerance.  The intercept has no row.
+    """
+    settings = {**MODEL_PARAMS, **model.metadata.get("model_params", {})}
+    if settings["class_weight"]:
+        raise ValueError("optimality covers models without class weights")
+    side = F.when(F.col(label) == 1, -1.0).otherwise(1.0)
+    folded = side * F.col("margin")
+    slope = 2.0 * F.greatest(1.0 + folded, F.lit(0.0)) if model.model_type == "linear_svc" else _sigmoid(folded)
+    scored = with_margin(df, model, features).select(key, features, (side * slope).alias("slope"))
+    rows = vector_entries(scored, key, features, carry=("slope",))
+    pulls = rows.groupBy("idx").agg(F.sum(F.col("value") * F.col("slope")).alias("pull"))
+    n = df.select(F.count(F.lit(1))).scalar()
+    weights = model.coefficient_table(df.sparkSession)
+    pull = F.coalesce("pull", F.lit(0.0))
+    return weights.join(pulls, "idx", "left").select(
+        "idx", "term", "coefficient", ((settings["C"] * pull + F.col("coefficient")) / (settings["C"] * n)).alias("gradient")
+    )
+
+
 def with_margin(df: DataFrame, model: LinearModel, features: str = "features", out: str = "margin") -> DataFrame:
     """Decision value of vectors under the model."""
     dot = linear_fit.add_margin(df, model.coefficients, features, out)

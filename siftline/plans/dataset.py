@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.labels import is_labeled, resolve_label
+from siftline.functions.text import clean_tokens
 from siftline.operators.features import (
     FeatureSettings, Vocabulary, class_counts, dataset_metadata, fit_vocabulary, stratified_split,
     vectorize,
@@ -43,18 +44,19 @@ def prepare_dataset(
     """
     if fit_on not in ("all", "train"):
         raise ValueError("fit_on must be 'all' or 'train'")
-    # the labelled rows are read by several jobs, most of which need no text
+    # the text is cleaned once; vocabulary and vectors are both made from the stored words
+    words = clean_tokens(F.col("content"), **settings.text_flags)
     labeled = cut_lineage(
-        resolve_label(articles.filter(is_labeled(F.col("labels")))).select("id", "content", "label"),
+        resolve_label(articles.filter(is_labeled(F.col("labels")))).select("id", "label", words.alias("words")),
         "labeled",
     )
     counts = class_counts(labeled)
     split = stratified_split(labeled, "label", "id", test_size, seed, counts)
     if fit_on == "all":
-        vocabulary = fit_vocabulary(split, settings, n_docs=sum(counts.values()))
+        vocabulary = fit_vocabulary(split, settings, text_col="words", n_docs=sum(counts.values()))
     else:
-        vocabulary = fit_vocabulary(split.filter(F.col("split") == "train"), settings)
-    rows = vectorize(split, vocabulary).select("id", "label", "split", "features")
+        vocabulary = fit_vocabulary(split.filter(F.col("split") == "train"), settings, text_col="words")
+    rows = vectorize(split, vocabulary, text_col="words").select("id", "label", "split", "features")
     return Dataset(rows, vocabulary, test_size, seed)
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -105,16 +106,47 @@ def test_training_reaches_the_optimum(spark, model_type, params):
         assert b == 0
 
 
-def test_pass_in_groups_equals_one_group(spark):
+def test_pass_equals_plain_sums(spark):
     from siftline.operators import linear_fit as lf
 
+    x, y, df = training_rows(spark)
+    width = x.shape[1]
+    rows = df.select(F.col("features").alias("x"), F.col("label").cast("double").alias("label"), F.lit(2.0).alias("weight"))
+    folded = lf.fold_label(rows, width)
+    w = np.array([0.1, 2.0, -0.3, 0.4])[:width]
+    z = np.where(np.array(y) == 1, -1.0, 1.0)[:, None] * x
+    t = z @ w
+    want = {
+        lf.logistic: (np.logaddexp(0, t), 1 / (1 + np.exp(-t))),
+        lf.squared_hinge: (np.maximum(1 + t, 0) ** 2, 2 * np.maximum(1 + t, 0)),
+    }
+    for loss, (value, slope) in want.items():
+        for groups in (1, 3):
+            v, g = lf.loss_pass(folded, loss, w, z.sum(axis=0), groups)
+            assert np.isclose(v, 2 * value.sum()) and np.allclose(g, 2 * z.T @ slope, atol=1e-6)
+
+
+def test_optimality_sees_other_weights(spark):
     _, _, df = training_rows(spark)
-    rows = df.select(F.col("features").alias("x"), F.col("label").cast("double").alias("label"), F.lit(1.0).alias("weight"))
-    w = np.array([0.1, 2.0, -0.3, 0.4])
-    for loss in (lf.logistic, lf.squared_hinge):
-        v1, g1 = lf.loss_pass(rows, loss, w)
-        v2, g2 = lf.loss_pass(rows, loss, w, groups=3)
-        assert abs(v1 - v2) < 1e-9 and np.abs(g1 - g2).max() < 1e-6
+    rows = df.withColumn("id", F.monotonically_increasing_id())
+    for kind in md.MODEL_TYPES:
+        model = md.train(rows, kind)
+        model.vocabulary = None
+        slopes = [abs(r.gradient) for r in md.optimality(rows, model).collect()]
+        assert len(slopes) == len(model.coefficients) and max(slopes) <= 1.001e-4
+        model.coefficients[0] += 0.5
+        assert max(abs(r.gradient) for r in md.optimality(rows, model).collect()) > 1e-3
+
+
+def test_most_frequent_terms_and_ties(spark):
+    rng = random.Random(9)
+    totals = [(f"t{k:03d}", rng.choice([1, 1, 1, 2, 2, 3, 7, 50]), 1) for k in range(300)]
+    df = spark.createDataFrame(totals, "term string, count bigint, df bigint").repartition(5)
+    for most in (1, 5, 60, 150, 299, 300, 1000):
+        want = sorted(totals, key=lambda r: (-r[1], r[0]))[:most]
+        got = ft.most_frequent(df, most)
+        assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(want)
+    assert ft.most_frequent(df.limit(0), 3).count() == 0
 
 
 def test_bad_training_input(spark):

@@ -83,6 +83,36 @@ def _(spark, sf):
     return md.evaluate(predict_rows(ds.part("test"), model))
 
 
+# every term of the vocabulary, with the objective's slope at its weight as good as zero
+OPTIMAL = feature_sql(ROWS_LABELED) + "SELECT term, TRUE AS optimal FROM vocab"
+
+
+def _optimal(dataset, model):
+    slopes = md.optimality(dataset.part("train"), model)
+    return slopes.select("term", (F.abs("gradient") <= 1.001 * md.MODEL_PARAMS["tol"]).alias("optimal"))
+
+
+@query("M1_optimality", OPTIMAL)
+def _(spark, sf):
+    ds = prepare_dataset(tb.articles(spark, sf, heavy=True))
+    return _optimal(ds, md.train(ds.part("train"), "logistic_regression", {"C": 1.0}, ds.vocabulary))
+
+
+@query("M2_optimality", OPTIMAL)
+def _(spark, sf):
+    ds = prepare_dataset(tb.articles(spark, sf, heavy=True))
+    return _optimal(ds, md.train(ds.part("train"), "linear_svc", {}, ds.vocabulary))
+
+
+@query("M18_optimality", OPTIMAL)
+def _(spark, sf):
+    """As trained end to end, stored and read back."""
+    ds = prepare_dataset(tb.articles(spark, sf, heavy=True))
+    path = work_path(spark, "model")
+    bundles.save_model(spark, train_model(ds), path, tb.NOW)
+    return _optimal(ds, bundles.load_model(spark, path))
+
+
 @query("M4_evaluate", PREDS + EVAL_SQL)
 def _(spark, sf):
     return _rounded(md.evaluate(_preds(spark, sf)))
@@ -144,13 +174,22 @@ def _(spark, sf):
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("M9_classify_lines")
+LINES_SQL = r"""lines AS (SELECT row_number() OVER () AS id, line AS text FROM (
+  SELECT regexp_replace(unnest(string_split_regex(text, '\r\n|\n|\r')), '^\s+|\s+$', '', 'g') AS line FROM documents)
+  WHERE line <> '')"""
+
+
+@query(
+    "M9_classify_lines",
+    feature_sql(ROWS_LABELED, LINES_SQL, scores_sql("lines")) + """SELECT text, p > 0.5 AS is_relevant,
+         round(CASE WHEN p > 0.5 THEN p ELSE 1 - p END, 6) AS confidence FROM scores JOIN lines USING (id)""",
+)
 def _(spark, sf):
     from siftline.sources.readers import read_text_lines
 
     path = work_path(spark, "lines")
     tb.raw(spark, sf, "documents").select(F.col("text").alias("value")).write.text(path)
-    return md.classify_lines(read_text_lines(spark, path), frozen_model(spark, sf))
+    return md.classify_lines(read_text_lines(spark, path), frozen_model(spark, sf)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
