@@ -7,9 +7,11 @@ of the prefix of least total count, chosen by dynamic programming.  One edit lea
 one of two disjoint pivots whole, so of two near words the pivots of the one whose prefix
 ends first meet the prefix of the other.  The pivots are the index, the prefixes look them up.
 
-Position limits: a pivot that survives stands beside one edit only, so if it moved by
-a place the edit is left of it and both words' lengths differ alike; if not, the lengths
-differ by one at most.  That makes five (place, length) pairs, and the join is an equality.
+Position limits: a pivot that survives has the edit on one side, so the text on its other
+side is equal.  With equal text to the left it has not moved and the lengths differ by one at
+most; with equal text to the right it moved as much as the lengths differ.  That makes
+six keys (side, its text, gram, place, length) of a pivot and two of a prefix gram, and the
+join is an equality on their hash; the distance is verified on the words themselves.
 
 Edge cases: null and empty texts have no words; a null id counts as an empty one; runs of any
 length are words; repeated rows count again.  Empty tables give no words.  Ties of the count
@@ -121,10 +123,11 @@ def gram_counts(words: DataFrame) -> dict[str, int]:
     return {r["gram"]: r["n"] for r in counted.collect()}
 
 
-def word_grams(words: DataFrame, counts) -> DataFrame:
-    """(word, n, len, last, gram, place, pivot): the prefix grams of every word.
+def word_grams(words: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """(word, n, len, last, gram, place, left, right, pivot): the prefix grams of every word.
 
-    ``last`` is the rank of the prefix's last bigram in the global order.
+    ``last`` is the rank of the prefix's last bigram in the global order; ``left`` and
+    ``right`` are hashes of the text on either side of the gram.
     """
     order = {g: i for i, (_, g) in enumerate(sorted((n, g) for g, n in counts.items()))}
     shared = words.sparkSession.sparkContext.broadcast((order, counts))
@@ -139,22 +142,30 @@ def word_grams(words: DataFrame, counts) -> DataFrame:
                 last = sorted(ranks)[need - 1]
                 prefix = [p for p, r in enumerate(ranks) if r <= last]
                 pivots = set(disjoint_pivots([(p, weight[word[p:p + GRAM]]) for p in prefix]))
-                rows += [(word, n, len(word), last, ranks[p], p, p in pivots) for p in prefix]
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["word", "n", "len", "last", "gram", "place", "pivot"])
+                for p in prefix:
+                    sides = zlib.crc32(word[:p].encode()), zlib.crc32(word[p + GRAM:].encode())
+                    rows.append((word, n, len(word), last, ranks[p], p, *sides, p in pivots))
+            columns = list(zip(*rows)) if rows else [[]] * 9
+            types = [pa.string(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], names=["word", "n", "len", "last", "gram", "place", "left", "right", "pivot"],
+            )
 
-    return words.mapInArrow(emit, "word string, n bigint, len int, last int, gram int, place int, pivot boolean")
+    schema = "word string, n bigint, len int, last int, gram int, place int, left bigint, right bigint, pivot boolean"
+    return words.mapInArrow(emit, schema)
 
 
 def near_words(grams: DataFrame) -> DataFrame:
     """(word, other, n, n_other): near words, every pair in both directions."""
-    moves = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("d")) for p, d in ((0, 0), (0, 1), (0, -1), (1, 1), (-1, -1))])
-    index = grams.where("pivot").select(F.col("word").alias("a"), F.col("n").alias("na"), F.col("last").alias("last_a"), "gram", "place", "len", F.explode(moves).alias("m"))
-    index = index.select("a", "na", "last_a", "gram", (F.col("place") + F.col("m.p")).alias("place"), (F.col("len") + F.col("m.d")).alias("len"))
-    look = grams.select(F.col("word").alias("b"), F.col("n").alias("nb"), F.col("last").alias("last_b"), "gram", "place", "len")
+    left = lambda d: F.xxhash64(F.lit(0), "left", "gram", "place", F.col("len") + d)
+    right = lambda d: F.xxhash64(F.lit(1), "right", "gram", F.col("place") + d, F.col("len") + d)
+    index = grams.where("pivot").select(
+        F.col("word").alias("a"), F.col("n").alias("na"), F.col("last").alias("last_a"),
+        F.explode(F.array(*[side(d) for side in (left, right) for d in (-1, 0, 1)])).alias("key"),
+    )
+    look = grams.select(F.col("word").alias("b"), F.col("n").alias("nb"), F.col("last").alias("last_b"), F.explode(F.array(left(0), right(0))).alias("key"))
     verified = (F.col("last_a") <= F.col("last_b")) & (F.levenshtein("a", "b", 1) == 1)
-    pairs = index.join(look, ["gram", "place", "len"]).where(verified)
+    pairs = index.join(look, "key").where(verified)
     pairs = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("na").alias("n"), F.col("nb").alias("n_other")),
                                            F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("nb").alias("n"), F.col("na").alias("n_other")))).alias("r"))
     return pairs.select("r.*").distinct()
