@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from siftline.session import cut_lineage
 
-#: Fixed values of the word rules: runs of letters, shortest word, fewest occurrences.
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+#: Fixed values of the word rules: letters, shortest word, fewest occurrences.
+LETTERS = "[A-Za-zÀ-ÿ]"
+RUN = re.compile(f"{LETTERS}+")
 MIN_LENGTH = 5
 MIN_COUNT = 3
 ALTERED = 97
@@ -57,9 +58,12 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def altered(doc_id: str, run: str, every: int = ALTERED) -> str:
-    """The run, without one of its code points if the hash of id and run says so."""
-    h = zlib.crc32(f"{doc_id}:{run}".encode())
+def altered(run: str, seed: int, every: int = ALTERED) -> str:
+    """The run, without one of its code points if its hash says so.
+
+    ``seed`` is the crc32 of the document's id and a colon.
+    """
+    h = zlib.crc32(run.encode(), seed)
     if h % every:
         return run
     at = h % len(run)
@@ -67,7 +71,11 @@ def altered(doc_id: str, run: str, every: int = ALTERED) -> str:
 
 
 def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", every: int = ALTERED, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
-    """(word, n): words of the least length and count.  Tasks count before the shuffle."""
+    """(word, n): words of the least length and count.  Tasks count before the shuffle.
+
+    An altered run is never longer, so shorter runs are not looked at.
+    """
+    long_run = re.compile(f"{LETTERS}{{{min_length},}}")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.col(text).alias("text")).where("text is not null")
 
     def flush(counts: Counter) -> pa.RecordBatch:
@@ -77,10 +85,10 @@ def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", eve
         counts: Counter = Counter()
         for batch in batches:
             for key, value in zip(batch["id"], batch["text"]):
-                key = key.as_py()
+                seed = zlib.crc32(f"{key.as_py()}:".encode())
                 for piece in pieces(value.as_py()):
-                    for run, n in Counter(RUN.findall(piece.translate(_FOLD))).items():
-                        word = altered(key, run, every)
+                    for run, n in Counter(long_run.findall(piece.translate(_FOLD))).items():
+                        word = altered(run, seed, every)
                         if len(word) >= min_length:
                             counts[word] += n
                 if len(counts) >= MOST_COUNTED:
