@@ -15,6 +15,7 @@ from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -135,7 +136,7 @@ def encode_documents(
                 id_hashes.append(sha256(ids.encode()).hexdigest())
                 byte_hashes.append(sha256(back).hexdigest())
                 if with_ids:
-                    all_ids.append([int(i) for i in ids.split()])
+                    all_ids.append(np.fromstring(ids, np.int32, sep=" "))
                 if with_text:
                     texts.append(back.decode())
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(byte_hashes, pa.string())]

@@ -4,6 +4,11 @@ One global order of shingles, rare ones first, is cut into fragments.  Texts who
 prefixes in that order share enough shingles are candidates; their sets are cut by
 fragment, the overlap of a pair is counted in each fragment by itself and summed per pair.
 
+Only what joins components is looked for.  First every set is compared with the first set of
+each prefix shingle's list, so a list of m near copies gives m pairs and one component.
+Then sets of one list are paired that are still in different components; lists that have
+become one component drop out.  Sets of one component need no more links, so none is lost.
+
 The order comes from the counts of all shingles in a fixed number of hash buckets, so its
 size has a bound; a shingle's place is the rank of its bucket's count, then its hash.  Any
 total order gives the same links; this one puts common passages last, out of the prefixes.
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import Forest, components
+from siftline.llm.common import components
 from siftline.llm.shingles import blocks, set_hash, shingle_sets
 from siftline.session import cut_lineage
 
@@ -29,9 +34,9 @@ BUCKET_BITS = 17
 FRAGMENTS = 8
 #: Bits of the filter that picks the candidates' texts; false hits are dropped by the join.
 FILTER_BITS = 23
-#: Sets in a block of a group of candidates, and in a shard of tiles, about.
+#: Sets in a block of a group of candidates, and full tiles in a shard, about.
 TILE_NODES = 256
-SHARD_NODES = 1_000
+SHARD_TILES = 2
 
 
 def _bucket(grams: np.ndarray) -> np.ndarray:
@@ -110,17 +115,33 @@ def prefix_rows(docs: DataFrame, rank, width: int, percent: int, text: str) -> D
     return docs.select(text).mapInArrow(emit, "gram bigint, node bigint, n bigint, p bigint")
 
 
-def candidate_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb) of sets whose prefixes share enough shingles for the similarity.
+def shared_lists(prefixes: DataFrame) -> DataFrame:
+    """(gram, node, n, p, first): the lists of at least two sets, with the smallest node of each."""
+    rows = prefixes.repartition("gram").dropDuplicates(["gram", "node"])
+    first = rows.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    return rows.join(first.select("gram", "first"), "gram")
+
+
+def star_pairs(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): every set of a list with the list's first, where the sizes allow a link."""
+    pairs = lists.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"), F.col("n").alias("na")).distinct()
+    sized = pairs.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "na", "nb")
+
+
+def candidate_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of sets in different components whose prefixes share enough shingles.
 
     At the least overlap that reaches the similarity, ``m`` shingles of a set may be
     missing in the other; the shorter-reaching prefix then shares all but ``m`` of its
     shingles with the other prefix.
     """
-    rows = prefixes.repartition("gram").dropDuplicates(["gram", "node"])
-    a = rows.select("gram", *(F.col(c).alias(f"{c}a") for c in ("node", "n", "p")))
-    b = rows.select("gram", *(F.col(c).alias(f"{c}b") for c in ("node", "n", "p")))
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("nodea") < F.col("nodeb"))
+    rows = lists.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
+    rows = cut_lineage(rows.join(mixed, "gram", "left_semi"), "mixed")
+    a = rows.select("gram", *(F.col(c).alias(f"{c}a") for c in ("node", "n", "p", "root")))
+    b = rows.select("gram", *(F.col(c).alias(f"{c}b") for c in ("node", "n", "p", "root")))
+    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb"))
     pairs = a.join(b, "gram").where(near).groupBy("nodea", "nodeb", "na", "nb", "pa", "pb").agg(F.count("*").alias("shared"))
     least = F.expr(f"((na + nb) * {percent} + {99 + percent}) div {100 + percent}")
     need = F.least(F.col("pa") - F.col("na") + least, F.col("pb") - F.col("nb") + least)
@@ -169,59 +190,66 @@ def _tiles(pairs: DataFrame) -> DataFrame:
 
     Candidates that pairs connect are a group; its nodes are dealt into blocks of about
     TILE_NODES, and a tile holds the pairs between two blocks.  So a set travels once per
-    block of its group, not once per pair.  Whole tiles share a shard.
+    block of its group, not once per pair.  A shard is about SHARD_TILES whole tiles,
+    however large the groups are.
     """
     groups = components(pairs)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     placed = groups.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE_NODES)).alias("block"))
     at = lambda side: placed.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"), F.col("block").alias(f"{side}_block"))
-    tiled = pairs.join(at("a"), "a").join(at("b"), "b")
-    shards = max(1, groups.count() // SHARD_NODES)
     tile = F.xxhash64("a_root", F.least("a_block", "b_block"), F.greatest("a_block", "b_block"))
-    return tiled.select("a", "b", "na", "nb", F.pmod(tile, F.lit(shards)).alias("shard"))
-
-
-def _check_pairs(percent: int):
-    def check(pairs: pa.Table, parts: pa.Table) -> pa.Table:
-        """Sum the overlaps of each pair over the fragments; keep what joins linked sets."""
-        sets: dict[int, dict[int, np.ndarray]] = {}
-        for node, frag, grams in zip(parts.column("node").to_pylist(), parts.column("frag").to_pylist(), parts.column("grams")):
-            sets.setdefault(node, {})[frag] = grams.values.to_numpy()
-        forest, joined, links = Forest(), [], {}
-        for a, b, na, nb in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "na", "nb"))):
-            left, right = sets.get(a, {}), sets.get(b, {})
-            overlap = sum(len(np.intersect1d(grams, right[frag], assume_unique=True)) for frag, grams in left.items() if frag in right)
-            if overlap * 100 >= (na + nb - overlap) * percent:
-                links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
-                if forest.join(a, b):
-                    joined.append((a, b, 0))
-        rows = joined + [(node, None, n) for node, n in links.items()]
-        return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "n"])
-
-    return check
+    tiled = cut_lineage(pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", tile.alias("tile")), "tiles")
+    # a tile of few pairs holds few sets, however many blocks its group has
+    filled = tiled.groupBy("tile").agg(F.least(F.count("*"), F.lit(TILE_NODES)).alias("fill")).agg(F.sum("fill")).first()[0] or 0
+    shards = max(1, filled // (SHARD_TILES * TILE_NODES))
+    return tiled.select("a", "b", "na", "nb", F.pmod("tile", F.lit(shards)).alias("shard"))
+
+
+def _count_overlaps(pairs: pa.Table, parts: pa.Table) -> pa.Table:
+    """The overlap of every pair of a shard within one fragment."""
+    grams = dict(zip(parts.column("node").to_pylist(), (g.values.to_numpy() for g in parts.column("grams"))))
+    rows = []
+    for a, b, na, nb in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "na", "nb"))):
+        if a in grams and b in grams:
+            rows.append((a, b, na, nb, len(np.intersect1d(grams[a], grams[b], assume_unique=True))))
+    return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["a", "b", "na", "nb", "overlap"])
+
+
+def linked_pairs(docs: DataFrame, pairs: DataFrame, fragment, width: int, percent: int, text: str) -> DataFrame:
+    """(a, b) of the pairs that reach the similarity: overlaps by fragment, summed per pair."""
+    pairs = cut_lineage(pairs, "pairs")
+    wanted = docs.sparkSession.sparkContext.broadcast(_node_filter(pairs))
+    parts = cut_lineage(segments(docs, fragment, wanted, width, text), "segments")
+    tiled = _tiles(pairs)
+    needed = tiled.select(F.col("shard").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    sent = needed.join(parts, "node").select("at", F.col("frag").alias("piece"), "node", "grams")
+    asked = tiled.select("*", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))).alias("frag"))
+    counted = asked.groupBy("shard", "frag").cogroup(sent.groupBy("at", "piece")).applyInArrow(
+        _count_overlaps, "a bigint, b bigint, na bigint, nb bigint, overlap bigint"
+    )
+    summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    return summed.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b")
 
 
 def linked_sets(docs: DataFrame, summary: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """(a, b, n): links that connect all shingle sets of the similarity, with n = 0; and rows
-    with ``b`` null that count ``n`` links of ``a``, to be summed."""
+    """(a, b): links that connect all shingle sets of the similarity."""
     send = docs.sparkSession.sparkContext.broadcast
     rank, fragment = map(send, global_order(summary))
-    pairs = cut_lineage(candidate_pairs(prefix_rows(docs, rank, width, percent, text), percent), "pairs")
-    parts = cut_lineage(segments(docs, fragment, send(_node_filter(pairs)), width, text), "segments")
-    tiled = cut_lineage(_tiles(pairs), "tiles")
-    needed = tiled.select(F.col("shard").alias("at"), F.col("a").alias("node")).union(tiled.select(F.col("shard").alias("at"), F.col("b").alias("node"))).distinct()
-    sent = needed.join(parts, "node").select("at", "node", "frag", "grams")
-    return tiled.groupBy("shard").cogroup(sent.groupBy("at")).applyInArrow(_check_pairs(percent), "a bigint, b bigint, n bigint")
+    prefixes = prefix_rows(docs, rank, width, percent, text)
+    lists = cut_lineage(shared_lists(prefixes), "lists")
+    sizes = summary.where("node is not null").select("node", "n").distinct()
+    stars = cut_lineage(linked_pairs(docs, star_pairs(lists, sizes, percent), fragment, width, percent, text), "links")
+    rest = candidate_pairs(lists, cut_lineage(components(stars), "roots"), percent)
+    return stars.union(linked_pairs(docs, rest, fragment, width, percent, text))
 
 
 def jaccard_components(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", row: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links and ``root``.
+    """One row per document: doc_id, n_shingles, component_id and ``root``.
 
-    ``component_id`` is the smallest doc_id that links reach; ``n_links`` counts the other
-    shingle sets the document's set is linked to; ``root`` names its component (null for
-    an empty set).  Texts that are null or without words have empty sets, are linked with
+    ``component_id`` is the smallest doc_id that links reach; ``root`` names its component
+    (null for an empty set).  Texts that are null or without words have empty sets, are linked with
     nothing and keep their own id.  Null ids count for nothing in the smallest id.
     Repeated rows are documents of one set.  ``row`` names a column to carry along.
     """
@@ -229,15 +257,14 @@ def jaccard_components(
     keys = ("doc_id", "row") if row else ("doc_id",)
     summary = cut_lineage(shingle_summary(held, width, "text", keys), "shingles")
     links = cut_lineage(linked_sets(held, summary, width, percent, "text"), "set-links")
-    both = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     rows = summary.where("bucket is null")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(components(links.where("b is not null")), "node", "left").join(both, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "root").select("node", "root", "component_id", "n_links")
+    named = nodes.join(least, "root").select("node", "root", "component_id")
     return rows.join(named, "node", "left").select(
         *keys, F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "root",
+        "root",
     )
 
 

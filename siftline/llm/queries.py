@@ -56,7 +56,7 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return ngram_join.jaccard_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op9_nn_descent")

@@ -61,7 +61,7 @@ def plain_components(texts, width, percent):
 @pytest.mark.parametrize("width,percent,tile", [(3, 90, 256), (5, 80, 2)])
 def test_jaccard_components_match_all_pairs(spark, monkeypatch, width, percent, tile):
     monkeypatch.setattr(ngram_join, "TILE_NODES", tile)
-    monkeypatch.setattr(ngram_join, "SHARD_NODES", 20)
+    monkeypatch.setattr(ngram_join, "SHARD_TILES", 1)
     texts = near_copies()
     df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOC).withColumns({"n": F.lit(1), "node": F.lit("x"), "row": F.lit(2)})
     want, sizes = plain_components(texts, width, percent)
@@ -72,6 +72,24 @@ def test_jaccard_components_match_all_pairs(spark, monkeypatch, width, percent,
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_a_group_of_near_copies_gives_pairs_in_proportion(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        words[rng.randrange(20, 60)] = f"own{k}"
+        texts.append(" ".join(words))
+    made = []
+    plain = ngram_join.linked_pairs
+    monkeypatch.setattr(ngram_join, "linked_pairs", lambda docs, pairs, *a: (made.append(pairs.count()), plain(docs, pairs, *a))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ngram_join.jaccard_components(df, 3, 80).collect()
+    assert {r["component_id"] for r in rows} == {0}
+    # all pairs would be 11,175; the second round finds nothing left to join
+    assert made[0] < 1500 and made[1] == 0
+
+
 def test_jaccard_join_of_odd_tables(spark):
     rows = [(None, "a b c d", None, None, 0), (5, "a b c d", None, None, 0), (5, "a b c d", None, None, 0), (None, None, None, None, None), (9, "q w e r", "x", "y", 1)]
     df = spark.createDataFrame(rows, DOC)
