@@ -2,7 +2,7 @@
 
 Everything is built-in expressions.  A document is read once for its counts and the
 hashes of its normalised lines; lines are counted per host in distinct documents, and
-only those above both limits meet the documents' lines again.
+only those above the limit meet the documents' lines again.
 """
 
 from __future__ import annotations
@@ -17,19 +17,17 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: A line goes if it stands in more than MAX_DOCS distinct texts of its host and in more
-#: than MAX_SHARE of them.
+#: A line goes if it stands in more than this many distinct texts of its host.
 MAX_DOCS = 20
-MAX_SHARE = 0.1
 #: A document is rejected if more than this share of its letters went.
 MAX_REMOVED = 0.5
 KEY = ["host", "text_hash", "text_check"]
 
 
 def _key(host: Column, text: Column) -> list[Column]:
-    """A text and its host as three numbers; null and empty texts are the same."""
+    """A text and its host as three numbers; null and empty texts are the same, and so are hosts."""
     whole = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(host).alias("host"), F.xxhash64(whole).alias("text_hash"), F.hash(whole).alias("text_check")]
+    return [F.xxhash64(F.coalesce(host, F.lit(""))).alias("host"), F.xxhash64(whole).alias("text_hash"), F.hash(whole).alias("text_check")]
 
 
 def line_hashes(lines: Column) -> Column:
@@ -81,17 +79,15 @@ def document_counts(docs: DataFrame, text: str = "text", host: str = "source", d
     return df.withColumn("base_failed", failed)
 
 
-def frequent_lines(counts: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line, n_docs) of the lines above both limits.
+def frequent_lines(counts: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, line, n_docs) of the lines above the limit.
 
     Documents are counted by distinct text, so copies of one text count once.  The rows
-    of a common line meet in partial counts; only counts above ``max_docs`` are compared
-    with their host's number of texts.
+    of a common line meet in partial counts.
     """
-    texts = counts.groupBy("host").agg(F.count_distinct("text_hash").alias("n_texts"))
     lines = counts.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     found = lines.where("line is not null").groupBy("host", "line").agg(F.count_distinct("text_hash").alias("n_docs"))
-    return found.where(F.col("n_docs") > max_docs).join(texts, "host").where(F.col("n_docs") > F.col("n_texts") * max_share).select("host", "line", "n_docs")
+    return found.where(F.col("n_docs") > max_docs)
 
 
 def removed_lines(counts: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -104,17 +100,17 @@ def removed_lines(counts: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def quality_rules(
     docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id",
-    max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED,
+    max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED,
 ) -> DataFrame:
     """One row per document with its counts, ``base_failed`` and ``kept``.
 
     A document is kept if it passes the base rule and at most ``max_removed`` of its letters
-    are in lines above the limits.  Null texts count as empty and fail the base
-    rule; null hosts form one host; repeated rows get equal verdicts; other columns of
+    are in lines above the limit.  Null texts count as empty and fail the base
+    rule; null and empty hosts form one host; repeated rows get equal verdicts; other columns of
     ``docs`` are not read.  An empty table gives an empty result.
     """
     counts = cut_lineage(document_counts(docs, text, host, doc_id), "line-counts")
-    gone = removed_lines(counts, frequent_lines(counts, max_docs, max_share))
+    gone = removed_lines(counts, frequent_lines(counts, max_docs))
     df = counts.drop("lines").join(gone, KEY, "left").withColumns({
         "n_removed_lines": F.coalesce("n_removed_lines", F.lit(0).cast("long")),
         "n_removed_chars": F.coalesce("n_removed_chars", F.lit(0).cast("long")),
@@ -130,8 +126,10 @@ def apply_quality_rules(docs: DataFrame, text: str = "text", host: str = "source
     verdict = quality_rules(docs, text, host, **limits).where("kept").select(*KEY, "removed").dropDuplicates(KEY)
     held = docs.select(F.struct("*").alias("doc"), *_key(F.col(host), F.col(text))).join(verdict, KEY)
     lines = F.split(F.col("doc")[text], "\n")
-    held = held.withColumn("line", F.when(F.col("removed").isNotNull(), F.transform(line_hashes(lines), lambda x: x["line"])))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("removed", F.get("line", i)), F.lit(False))), "\n")
+    # lines and hashes are paired once, outside the lambda that picks the lines left
+    paired = F.zip_with(lines, line_hashes(lines), lambda x, h: F.struct(x.alias("text"), h["line"].alias("line")))
+    stays = F.filter(paired, lambda p: ~F.coalesce(F.array_contains("removed", p["line"]), F.lit(False)))
+    left = F.array_join(F.transform(stays, lambda p: p["text"]), "\n")
     return with_text(held, docs, text, F.when(F.col("removed").isNull(), F.col("doc")[text]).otherwise(left), n_chars)
 
 
@@ -154,8 +152,7 @@ WITH d AS (
 ), dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY r
 ), size AS (SELECT r, sum(length(replace(norm, ' ', '')))::BIGINT AS c FROM lw GROUP BY r
 ), freq AS (
-  SELECT l.host, l.norm FROM (SELECT host, norm, count(DISTINCT t) AS n FROM lw WHERE norm <> '' GROUP BY host, norm) l
-  JOIN (SELECT host, count(DISTINCT t) AS m FROM d GROUP BY host) h USING (host) WHERE l.n > {MAX_DOCS} AND l.n > h.m * {MAX_SHARE}::DOUBLE
+  SELECT host, norm FROM lw WHERE norm <> '' GROUP BY host, norm HAVING count(DISTINCT t) > {MAX_DOCS}
 ), gone AS (SELECT r, count(*) AS n, sum(length(replace(norm, ' ', ''))) AS c FROM lw JOIN freq USING (host, norm) GROUP BY r
 ), x AS (
   SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
