@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import SPACE_RUN, array_total, with_text, words_of
+from siftline.llm.common import SPACE_RUN, with_text, words_of
 from siftline.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -15,8 +15,6 @@ BLOCK_TOKENS = 16
 #: Words of a shard; a large source is cut into many shards of about this size.
 SHARD_TOKENS = 1_000_000
 SEED = "mix-1"
-#: A prime above any number of blocks in a shard, so that it steps through all of them.
-STEP = 2_147_483_647
 
 
 def seeded(*parts: Column) -> Column:
@@ -78,12 +76,13 @@ def sainte_lague(parties: DataFrame, votes: str, seats: str, by: list[str], orde
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", row: str | None = None, block: int = BLOCK_TOKENS, shard: int = SHARD_TOKENS) -> DataFrame:
     """One narrow row per document: size, source_size, target and the blocks taken of it.
 
-    A source's words, in shards of about ``shard`` words, are one run of blocks of
-    ``block`` words each.  Sainte-Lague gives the sources blocks by target, then each
-    source's shards blocks by their words.  A shard with quota ``q`` of ``m`` blocks takes
-    every block ``q // m`` times and ``q % m`` of them once more, chosen by a seeded walk
-    through all blocks.  ``taken`` counts the words taken, ``start`` is the document's
-    place in its shard.  ``row`` names a column to carry along, as ``row``.
+    A source's words, in shards of about ``shard`` words and there in seeded order of the
+    documents, are one run of blocks of ``block`` words each.  Sainte-Lague gives the
+    sources blocks by target, then each source's shards blocks by their words.  A shard
+    with quota ``q`` of ``m`` blocks takes every block ``q // m`` times and the first
+    ``q % m`` of its seeded order once more, so at most one document a shard is cut, at its
+    end.  ``copies`` counts a document's whole copies, ``part`` the words taken once more
+    from its start, ``taken`` all words.  ``row`` names a column to carry along, as ``row``.
 
     Null texts have size 0; null sources are one source, the last; rows that are equal in
     all of id, source and text are interchangeable.  Reruns agree.  An empty table gives
@@ -100,12 +99,12 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     plan = sainte_lague(plan, "target", "_all", [], ["source"]).withColumnRenamed("quota", "_blocks")
     plan = cut_lineage(plan.drop("_all"), "targets")
     rows = sized.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select(
-        *(["row"] if row else []), "doc_id", "d.source", "size", "text_md5", "source_size", "target", "_blocks",
-        F.pmod(seeded(F.col("doc_id"), F.col("text_md5")), F.col("_shards")).alias("shard"),
-    )
-    run = Window.partitionBy("source", "shard").orderBy("doc_id", "text_md5").rowsBetween(Window.unboundedPreceding, -1)
+        *(["row"] if row else []), "doc_id", "d.source", "size", "text_md5", "source_size", "target", "_blocks", "_shards",
+        seeded(F.col("doc_id"), F.col("text_md5")).alias("_seed"),
+    ).withColumn("shard", F.pmod(F.col("_seed"), F.col("_shards")))
+    run = Window.partitionBy("source", "shard").orderBy("_seed", "doc_id", "text_md5").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(run), F.lit(0).cast("long")))
-    return _with_quotas(rows, block)
+    return _with_quotas(rows.drop("_seed", "_shards"), block)
 
 
 def _with_quotas(rows: DataFrame, block: int) -> DataFrame:
@@ -113,35 +112,30 @@ def _with_quotas(rows: DataFrame, block: int) -> DataFrame:
     shards = sainte_lague(shards, "_tokens", "_blocks", ["source"], ["shard"])
     shards = shards.withColumn("_m", F.greatest(F.lit(1), F.ceil(F.col("_tokens") / block)).cast("long"))
     shards = shards.withColumn("quota", F.least(F.col("quota"), F.col("_m") * MAX_REPEATS))
-    at = shards.select(F.col("source").alias("_s"), F.col("shard").alias("_k"), "_m", "quota", F.pmod(seeded(F.col("source"), F.col("shard")), F.col("_m")).alias("_from"))
+    at = shards.select(F.col("source").alias("_s"), F.col("shard").alias("_k"), "_m", "quota")
     df = rows.join(at, F.expr("source <=> _s and shard = _k")).drop("_s", "_k")
-    end = F.col("start") + F.col("size")
-    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).otherwise(F.array().cast("array<bigint>"))
-    more = F.pmod(F.col("quota"), F.col("_m"))
-    times = lambda b: F.floor(F.col("quota") / F.col("_m")) + F.when(F.pmod(b * F.lit(STEP).cast("long") + F.col("_from"), F.col("_m")) < more, 1).otherwise(0)
-    words = lambda b: F.least(end, (b + 1) * block) - F.greatest(F.col("start"), b * block)
-    df = df.withColumn("pieces", F.transform(blocks, lambda b: F.struct(words(b).alias("words"), times(b).alias("times"))))
-    return df.withColumn("taken", array_total(F.transform("pieces", lambda p: p["words"] * p["times"]))).drop("_blocks", "_m", "_from", "quota", "text_md5")
+    df = df.withColumn("copies", F.floor(F.col("quota") / F.col("_m")))
+    left = F.pmod(F.col("quota"), F.col("_m")) * block - F.col("start")
+    df = df.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
+    return df.withColumn("taken", F.col("size") * F.col("copies") + F.col("part")).drop("_blocks", "_m", "quota", "text_md5")
 
 
 def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", n_chars: str = "n_chars", **sizes) -> DataFrame:
     """The mixed documents, columns as in ``docs``.
 
-    A document appears as often as any of its blocks is taken; each time its text holds
-    the blocks taken at least that often, white space between words as it was.  A
-    document of which all blocks are taken keeps its text unchanged.
+    A document appears once per whole copy, its text unchanged, and once more with its
+    first ``part`` words, white space between them as it was, where ``part`` is above 0.
     """
     held = cut_lineage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-in")
     view = held.select("row", *(F.col("doc")[c].alias(n) for c, n in ((text, "text"), (source, "source"), (doc_id, "doc_id"))))
-    most = F.array_max(F.transform("pieces", lambda p: p["times"])).cast("int")
-    mix = mix_sources(view, row="row", **sizes).where("taken > 0").select("row", "pieces", F.explode(F.sequence(F.lit(1), most)).alias("copy"))
-    out = held.join(mix, "row")
-    taken = F.flatten(F.transform("pieces", lambda p: F.array_repeat(p["times"] >= F.col("copy"), p["words"].cast("int"))))
-    out = out.withColumn("taken", taken)
+    mix = mix_sources(view, row="row", **sizes).where("taken > 0")
+    words = F.array_repeat(F.col("size"), F.col("copies").cast("int"))
+    words = F.when(F.col("part") > 0, F.array_append(words, F.col("part"))).otherwise(words)
+    out = held.join(mix.select("row", "size", F.explode(words).alias("words")), "row")
     whole = F.col("doc")[text]
-    words = F.regexp_extract_all(whole, F.lit(f"{SPACE_RUN[:-1]}*[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    cut = F.regexp_replace(F.array_join(F.filter(words, lambda w, k: F.get("taken", k)), ""), f"^{SPACE_RUN}", "")
-    return with_text(out, docs, text, F.when(F.forall("taken", lambda t: t), whole).otherwise(cut), n_chars)
+    pieces = F.regexp_extract_all(whole, F.lit(f"{SPACE_RUN[:-1]}*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    cut = F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), ""), f"^{SPACE_RUN}", "")
+    return with_text(out, docs, text, F.when(F.col("words") == F.col("size"), whole).otherwise(cut), n_chars)
 
 
 ORACLE_SQL = f"""
@@ -164,29 +158,22 @@ WITH sized AS (
     SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source IS NULL, source, k) AS r FROM t, seats, LATERAL (SELECT unnest(range(0, n)) AS k) z
   ), seats WHERE r <= n GROUP BY source
 ), placed AS (
-  SELECT s.*, t.source_size, t.target, coalesce(won.q, 0) AS sq,
-    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '-') || ':' || h), 1, 8))::BIGINT % ns AS shard
+  SELECT s.*, t.source_size, t.target, t.ns, coalesce(won.q, 0) AS sq,
+    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '-') || ':' || h), 1, 8))::BIGINT AS seed
   FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN won ON s.source IS NOT DISTINCT FROM won.source
 ), run AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY doc_id, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM placed
+  SELECT *, seed % ns AS shard, coalesce(sum(size) OVER (PARTITION BY source, seed % ns ORDER BY seed, doc_id, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM placed
 ), sh AS (SELECT source, shard, sum(size)::BIGINT AS tokens, min(sq) AS sq, greatest(1, ceil(sum(size) / {BLOCK_TOKENS}::DOUBLE))::BIGINT AS m FROM run GROUP BY source, shard
 ), shwon AS (
   SELECT source, shard, count(*) AS q FROM (
     SELECT source, shard, sq, row_number() OVER (PARTITION BY source ORDER BY tokens::DOUBLE / (2 * k + 1) DESC, shard, k) AS r FROM sh, LATERAL (SELECT unnest(range(0, sq)) AS k) z
   ) WHERE r <= sq GROUP BY source, shard
 ), quota AS (
-  SELECT sh.*, least(coalesce(q, 0), {MAX_REPEATS} * m) AS q,
-    ('0x' || substr(md5('{SEED}:' || coalesce(sh.source, '-') || ':' || sh.shard), 1, 8))::BIGINT % m AS fr
+  SELECT sh.*, least(coalesce(q, 0), {MAX_REPEATS} * m) AS q
   FROM sh LEFT JOIN shwon ON sh.source IS NOT DISTINCT FROM shwon.source AND sh.shard = shwon.shard
-), pieces AS (
-  SELECT r.doc_id, r.h, r.st, r.size, r.source_size, r.target, q.*, b FROM run r
-  JOIN quota q ON r.source IS NOT DISTINCT FROM q.source AND r.shard = q.shard, LATERAL (SELECT unnest(range(st // {BLOCK_TOKENS}, (st + size + {BLOCK_TOKENS - 1}) // {BLOCK_TOKENS})) AS b) z
-  WHERE size > 0
-), taken AS (
-  SELECT doc_id, h, st, sum((least(st + size, (b + 1) * {BLOCK_TOKENS}) - greatest(st, b * {BLOCK_TOKENS})) * (q // m + CASE WHEN (b * {STEP} + fr) % m < q % m THEN 1 ELSE 0 END))::BIGINT AS taken
-  FROM pieces GROUP BY doc_id, h, st
 )
-SELECT r.doc_id, r.source, r.size, r.source_size, r.target, coalesce(k.taken, 0) AS taken
-FROM run r LEFT JOIN (SELECT * FROM taken) k ON r.doc_id IS NOT DISTINCT FROM k.doc_id AND r.h = k.h AND r.st = k.st AND r.size > 0
+SELECT r.doc_id, r.source, r.size, r.source_size, r.target,
+  (r.size * (q // m) + greatest(0, least(r.size, (q % m) * {BLOCK_TOKENS} - r.st)))::BIGINT AS taken
+FROM run r JOIN quota q ON r.source IS NOT DISTINCT FROM q.source AND r.shard = q.shard
 """
 OUTPUT = ["doc_id", "source", "size", "source_size", "target", "taken"]

@@ -68,7 +68,7 @@ def test_pipeline_stages_match_plain_versions(spark, tokens):  # noqa: F811
 
     rows = rows[0]
     clean = stages[2](spark, one, SF)
-    want = repeated(rows["text"].tolist())
+    want = repeated(rows["text"].tolist(), corpus_pipeline.PASSAGE_BYTES)
     after = clean.toPandas()
     assert sorted(after["doc_id"]) == sorted(i for i, (n, gone, _, _) in zip(rows["doc_id"], want) if not gone or gone < n)
 

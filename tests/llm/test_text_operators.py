@@ -1,6 +1,7 @@
 """Quality rules, mixing, encoding, token counts and language identification."""
 
 import random
+import time
 import re
 from hashlib import sha256
 
@@ -74,6 +75,24 @@ def test_frequent_lines_deplete_documents_and_leave_clean_ones(spark):
     assert quality.quality_rules(df.limit(0)).count() == 0
 
 
+def test_line_limit_is_the_same_in_large_hosts(spark):
+    menu = "one line that stands on the pages of every part of this site"
+    docs = [(i, unique_lines(i, 1) + "\n" + unique_lines(5000 + i, 1), "en", "a", 0) for i in range(900)]
+    docs += [(1000 + i, f"{menu}\n{menu} {i}\ntail {i}", "en", host, 0) for host, at in (("a", 0), (None, 50), ("", 65)) for i in range(at, at + 21 - 6 * (host is None))]
+    got = {r["doc_id"]: (r["kept"], r["n_removed_lines"]) for r in quality.quality_rules(spark.createDataFrame(docs, DOC)).collect()}
+    # 21 of 921 texts of one host (their tails are equal but for digits); 15 and 21 of null and empty hosts, which are one
+    assert all(got[1000 + i] == (False, 3) for i in [*range(21), *range(50, 86)]) and all(got[i] == (True, 0) for i in range(900))
+
+
+def test_lines_of_a_long_document_are_hashed_once(spark):
+    lines = unique_lines(7, 5000).split("\n")
+    menu = "a line of all documents here"
+    docs = [(i, "\n".join([menu] + (lines if i == 0 else unique_lines(50 + i).split("\n"))), "en", "a", 0) for i in range(30)]
+    begun = time.monotonic()
+    out = {r["doc_id"]: r["text"] for r in quality.apply_quality_rules(spark.createDataFrame(docs, DOC)).collect()}
+    assert out[0] == "\n".join(lines) and len(out) == 30 and time.monotonic() - begun < 60
+
+
 def highest_quotients(votes, seats):
     held = [0] * len(votes)
     for _ in range(seats):
@@ -102,9 +121,14 @@ def test_targets_and_taken(spark):
     again = mixing.mix_sources(df.repartition(5), shard=5000).toPandas()
     key = ["doc_id", "source", "size", "taken"]
     assert sorted(map(str, mix[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
-    out = mixing.apply_mix(df.withColumns({"row": F.lit(1), "pieces": F.lit("p"), "copy": F.lit(0)}), shard=5000)
-    assert out.columns[-3:] == ["row", "pieces", "copy"]
+    out = mixing.apply_mix(df.withColumns({"row": F.lit(1), "words": F.lit("p"), "part": F.lit(0)}), shard=5000)
+    assert out.columns[-3:] == ["row", "words", "part"]
     assert sum(len((r["text"] or "").split()) for r in out.collect()) == mix["taken"].sum()
+    # a shard cuts one document at most, and only its end is missing
+    cut = mix[(mix["part"] > 0) & (mix["part"] < mix["size"])]
+    assert len(cut) and (cut.groupby(["source", "shard"], dropna=False).size() == 1).all()
+    numbered = df.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.size(F.split("text", " "))), lambda k: k.cast("string")), " "))
+    assert all(r["text"].split() == [str(k + 1) for k in range(len(r["text"].split()))] for r in mixing.apply_mix(numbered, shard=5000).collect())
     assert mixing.mix_sources(df.limit(0)).count() == 0 and mixing.apply_mix(df.limit(0)).count() == 0
 
 
