@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import labels as lb
 from siftline.functions.text import contains_text
 from siftline.operators.ranking import dense_ids, max_id, page_of
+from siftline.operators.text_index import TextIndex
 from siftline.schemas import ARTICLE_COLUMNS
 from siftline.session import cut_lineage
 from siftline.sources.keyed_table import KeyedTable
@@ -98,7 +99,7 @@ def patch_articles(
     ``patches`` has the key, ``fields array<string>`` naming the supplied columns
     (null is a legal new value) and those columns.  ``date_stored`` is refreshed
     by every non-empty patch.  With several patches per key the last one by
-    ``seq`` wins, field by field.
+    ``seq`` wins, field by field; without ``seq`` a repeated key fails the job.
     """
     columns = [
         c for c in ARTICLE_COLUMNS if c in patches.columns and c not in ("id", key, "date_stored")
@@ -108,7 +109,11 @@ def patch_articles(
     any_given = F.lit(False)
     for flag in given.values():
         any_given = any_given | flag
-    aggs = [F.max(F.coalesce(any_given, F.lit(False))).alias("_touched")]
+    touched = F.max(F.coalesce(any_given, F.lit(False)))
+    if seq is None:
+        repeated = F.raise_error(F.lit("several patches for one key need seq")).cast("boolean")
+        touched = F.when(F.count(F.lit(1)) > 1, repeated).otherwise(touched)
+    aggs = [touched.alias("_touched")]
     for c in columns:
         if c == "labels" and patches.schema[c].dataType.typeName() != "string":
             value = F.to_json(c)
@@ -195,6 +200,22 @@ def search_articles(
     return page_of(base, hits, "date_extracted", True, limit, offset)
 
 
+def search_results(df: DataFrame, **filters) -> DataFrame:
+    """Q1 as handed to a caller: the page of ``search_articles`` with labels as an object."""
+    return search_articles(df, **filters).withColumn("labels", lb.parse_labels(F.col("labels")))
+
+
+def search_indexed(
+    index: TextIndex, content_filter: str, domain: str | None = None, start_date: str | None = None,
+    end_date: str | None = None, limit: int | None = 100, offset: int = 0,
+) -> DataFrame:
+    """Q1 over a stored index of title and content: only blocks that can match are read."""
+    return search_results(
+        index.candidates(content_filter), domain=domain, start_date=start_date, end_date=end_date,
+        content_filter=content_filter, limit=limit, offset=offset,
+    )
+
+
 def count_articles(
     df: DataFrame, domain: str | None = None, start_date: str | None = None,
     end_date: str | None = None, content_filter: str | None = None,

@@ -76,8 +76,14 @@ def bucketed_table(df: DataFrame, name: str, keys: list[str], buckets: int) -> D
     return spark.table(table)
 
 
+_shipped: set[str] = set()
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors, for clusters where it is not installed."""
+    """Send this package to the executors, once per application, where it may not be installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
     package = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="siftline-code-")) / "siftline.zip"
     with zipfile.ZipFile(archive, "w") as out:
@@ -85,3 +91,4 @@ def ship_code(spark: SparkSession) -> None:
             out.write(source, source.relative_to(package.parent))
     # the driver serves the file; executors fetch it before their first task
     spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)

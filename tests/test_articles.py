@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from siftline import schemas
@@ -66,6 +67,8 @@ def test_patch_by_url_serialises_labels(spark):
     patches = spark.sql("select 'u2' url, array('labels') fields, named_struct('is_relevant', false) labels")
     rows = {r.url: r for r in ar.patch_articles(stored(spark), patches, NOW, "url").collect()}
     assert rows["u2"].labels == '{"is_relevant":false}' and rows["u2"].id == 2
+    with pytest.raises(Exception, match="need seq"):
+        ar.patch_articles(stored(spark), patches.union(patches), NOW, "url").collect()
 
 
 def test_delete_and_get(spark):

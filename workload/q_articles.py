@@ -1,10 +1,13 @@
 """Article queries: scans, writes, search and labelling (S, W1-W12, Q)."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from siftline.functions import labels as lb
 from siftline.operators import articles as ar
 from siftline.operators import content_store as cs
+from siftline.operators.text_index import TextIndex
 from siftline.session import work_path
 from siftline.sources import readers, writers
 from workload import tables as tb
@@ -282,14 +285,32 @@ def _(spark, sf):
 
 @query(
     "Q1_search_articles",
-    ART + f"""SELECT {ALL} FROM articles WHERE domain = 'src7.example.org' AND date_extracted >= '2024-01-01T01'
+    ART + f"""SELECT * REPLACE (json(labels)::VARCHAR AS labels) FROM (SELECT {ALL} FROM articles WHERE domain = 'src7.example.org' AND date_extracted >= '2024-01-01T01'
       AND date_extracted <= '2024-01-20' AND (title ILIKE '%THE%' OR content ILIKE '%THE%')
-      ORDER BY date_extracted DESC, id LIMIT 20 OFFSET 3""",
+      ORDER BY date_extracted DESC, id LIMIT 20 OFFSET 3)""",
 )
 def _(spark, sf):
-    return ar.search_articles(
-        _articles(spark, sf), "src7.example.org", "2024-01-01T01", "2024-01-20", "THE", limit=20, offset=3
+    page = ar.search_results(
+        _articles(spark, sf), domain="src7.example.org", start_date="2024-01-01T01", end_date="2024-01-20",
+        content_filter="THE", limit=20, offset=3,
     )
+    return page.withColumn("labels", F.col("labels").cast("string"))
+
+
+# four keywords over one stored index: frequent, rare, of two letters, with wildcards
+KEYWORDS = ["tion", "Zungsch", "ij", "th_%on"]
+
+
+@query(
+    "Q1_indexed_search",
+    ART + " UNION ALL ".join(
+        f"SELECT '{k}' AS keyword, id, url FROM articles WHERE title ILIKE '%{k}%' OR content ILIKE '%{k}%'" for k in KEYWORDS
+    ),
+)
+def _(spark, sf):
+    index = TextIndex.create(_articles(spark, sf), ["title", "content"], "id")
+    hits = [index.search(k).select(F.lit(k).alias("keyword"), "id", "url") for k in KEYWORDS]
+    return reduce(lambda a, b: a.union(b), hits)
 
 
 # wildcards inside the text searched for

@@ -79,6 +79,46 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Class or id of the part beside the text of a made page; the last two name nothing ignored.
+MARKS = [
+    "top-nav", "main-navbar", "Menu", "page-HEADER", "footer2", "left-sidebar", "comments", "read-more",
+    "advertisement", "social", "share", "related", "plain", "note",
+]
+
+
+def made_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page made of every document: its text, a marked part, and a date in one of eight places.
+
+    The date is a day that follows from the id; place 7 has none.
+    """
+    docs = spread(raw(spark, sf, "documents").select("doc_id", "text")).withColumn("text", F.coalesce("text", F.lit("")))
+    day = F.expr("timestampadd(DAY, doc_id % 300, TIMESTAMP_NTZ'2024-01-01 00:00:00')")
+    iso, place = F.date_format(day, "yyyy-MM-dd"), F.pmod("doc_id", F.lit(8))
+    head = (
+        F.when(place == 1, F.concat(F.lit('<meta name="pubdate" content="'), iso, F.lit('">')))
+        .when(place == 2, F.concat(F.lit('<meta property="article:published_time" content="'), iso, F.lit('T08:00">')))
+        .when(place == 6, F.concat(F.lit('<meta name="date" content="'), iso, F.lit('">')))
+        .otherwise("")
+    )
+    body = (
+        F.when(place == 0, F.concat(F.lit('<time datetime="'), iso, F.lit('">once</time>')))
+        .when(place == 3, F.concat(F.lit('<b class="Post-Date">Posted '), F.date_format(day, "M/d/yyyy"), F.lit("</b>")))
+        .when(place == 4, F.concat(F.lit('<b class="timeline">on '), F.date_format(day, "MMM d, yyyy"), F.lit("</b>")))
+        .when(place == 5, F.concat(F.lit('<b datetime="'), iso, F.lit('T10:30">then</b>')))
+        .when(place == 6, "<time>no stamp</time>")
+        .otherwise("")
+    )
+    text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    mark = F.element_at(F.array(*map(F.lit, MARKS)), (F.pmod("doc_id", F.lit(len(MARKS))) + 1).cast("int"))
+    names = F.when(F.floor(F.col("doc_id") / len(MARKS)) % 2 == 0, F.lit("class")).otherwise("id")
+    html = F.concat(
+        F.lit("<html><head>"), head, F.lit("</head><body>"), body,
+        F.lit('<div class="content"><p>'), text, F.lit("</p><section "), names, F.lit('="'), mark, F.lit('">\nBeside '),
+        F.col("doc_id").cast("string"), F.lit("</section><script>var x = 1;</script></div></body></html>"),
+    )
+    return docs.select("doc_id", F.concat(F.lit("https://made.example.org/"), F.col("doc_id")).alias("url"), html.alias("html"))
+
+
 def _ranked(names: DataFrame) -> DataFrame:
     """Ids by name rank over the few distinct names."""
     from pyspark.sql import Window
