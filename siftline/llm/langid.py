@@ -42,12 +42,25 @@ def gram_places(text: str) -> np.ndarray:
     return np.concatenate(found)
 
 
+def packed(text: str) -> bytes:
+    """The places of a text's n-grams as PLACES bits."""
+    bits = np.zeros(PLACES, np.uint8)
+    bits[gram_places(text)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def scaled(bits: np.ndarray) -> np.ndarray:
+    """Rows of 0 and 1, scaled to length one."""
+    rows = bits.astype(np.float32)
+    return rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+
+
 def presence(texts: list[str]) -> np.ndarray:
     """One row per text with 1 at the places of its n-grams, scaled to length one."""
-    rows = np.zeros((len(texts), PLACES), np.float32)
+    rows = np.zeros((len(texts), PLACES), np.uint8)
     for i, text in enumerate(texts):
         rows[i, gram_places(text)] = 1
-    return rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+    return scaled(rows)
 
 
 @dataclass(frozen=True)
@@ -68,37 +81,60 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
 
 
-def sample_rows(labelled: DataFrame, lang: str, order: Column, most: int) -> DataFrame:
-    """``most`` rows of each language, those of smallest ``order``; the
-    bound on the rank keeps ``most`` rows a language in each task before rows move."""
-    ranked = labelled.withColumn("_k", F.row_number().over(Window.partitionBy(lang).orderBy(order)))
-    return ranked.where(F.col("_k") <= most)
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = pa.array([packed(t) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), batch.column("text_hash"), bits], names=["lang", "draw", "text_hash", "bits"])
+
+
+def sample_rows(labelled: DataFrame, text: str, lang: str, key: str, most: int) -> DataFrame:
+    """(lang, draw, text_hash, bits, k): ``most`` rows of each language, by the md5 of their key.
+
+    Rows that repeat key and text count once; ties of the key go by the text's hash.  The
+    number of keys gives the share of md5 values that holds ``4 * most`` rows on average,
+    so that what one task ranks does not grow with the table; a row then weighs PLACES bits.
+    """
+    usable = labelled.where(F.col(lang).isNotNull() & has_letter(F.col(text)))
+    draw = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    rows = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
+    sizes = rows.groupBy(F.col("lang").alias("_lang")).agg(F.approx_count_distinct("draw", 0.02).alias("_n"))
+    near = rows.join(sizes, F.col("lang") == F.col("_lang"))
+    near = near.where(F.conv(F.substring("draw", 1, 13), 16, 10).cast("double") * F.col("_n") < 4.0 * most * 16.0**13)
+    bits = near.select("lang", "draw", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_packed_rows, "lang string, draw string, text_hash bigint, bits binary")
+    ranked = bits.dropDuplicates(["lang", "draw", "text_hash"]).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text_hash")))
+    return ranked.where(F.col("k") <= most)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", landmarks: int = LANDMARKS, rows: int = FIT_ROWS) -> Model:
     """Fit on at most ``rows`` sampled rows a language, of which ``landmarks`` are landmarks.
 
-    Rows are drawn by the md5 of their key; rows without letters or language are left out.
-    The sample, of that bounded size, is broadcast as keys and collected as texts.  Without any usable row there are no languages.
+    Rows without letters or language are left out; repeated rows count once.  The driver
+    gets the sample as PLACES bits a row.  Without any usable row there are no languages.
     """
-    usable = labelled.where(F.col(lang).isNotNull() & has_letter(F.col(text)))
-    drawn = sample_rows(usable.select(F.col(key).alias("key"), lang), lang, F.md5(F.col("key").cast("string")), rows)
-    picked = usable.join(F.broadcast(drawn.select(F.col("key").alias("_key"), "_k", F.col(lang).alias("_lang"))), F.col(key).eqNullSafe(F.col("_key")) & (F.col(lang) == F.col("_lang")))
-    sample = picked.select(F.col(lang).alias("lang"), F.col(text).alias("text"), "_k").toPandas().sort_values(["lang", "_k"])
+    sample = sample_rows(labelled, text, lang, key, rows).toPandas().sort_values(["lang", "k"])
     langs = sorted(sample["lang"].unique())
-    texts = sample["text"].tolist()
-    chosen = presence(sample.loc[sample["_k"] <= landmarks, "text"].tolist()).T
     if not langs:
         return Model([], np.zeros((PLACES, 0), np.float32), np.zeros((1, 0), np.float32))
-    kernel = np.vstack([presence(texts[i:i + BATCH]) @ chosen for i in range(0, len(texts), BATCH)]).astype(np.float64)
-    values, vectors = np.linalg.eigh((chosen.T @ chosen).astype(np.float64))
-    root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])  # Nystroem features are kernel @ root
-    features = np.hstack([kernel @ root, np.ones((len(kernel), 1))])
+    bits = np.stack([np.frombuffer(b, np.uint8) for b in sample["bits"]])
+    unpacked = lambda part: scaled(np.unpackbits(part, axis=1))
+    chosen = unpacked(bits[(sample["k"] <= landmarks).to_numpy()]).T
+    kernel = np.vstack([unpacked(bits[i:i + BATCH]) @ chosen for i in range(0, len(bits), BATCH)]).astype(np.float64)
     wanted = (sample["lang"].to_numpy()[:, None] == np.array(langs)[None]).astype(np.float64) * 2 - 1
+    return Model(list(langs), np.ascontiguousarray(chosen), solve(kernel, (chosen.T @ chosen).astype(np.float64), wanted))
+
+
+def solve(kernel: np.ndarray, among: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Weights of the landmarks, and a constant, for kernel rows of the sample.
+
+    ``among`` is the kernel of the landmarks among themselves.  Ridge regression on the
+    features ``kernel @ root`` with ``root @ root.T`` the inverse of ``among``.
+    """
+    values, vectors = np.linalg.eigh(among)
+    root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
+    features = np.hstack([kernel @ root, np.ones((len(kernel), 1))])
     gram = features.T @ features / len(features) + RIDGE * np.eye(features.shape[1])
     ridge = np.linalg.solve(gram, features.T @ wanted / len(features))
-    weights = np.vstack([root @ ridge[:-1], ridge[-1:]])
-    return Model(list(langs), np.ascontiguousarray(chosen), weights.astype(np.float32))
+    return np.vstack([root @ ridge[:-1], ridge[-1:]]).astype(np.float32)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -135,7 +171,9 @@ def held_out(doc_id: Column) -> Column:
 def predict_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **sizes) -> DataFrame:
     """Learn from the documents not held out, then predict every document.
 
-    Returns doc_id, held_out, lang_pred and score; one row per row of ``docs``.
+    Returns doc_id, held_out, lang_pred and score; one row per row of ``docs``.  Equal
+    scores go to the language first in code-point order; repeated rows weigh once in the
+    fit and get equal predictions; null ids are held out; an empty table gives none.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).withColumn("held_out", held_out(F.col("doc_id")))
     model = fit(rows.where(~F.col("held_out")), **sizes)

@@ -3,8 +3,9 @@
 import random
 import time
 import re
-from hashlib import sha256
+from hashlib import md5, sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -206,3 +207,33 @@ def test_languages_are_learnt_from_rows_not_held_out(spark):
     assert {r["lang_pred"] for r in out if r["doc_id"] in (1000, 1001, 1002)} == {"und"}
     assert all(0 <= r["score"] <= 1 for r in out) and [r["lang_pred"] for r in out if r["doc_id"] == 1003] == ["cc"]
     assert langid.predict_languages(df.limit(0)).count() == 0
+
+
+def test_sample_is_bounded_and_repeats_count_once(spark):
+    rows = [(i, f"text number {i}", "aa", "s", 0) for i in range(5000)] + [(7, "copy of one key", "aa", "s", 0)] * 3000
+    rows += [(i, f"wort {i}", "bb", "s", 0) for i in range(30)]
+    sample = langid.sample_rows(spark.createDataFrame(rows, DOC), "text", "lang", "doc_id", 50).toPandas()
+    assert sample.groupby("lang").size().to_dict() == {"aa": 50, "bb": 30} and not sample.duplicated(["lang", "draw", "text_hash"]).any()
+    draws = sorted(md5(str(i).encode()).hexdigest() for i in range(5000))
+    assert set(sample.loc[sample["lang"] == "aa", "draw"]) <= set(draws[:50])
+    assert set(sample["bits"].map(len)) == {langid.PLACES // 8}
+
+
+def test_kernel_and_ridge_against_brute_force(spark):
+    def grams(text):
+        padded = f" {text.lower()} "
+        return {padded[i:i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)}
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abc dé", k=rng.randrange(1, 25))) for _ in range(12)]
+    got = langid.presence(texts) @ langid.presence(texts).T
+    want = np.array([[len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5 for b in texts] for a in texts])
+    assert np.abs(got - want).max() < 0.02  # n-grams that share a place
+    marks, wanted = want[:, :4], np.sign(np.arange(12)[:, None] - 5.5)
+    weights = langid.solve(marks, want[:4, :4], wanted)
+    # the same optimum from its own definition: min |Kw + b - y|^2 / n + RIDGE (w' A w + b^2)
+    wide = np.hstack([marks, np.ones((12, 1))])
+    penalty = np.zeros((5, 5))
+    penalty[:4, :4], penalty[4, 4] = want[:4, :4], 1
+    direct = np.linalg.solve(wide.T @ wide / 12 + langid.RIDGE * penalty, wide.T @ wanted / 12)
+    assert np.allclose(wide @ weights, wide @ direct, atol=1e-3)
