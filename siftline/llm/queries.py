@@ -76,7 +76,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op7_suffix_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix_dedup.dedup_substrings(table(spark, sf, "documents"))
+    """All documents; ``kept`` is the text that is left."""
+    return suffix_dedup.dedup_substrings(table(spark, sf, "documents"), with_kept=True)
 
 
 @query("op8_preferences", preferences.ORACLE_SQL)
