@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftline.llm import bpe, langid, mixing, ngram_join, nn_descent, preferences, quality, site_tree, spelling, suffix_dedup, token_counts, url_filters, whitening
 
@@ -82,9 +83,15 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op8_preferences", preferences.ORACLE_SQL)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    """All conversations, paired with one that opens alike where there is one."""
+    """All conversations, paired with one that opens alike, else with another reply of their own.
+
+    ``other_id`` is the twin, or the conversation that the reply is from, or the own id.
+    """
     convs = preferences.conversations(table(spark, sf, "conversations"))
-    return preferences.format_preferences(preferences.pair_up(convs), convs)
+    made = preferences.format_preferences(preferences.pair_up(convs), convs)
+    kind = F.when(F.col("rejected_id").isNotNull(), "twin").when(F.col("reply_id").isNotNull(), "reply").otherwise("alone")
+    other = F.coalesce("rejected_id", "reply_id", "chosen_id")
+    return made.withColumns({"kind": kind, "other_id": other}).drop("rejected_id", "reply_id")
 
 
 @query("op11_url_filters", url_filters.ORACLE_SQL)

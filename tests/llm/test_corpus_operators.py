@@ -288,5 +288,32 @@ def test_preferences_share_the_longest_prefix(spark):
     assert (got[2]["n_prompt_turns"], got[2]["chosen"], got[2]["rejected"]) == (0, part("user", "z"), None)
     assert got[3]["chosen"] is None and got[3]["rejected"] == part("user", "z") and got[4]["prompt"] == ""
     paired = sorted((r["chosen_id"], r["rejected_id"]) for r in preferences.pair_up(convs).where("rejected_id is not null").collect())
-    assert (1, 2) in paired and len(paired) == 2
+    assert paired == [(1, 2)]
+    built = {r["chosen_id"]: r["reply_id"] for r in preferences.pair_up(convs).where("rejected_id is null").collect()}
+    assert built == {3: None, 5: None}  # neither has an assistant turn
     assert preferences.format_preferences(preferences.pair_up(preferences.conversations(df.limit(0))), convs).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_all_twins_meet_and_others_get_a_reply(spark, block):
+    rng = random.Random(2)
+    turns = []
+    for i in range(0, 90):
+        opening = "hot" if i % 3 == 0 else f"o{i % 7}" if i % 3 == 1 else f"own {i}"
+        turns += [(i * 1000, 0, "user", opening), (i * 1000, 1, "assistant", f"a{i}"), (i * 1000, 2, "user", f"more {rng.random()}")]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    convs = preferences.conversations(df)
+    pairs = preferences.pair_up(convs, block)
+    rows = pairs.collect()
+    opening = {c: t for c, k, _, t in turns if k == 0}
+    seen = [x for r in rows for x in (r["chosen_id"], r["rejected_id"]) if x is not None]
+    assert sorted(seen) == sorted(opening) and all(opening[r["chosen_id"]] == opening[r["rejected_id"]] for r in rows if r["rejected_id"] is not None)
+    alone = [opening[r["chosen_id"]] for r in rows if r["rejected_id"] is None]
+    assert len(alone) == len(set(alone)) and all(r["reply_id"] != r["chosen_id"] for r in rows)
+    done = {r["chosen_id"]: r for r in preferences.format_preferences(pairs, convs).collect()}
+    for r in done.values():
+        if r["reply_id"] is not None:
+            assert r["n_prompt_turns"] == 1 and r["prompt"] == f"<|user|>\n{opening[r['chosen_id']]}<|end|>\n"
+            assert r["rejected"] == f"<|assistant|>\na{r['reply_id'] // 1000}<|end|>\n" and r["rejected_mask"].endswith(":1")
+    if block == 4096:
+        assert all(r["n_prompt_turns"] == 1 for r in done.values())
