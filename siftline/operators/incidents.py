@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.dates import format_datetime
 from siftline.functions.text import contains_text, truncate_words
-from siftline.operators.ranking import dense_ids, max_id, page_of
+from siftline.operators.ranking import dense_ids, lookup, max_id, page_of
 from siftline.schemas import INCIDENT_COLUMNS
 from siftline.session import cut_lineage
 
@@ -55,22 +55,26 @@ def get_or_create_sources(
     )
 
 
-def create_incidents(
-    incidents: DataFrame, tags: DataFrame, links: DataFrame, incoming: DataFrame, now: str,
-    seq: str = "seq",
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Add incidents with get-or-create tags.
+def hold_rows(incoming: DataFrame) -> DataFrame:
+    """The rows, stored once, with a number ``_row``: ids, sources and tags are then decided on
+    narrow columns and the bodies move once."""
+    return cut_lineage(incoming.withColumn("_row", F.monotonically_increasing_id()), "incoming")
 
-    ``incoming``: seq, title, description, source_id, source_reference and
-    ``tags array<string>``.  No uniqueness on the reference: the same page twice
-    gives two incidents.  Returns incidents, tags and link rows.
-    """
-    # stored once: three tables are made from it and must agree on the ids
-    numbered = cut_lineage(
-        dense_ids(incoming.filter(F.col("title").isNotNull()), seq, max_id(incidents)), "incidents"
-    )
+
+def number_incidents(incidents: DataFrame, held: DataFrame, columns: list[str], seq: str = "seq") -> DataFrame:
+    """(_row, seq, *columns, id) of the held rows with a title; ids follow ``seq``."""
+    narrow = held.filter(F.col("title").isNotNull()).select("_row", seq, *columns)
+    return dense_ids(narrow, seq, max_id(incidents), ties=["_row"])
+
+
+def add_incidents(
+    incidents: DataFrame, tags: DataFrame, links: DataFrame, held: DataFrame, numbered: DataFrame,
+    now: str, seq: str = "seq",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Incidents, tags and links with the held rows; ``numbered`` has their _row, id, source_id and tags."""
     at = _stamp(now)
-    rows = numbered.select(
+    bodies = held.select("_row", "title", "description", "source_reference")
+    rows = numbered.select("_row", "id", "source_id").join(bodies, "_row").select(
         "id", "title", "description", "source_id", "source_reference",
         at.alias("created_at"), at.alias("updated_at"),
     )
@@ -78,12 +82,28 @@ def create_incidents(
         F.col("id").alias("incident_id"), seq, F.posexplode(F.array_distinct("tags")).alias("pos", "name")
     )
     all_tags = create_tags(tags, named, now, seq)
-    new_links = named.filter(F.col("name").isNotNull()).join(
-        all_tags.select(F.col("id").alias("tag_id"), "name"), "name"
+    # most incidents may share one tag
+    new_links = lookup(
+        named.select("incident_id", "name"), all_tags.select(F.col("id").alias("tag_id"), "name"), "name"
     ).select("incident_id", "tag_id")
     return incidents.unionByName(rows), all_tags, links.unionByName(new_links)
 
 
+def create_incidents(
+    incidents: DataFrame, tags: DataFrame, links: DataFrame, incoming: DataFrame, now: str,
+    seq: str = "seq",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Add incidents with get-or-create tags.
+
+    ``incoming``: seq, title, description, source_id, source_reference and
+    ``tags array<string>``.  No uniqueness on the reference: the same page twice
+    gives two incidents.  Returns incidents, tags and link rows.
+    """
+    held = hold_rows(incoming)
+    numbered = number_incidents(incidents, held, ["source_id", "tags"], seq)
+    return add_incidents(incidents, tags, links, held, numbered, now, seq)
+
+
 def patch_incidents(
     incidents: DataFrame, tags: DataFrame, links: DataFrame, patches: DataFrame, now: str,
     seq: str = "seq",
@@ -194,7 +214,8 @@ def list_incidents(
     if page < 1 or not 1 <= per_page <= 100:
         raise ValueError("page must be >= 1 and per_page between 1 and 100")
     hits = filter_incidents(incidents, tags, links, source_id, tag_name)
-    rows = page_of(incidents, hits, "created_at", True, per_page, (page - 1) * per_page)
+    # stored: source and tags are both looked up for these rows
+    rows = cut_lineage(page_of(incidents, hits, "created_at", True, per_page, (page - 1) * per_page), "page")
     # at most per_page (100) ids
     ids = rows.select(F.col("id").alias("incident_id"))
     page_links = links.join(F.broadcast(ids), "incident_id", "left_semi")
@@ -223,18 +244,17 @@ def search_incidents(incidents: DataFrame, sources: DataFrame, q: str, limit: in
     """Keyword in title, description or source name (ASCII case-insensitive)."""
     if len(q) < 2:
         raise ValueError("q needs at least two characters")
-    named = incidents.select("id", "title", "description", "source_id").join(
-        sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")),
-        "source_id",
-        "left",
-    )
-    hit = (
-        contains_text(F.col("title"), q)
-        | contains_text(F.col("description"), q)
-        | contains_text(F.col("source_name"), q)
-    )
-    page = page_of(named, named.filter(hit), limit=limit)
-    return page.select("id", "title", "description", "source_name")
+    rows = incidents.select("id", "title", "description", "source_id")
+    names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    matching = names.filter(contains_text(F.col("source_name"), q)).select("source_id", F.lit(True).alias("matches"))
+    own = contains_text(F.col("title"), q) | contains_text(F.col("description"), q)
+    hits = rows.select("id", "source_id", own.alias("own")).join(matching, "source_id", "left")
+    page = page_of(rows, hits.filter(F.col("own") | F.col("matches")), limit=limit)
+    if limit is not None:
+        # stored: no more than ``limit`` rows, and so many names
+        page = cut_lineage(page, "page")
+        names = F.broadcast(names.join(F.broadcast(page.select("source_id")), "source_id", "left_semi"))
+    return page.join(names, "source_id", "left").select("id", "title", "description", "source_name")
 
 
 def list_sources(sources: DataFrame) -> DataFrame:

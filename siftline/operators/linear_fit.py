@@ -130,27 +130,35 @@ def minimize(objective: Callable, start: np.ndarray, max_iter: int, tol: float,
 
 def fit(
     data: DataFrame, n_features: int, loss: Callable, c: float = 1.0, fit_intercept: bool = True,
-    penalize_intercept: bool = False, max_iter: int = 100, tol: float = 1e-5,
+    penalize_intercept: bool = False, max_iter: int = 100, tol: float = 1e-5, penalize: bool = True,
+    constant: float = 1.0, start: np.ndarray | None = None,
 ) -> tuple[np.ndarray, float, int, float]:
     """Minimise ``c * sum(weight * loss) + |w|^2 / 2`` over (features, label, weight).
 
     Values are divided by ``c * total weight`` so that the tolerance means the same
-    at every size.  The intercept is the weight of a constant last term.
+    at every size.  The intercept is ``constant`` times the weight of a last term of that
+    value; the larger it is, the less a penalised intercept is held back.  ``start`` holds
+    weights and intercept to begin with.
     """
-    constant = data.withColumn("_one", F.lit(1.0 if fit_intercept else 0.0))
-    rows = VectorAssembler(inputCols=["features", "_one"], outputCol="x").transform(constant)
+    held = data.withColumn("_one", F.lit(float(constant) if fit_intercept else 0.0))
+    rows = VectorAssembler(inputCols=["features", "_one"], outputCol="x").transform(held)
     rows = fold_label(rows, n_features + 1).select("z", "weight", F.lit(1.0).alias("one")).persist(StorageLevel.MEMORY_AND_DISK)
     # the input is a stored table, so looking at its partitions starts no job
     groups = math.isqrt(rows.rdd.getNumPartitions()) or 1
     plain = _vector_sum(rows, groups, "one", F.col("weight"))
     norm, floor = c * plain["s0"], plain["z"].toArray()
-    penalty = np.ones(n_features + 1)
-    penalty[-1] = 1.0 if penalize_intercept else 0.0
+    penalty = np.full(n_features + 1, 1.0 if penalize else 0.0)
+    if not penalize_intercept:
+        penalty[-1] = 0.0
 
     def objective(w):
         value, grad = loss_pass(rows, loss, w, floor, groups)
         return (c * value + (penalty * w) @ w / 2) / norm, (c * grad + penalty * w) / norm
 
-    w, steps, slope = minimize(objective, np.zeros(n_features + 1), max_iter, tol)
+    first = np.zeros(n_features + 1)
+    if start is not None:
+        first[:] = start
+        first[-1] = first[-1] / constant if fit_intercept else 0.0
+    w, steps, slope = minimize(objective, first, max_iter, tol)
     rows.unpersist()
-    return w[:-1], float(w[-1]) if fit_intercept else 0.0, steps, slope
+    return w[:-1], float(w[-1]) * constant if fit_intercept else 0.0, steps, slope

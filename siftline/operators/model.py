@@ -17,7 +17,10 @@ from siftline.session import cut_lineage
 
 MODEL_TYPES = ("logistic_regression", "linear_svc")
 # accepted parameters with their defaults
-MODEL_PARAMS = {"C": 1.0, "max_iter": 200, "tol": 1e-4, "fit_intercept": True, "class_weight": None}
+MODEL_PARAMS = {
+    "C": 1.0, "max_iter": 200, "tol": 1e-4, "fit_intercept": True, "class_weight": None, "penalty": "l2",
+    "intercept_scaling": 1.0,
+}
 
 
 @dataclass
@@ -44,11 +47,14 @@ class LinearModel:
 def train(
     df: DataFrame, model_type: str = "logistic_regression", params: dict | None = None,
     vocabulary: Vocabulary | None = None, features: str = "features", label: str = "label",
+    start: LinearModel | None = None,
 ) -> LinearModel:
     """M1, M2: fit on rows with a vector and a 0/1 label.
 
-    Logistic regression has an L2 penalty on the weights and a free intercept; the
-    SVC has squared hinge loss and a penalised intercept.  The training vectors are
+    Logistic regression has an L2 penalty on the weights, or none (``penalty`` None), and
+    a free intercept; the SVC has squared hinge loss and a penalised intercept, which
+    ``intercept_scaling`` frees.  ``start`` is a model over the same terms whose weights
+    the search begins with.  The training vectors are
     written to the shared folder once because every pass reads them again.
     """
     if model_type not in MODEL_TYPES:
@@ -58,6 +64,11 @@ def train(
     if unknown:
         raise ValueError(f"Unsupported model parameters: {sorted(unknown)}")
     settings = {**MODEL_PARAMS, **params}
+    svc = model_type == "linear_svc"
+    if settings["penalty"] not in ("l2", None) or (svc and settings["penalty"] is None):
+        raise ValueError(f"Unsupported penalty of {model_type}: {settings['penalty']}")
+    if not settings["intercept_scaling"] > 0:
+        raise ValueError("intercept_scaling must be above 0")
     started = time.time()
     data = cut_lineage(
         df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"))
@@ -76,11 +87,16 @@ def train(
     # dense vectors carry no size of their own
     width = F.coalesce(vector["size"], F.size(vector["values"]))
     n_features = len(vocabulary.terms) if vocabulary else data.select(width).first()[0]
-    svc = model_type == "linear_svc"
+    if start is not None and len(start.coefficients) != n_features:
+        raise ValueError(f"start has {len(start.coefficients)} weights, the vectors {n_features}")
     coefficients, intercept, steps, slope = linear_fit.fit(
         data.withColumn("weight", weight), n_features,
         linear_fit.squared_hinge if svc else linear_fit.logistic,
         float(settings["C"]), settings["fit_intercept"], svc, settings["max_iter"], settings["tol"],
+        penalize=settings["penalty"] is not None,
+        # a free intercept needs no scaling
+        constant=float(settings["intercept_scaling"]) if svc else 1.0,
+        start=None if start is None else [*start.coefficients, start.intercept],
     )
     ended = time.time()
     converged = slope <= settings["tol"]
@@ -128,8 +144,9 @@ def optimality(
     n = df.select(F.count(F.lit(1))).scalar()
     weights = model.coefficient_table(df.sparkSession)
     pull = F.coalesce("pull", F.lit(0.0))
+    held_back = 1.0 if settings["penalty"] else 0.0
     return weights.join(pulls, "idx", "left").select(
-        "idx", "term", "coefficient", ((settings["C"] * pull + F.col("coefficient")) / (settings["C"] * n)).alias("gradient")
+        "idx", "term", "coefficient", ((settings["C"] * pull + held_back * F.col("coefficient")) / (settings["C"] * n)).alias("gradient")
     )
 
 

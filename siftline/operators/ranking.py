@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from siftline.session import cut_lineage
 
+#: Keys a lookup may send to every task.
+HOT_KEYS = 1024
+
 
 def tasks_of(df: DataFrame) -> int:
     """Partitions of a shuffle, the number of groups that merge candidates or counts."""
@@ -39,6 +42,23 @@ def dense_ids(
     )
 
 
+def lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table of unique keys, of which some may hold most of the rows.
+
+    The rows are counted per key, combined map-side, and only keys in use are looked up.
+    Keys of more than one in HOT_KEYS rows, so fewer than HOT_KEYS keys, are sent to every
+    task; the other rows are joined by key.  Null keys find nothing.  ``df`` is read three
+    times and should be a stored, narrow table.
+    """
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    found = cut_lineage(counts.join(table, key), "lookup")
+    hot = F.col("_n") * HOT_KEYS > found.select(F.sum("_n")).scalar()
+    sent = found.filter(hot).drop("_n")
+    rest = df.join(F.broadcast(sent.select(key)), key, "left_anti")
+    by_key = rest.join(found.filter(~hot).drop("_n"), key)
+    return df.join(F.broadcast(sent), key).unionByName(by_key)
+
+
 def page_of(
     base: DataFrame, hits: DataFrame, by: str = "id", descending: bool = False, limit: int | None = 100,
     offset: int = 0,

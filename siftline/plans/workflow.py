@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from siftline.functions.text import domain_of, scheme_of
 from siftline.operators.extract import parse_pages
 from siftline.operators.frontier import store_graph
-from siftline.operators.incidents import create_incidents, get_or_create_sources
+from siftline.operators.incidents import add_incidents, get_or_create_sources, hold_rows, number_incidents
 from siftline.operators.model import LinearModel, predict_with_score
+from siftline.operators.ranking import lookup
 from siftline.session import cut_lineage
 
 AUTO_TAG = "auto-extracted"  # fixed value
@@ -73,14 +74,13 @@ def store_incidents(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Relevant outcomes into the tables: source, incident, ``auto-extracted`` tag."""
     # stored once, so that pages are parsed and scored a single time
-    incoming = cut_lineage(incoming_incidents(outcomes, seq), "incoming")
-    all_sources = get_or_create_sources(
-        sources, incoming.withColumnRenamed("source_reference", "url"), now, "domain", seq
-    )
-    with_source = incoming.join(
-        all_sources.select(F.col("id").alias("source_id"), F.col("name").alias("domain")), "domain"
-    )
-    rows, all_tags, all_links = create_incidents(incidents, tags, links, with_source, now, seq)
+    held = hold_rows(incoming_incidents(outcomes, seq))
+    origins = held.select("domain", seq, F.col("source_reference").alias("url"))
+    all_sources = get_or_create_sources(sources, origins, now, "domain", seq)
+    numbered = number_incidents(incidents, held.filter(F.col("domain").isNotNull()), ["domain", "tags"], seq)
+    ids = all_sources.select(F.col("id").alias("source_id"), F.col("name").alias("domain"))
+    with_source = cut_lineage(lookup(numbered, ids, "domain").drop("domain"), "numbered")
+    rows, all_tags, all_links = add_incidents(incidents, tags, links, held, with_source, now, seq)
     return rows, all_sources, all_tags, all_links
 
 

@@ -84,7 +84,9 @@ def training_rows(spark, n=80, d=4):
     ("logistic_regression", {"tol": 1e-7}),
     ("logistic_regression", {"tol": 1e-7, "C": 0.1, "class_weight": "balanced"}),
     ("logistic_regression", {"tol": 1e-7, "fit_intercept": False}),
+    ("logistic_regression", {"tol": 1e-7, "penalty": None}),
     ("linear_svc", {"tol": 1e-7}),
+    ("linear_svc", {"tol": 1e-7, "intercept_scaling": 5.0}),
 ])
 def test_training_reaches_the_optimum(spark, model_type, params):
     x, y, df = training_rows(spark)
@@ -96,16 +98,33 @@ def test_training_reaches_the_optimum(spark, model_type, params):
         s = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     if model_type == "linear_svc":
         t = 2 * y - 1
-        slope, extra = -2 * t * np.maximum(1 - t * z, 0), b
+        slope, extra = -2 * t * np.maximum(1 - t * z, 0), b / params.get("intercept_scaling", 1.0) ** 2
     else:
         slope, extra = 1 / (1 + np.exp(-z)) - y, 0.0
-    assert np.abs(x.T @ (c * s * slope) + w).max() < 1e-4
+    held_back = w if params.get("penalty", "l2") else 0.0
+    assert np.abs(x.T @ (c * s * slope) + held_back).max() < 1e-4
     if params.get("fit_intercept", True):
         assert abs((c * s * slope).sum() + extra) < 1e-4
     else:
         assert b == 0
 
 
+@pytest.mark.parametrize("model_type", md.MODEL_TYPES)
+def test_start_weights(spark, model_type):
+    _, _, df = training_rows(spark)
+    params = {"tol": 1e-6, "intercept_scaling": 3.0}
+    first = md.train(df, model_type, params)
+    again = md.train(df, model_type, params, start=first)
+    assert again.metadata["iterations"] == 0 < first.metadata["iterations"]
+    assert np.allclose(again.coefficients, first.coefficients) and np.isclose(again.intercept, first.intercept)
+    with pytest.raises(ValueError):
+        md.train(df, model_type, start=md.LinearModel(model_type, [1.0], 0.0))
+    with pytest.raises(ValueError):
+        md.train(df, model_type, {"intercept_scaling": 0})
+    with pytest.raises(ValueError):
+        md.train(df, "linear_svc", {"penalty": None})
+
+
 def test_pass_equals_plain_sums(spark):
     from siftline.operators import linear_fit as lf
 

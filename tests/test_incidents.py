@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from siftline import schemas
 from siftline.operators import incidents as inc
 from siftline.operators import monitoring as mon
+from siftline.operators import ranking
 
 NOW = "2024-05-01T00:00:00"
 T = "timestamp_ntz'2024-04-30 10:00:00'"
@@ -76,6 +77,31 @@ def test_create(spark, tables):
     assert sorted(tuple(r) for r in links.filter("incident_id > 4").collect()) == [(5, 1), (5, 4), (6, 4), (6, 5)]
 
 
+def test_create_without_rows(spark, tables):
+    i, s, t, link = tables
+    none = spark.createDataFrame([], "seq bigint, title string, description string, source_id bigint, source_reference string, tags array<string>")
+    rows, tags, links = inc.create_incidents(i, t, link, none, NOW)
+    assert (rows.count(), tags.count(), links.count()) == (4, 3, 4)
+
+
+def test_lookup_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "HOT_KEYS", 8)
+    names = ["hot"] * 600 + [f"k{n % 100}" for n in range(400)] + [None, "unknown"]
+    df = spark.createDataFrame(list(enumerate(names)), "row bigint, name string").repartition(4)
+    table = spark.createDataFrame([(0, "hot"), (-1, "unused")] + [(n + 1, f"k{n}") for n in range(100)], "id bigint, name string")
+    found = ranking.lookup(df, table, "name")
+    want = {n: 0 if name == "hot" else int(name[1:]) + 1 for n, name in enumerate(names) if name and name != "unknown"}
+    rows = found.collect()
+    assert len(rows) == 1000 and {r.row: r.id for r in rows} == want
+    assert ranking.lookup(df.filter("row < 0"), table, "name").count() == 0
+
+
+def test_search_of_all_rows_and_unknown_sources(spark, tables):
+    i, s, _, _ = tables
+    assert [(r.id, r.source_name) for r in inc.search_incidents(i, s, "mm").collect()] == [(3, None)]
+    assert sorted(r.id for r in inc.search_incidents(i, s, "bl", limit=None).collect()) == [1, 4]
+
+
 def test_sources_first_url(spark, tables):
     incoming = spark.createDataFrame(
         [(2, "n.org", "http://n.org/2"), (1, "n.org", "http://n.org/1"), (3, "Blog", "http://x")],
