@@ -17,7 +17,7 @@ Equal sets are one node, so copies add no pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -205,6 +205,16 @@ def _tiles(pairs: DataFrame) -> DataFrame:
     return tiled.select("a", "b", "na", "nb", F.pmod("tile", F.lit(shards)).alias("shard"))
 
 
+def _star_shards(pairs: DataFrame) -> DataFrame:
+    """Add to each pair of a set and a list's first its ``shard``, by the set.
+
+    A set travels once, with its few firsts beside it; a first of many sets travels once
+    per shard, that is once per SHARD_TILES * TILE_NODES pairs about.  No group need be known.
+    """
+    shards = max(1, pairs.count() // (SHARD_TILES * TILE_NODES))
+    return pairs.select("a", "b", "na", "nb", F.pmod(F.xxhash64("a"), F.lit(shards)).alias("shard"))
+
+
 def _count_overlaps(pairs: pa.Table, parts: pa.Table) -> pa.Table:
     """The overlap of every pair of a shard within one fragment."""
     grams = dict(zip(parts.column("node").to_pylist(), (g.values.to_numpy() for g in parts.column("grams"))))
@@ -215,12 +225,17 @@ def _count_overlaps(pairs: pa.Table, parts: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["a", "b", "na", "nb", "overlap"])
 
 
-def linked_pairs(docs: DataFrame, pairs: DataFrame, fragment, width: int, percent: int, text: str) -> DataFrame:
-    """(a, b) of the pairs that reach the similarity: overlaps by fragment, summed per pair."""
+def linked_pairs(
+    docs: DataFrame, pairs: DataFrame, fragment, width: int, percent: int, text: str, deal: Callable[[DataFrame], DataFrame] = _tiles
+) -> DataFrame:
+    """(a, b) of the pairs that reach the similarity: overlaps by fragment, summed per pair.
+
+    ``deal`` adds to the stored pairs the ``shard`` in which each is counted.
+    """
     pairs = cut_lineage(pairs, "pairs")
     wanted = docs.sparkSession.sparkContext.broadcast(_node_filter(pairs))
     parts = cut_lineage(segments(docs, fragment, wanted, width, text), "segments")
-    tiled = _tiles(pairs)
+    tiled = deal(pairs)
     needed = tiled.select(F.col("shard").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
     sent = needed.join(parts, "node").select("at", F.col("frag").alias("piece"), "node", "grams")
     asked = tiled.select("*", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))).alias("frag"))
@@ -238,7 +253,7 @@ def linked_sets(docs: DataFrame, summary: DataFrame, width: int = WIDTH, percent
     prefixes = prefix_rows(docs, rank, width, percent, text)
     lists = cut_lineage(shared_lists(prefixes), "lists")
     sizes = summary.where("node is not null").select("node", "n").distinct()
-    stars = cut_lineage(linked_pairs(docs, star_pairs(lists, sizes, percent), fragment, width, percent, text), "links")
+    stars = cut_lineage(linked_pairs(docs, star_pairs(lists, sizes, percent), fragment, width, percent, text, _star_shards), "links")
     rest = candidate_pairs(lists, cut_lineage(components(stars), "roots"), percent)
     return stars.union(linked_pairs(docs, rest, fragment, width, percent, text))
 
