@@ -129,8 +129,10 @@ def _(spark, sf):
 def _(spark, sf):
     rows = tb.labeled(spark, sf)
     v = F.unwrap_udt(F.col("features"))
-    out = ft.vectorize(rows, ft.fit_vocabulary(rows)).select("id", v.alias("v"))
-    return out.filter(F.size("v.values") > 0).select(
+    # a plain filter would be pushed to the scan with all of the vectoriser in it, several times over
+    kept = F.filter(F.array(v), lambda x: F.size(x["values"]) > 0)
+    out = ft.vectorize(rows, ft.fit_vocabulary(rows)).select("id", F.explode_outer(kept).alias("v"))
+    return out.filter(F.col("v").isNotNull()).select(
         "id",
         F.size("v.values").cast("bigint").alias("nnz"),
         F.round(F.aggregate("v.values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
