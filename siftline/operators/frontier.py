@@ -174,11 +174,12 @@ def admit(
     if visited is not None:
         seen = seen.unionByName(visited.select(F.col("url").alias("link")))
     away = (domain_of(F.col("link")) != seed_domain).cast("int")
+    # the priority follows from the link; a minimum of plain numbers is kept in a hash table,
+    # one of structs would sort all links.  A place that is unknown comes first.
     first = (
-        links.withColumn("priority", away)
-        .groupBy("link")
-        .agg(F.min(F.struct("priority", "pos")).alias("_first"))
-        .select(F.col("link").alias("url"), "_first.*")
+        links.groupBy("link")
+        .agg(F.min("pos").alias("_least"), F.max(F.col("pos").isNull()).alias("_unknown"))
+        .select(F.col("link").alias("url"), away.alias("priority"), F.when(~F.col("_unknown"), F.col("_least")).alias("pos"))
     )
     fresh = first.join(seen.withColumnRenamed("link", "url"), "url", "left_anti")
     if max_queue_size is None:
