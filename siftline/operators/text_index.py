@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.text import contains_text
 from siftline.session import work_path
 
-#: Character positions of a trigram, also those that overlap.
-_GRAMS = "(?s)(?=(...))"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: More candidate blocks than these are met by a join instead of a pushed-down filter.
 MAX_PUSHED_BLOCKS = 2048
@@ -26,9 +27,48 @@ MAX_PUSHED_BLOCKS = 2048
 MAX_RANGES = 64
 
 
-def _grams_of(col: Column) -> Column:
-    folded = F.translate(F.coalesce(col, F.lit("")), _UPPER, _LOWER)
-    return F.array_distinct(F.regexp_extract_all(folded, F.lit(_GRAMS), F.lit(1)))
+#: Bits of a code point.
+_POINT = 21
+#: Characters whose trigrams are held before repeats are dropped.
+_HELD_CHARS = 1 << 22
+
+
+def _text_grams(text: str) -> np.ndarray:
+    """The trigrams of a text as numbers, A-Z folded."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    points = np.where((points >= 65) & (points <= 90), points + 32, points)
+    return (points[:-2] << 2 * _POINT) | (points[1:-1] << _POINT) | points[2:]
+
+
+def _gram_texts(grams: np.ndarray) -> list[str]:
+    mask = (1 << _POINT) - 1
+    points = np.stack([grams >> 2 * _POINT, (grams >> _POINT) & mask, grams & mask], axis=1)
+    joined = points.astype(np.uint32).tobytes().decode("utf-32-le")
+    return [joined[i:i + 3] for i in range(0, len(joined), 3)]
+
+
+def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (block, text columns) -> (block, gram), few of them more than once."""
+    for batch in batches:
+        held, chars, last = [], 0, None
+
+        def flush():
+            texts = _gram_texts(np.unique(np.concatenate(held)))
+            return pa.RecordBatch.from_arrays([pa.array([last] * len(texts), pa.int64()), pa.array(texts, pa.string())], ["block", "gram"])
+
+        for i in range(batch.num_rows):
+            block = batch.column(0)[i].as_py()
+            if held and (block != last or chars > _HELD_CHARS):
+                yield flush()
+                held, chars = [], 0
+            last = block
+            for column in batch.columns[1:]:
+                text = column[i].as_py()
+                if text and len(text) >= 3:
+                    held.append(_text_grams(text))
+                    chars += len(text)
+        if held:
+            yield flush()
 
 
 def keyword_grams(keyword: str) -> list[str]:
@@ -81,8 +121,8 @@ class TextIndex:
         ranged.withColumn("block", block.cast("bigint")).write.parquet(f"{self.path}/rows/{batch}")
         # blocks are numbered once, in the stored rows; the grams are made from those
         stored = self.spark.read.parquet(f"{self.path}/rows/{batch}")
-        every = F.array_distinct(F.concat(*(_grams_of(F.col(c)) for c in self.columns)))
-        grams = stored.select("block", F.explode(every).alias("gram")).distinct()
+        texts = (F.col(c).cast("string").alias(f"text{i}") for i, c in enumerate(self.columns))
+        grams = stored.select("block", *texts).mapInArrow(_block_grams, "block bigint, gram string").distinct()
         # by gram, so that a keyword's grams are found by the files' statistics
         ordered = grams.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
         ordered.write.parquet(f"{self.path}/grams/{batch}")
