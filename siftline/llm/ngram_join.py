@@ -1,8 +1,10 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 One global order of shingles, rare ones first, is cut into fragments.  Texts whose
-prefixes in that order share enough shingles are candidates; their sets are cut by
-fragment, the overlap of a pair is counted in each fragment by itself and summed per pair.
+prefixes in that order share enough shingles are candidates; their texts meet in shards of
+pairs, where both sets are cut by fragment and the overlap of a pair is counted fragment by
+fragment until it is known or out of reach.  Texts travel, not sets: a set's 64-bit shingles
+take about twice its text, and cannot be compressed.
 
 Only what joins components is looked for.  First every set is compared with the first set of
 each prefix shingle's list, so a list of m near copies gives m pairs and one component.
@@ -21,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.common import components
@@ -90,7 +92,7 @@ def global_order(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_rows(docs: DataFrame, rank, width: int, percent: int, text: str) -> DataFrame:
-    """(gram, node, n, p): the first shingles of each set in the global order."""
+    """(gram, node, n): the first shingles of each set in the global order."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = rank.value, set()
@@ -108,18 +110,22 @@ def prefix_rows(docs: DataFrame, rank, width: int, percent: int, text: str) -> D
                     size.append(n)
                     taken.append(p)
                 if gram:
-                    each = [np.repeat(np.array(x, np.int64), taken) for x in (node, size, taken)]
+                    each = [np.repeat(np.array(x, np.int64), taken) for x in (node, size)]
                     columns = [np.concatenate(gram).view(np.int64), *each]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n"])
 
-    return docs.select(text).mapInArrow(emit, "gram bigint, node bigint, n bigint, p bigint")
+    return docs.select(text).mapInArrow(emit, "gram bigint, node bigint, n bigint")
 
 
-def shared_lists(prefixes: DataFrame) -> DataFrame:
-    """(gram, node, n, p, first): the lists of at least two sets, with the smallest node of each."""
+def shared_lists(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, n, p, first): the lists of at least two sets, with the smallest node of each.
+
+    The prefixes are made and dealt out once; a list's ends are found where it lies.
+    """
     rows = prefixes.repartition("gram").dropDuplicates(["gram", "node"])
-    first = rows.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    return rows.join(first.select("gram", "first"), "gram")
+    whole = Window.partitionBy("gram")
+    ends = rows.withColumns({"first": F.min("node").over(whole), "last": F.max("node").over(whole)}).where("first < last")
+    return ends.select("gram", "node", "n", F.expr(f"n - (n * {percent} + 99) div 100 + 1").alias("p"), "first")
 
 
 def star_pairs(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -158,31 +164,28 @@ def _node_filter(pairs: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def segments(docs: DataFrame, fragment, wanted, width: int, text: str) -> DataFrame:
-    """(node, frag, grams): the sets of the wanted nodes, cut by fragment, once per node."""
+def wanted_texts(docs: DataFrame, wanted, width: int, text: str) -> DataFrame:
+    """(node, text): one text of each wanted node."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, hit, seen = fragment.value, wanted.value, set()
+        hit, seen = wanted.value, set()
         for batch in batches:
-            for _, texts in blocks(batch.column(text)):
-                node, frag, parts = [], [], []
-                for grams in shingle_sets(texts, width):
+            for start, texts in blocks(batch.column(text)):
+                node, at = [], []
+                for i, grams in enumerate(shingle_sets(texts, width), start):
                     if not len(grams):
                         continue
                     mark = set_hash(grams)
                     if mark in seen or not hit[mark & ((1 << FILTER_BITS) - 1)]:
                         continue
                     seen.add(mark)
-                    at = cut[_bucket(grams)]
-                    for f in np.unique(at):
-                        node.append(mark)
-                        frag.append(int(f))
-                        parts.append(grams[at == f].view(np.int64))
+                    node.append(mark)
+                    at.append(i)
                 if node:
-                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["node", "frag", "grams"])
+                    held = batch.column(text).take(pa.array(at)).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), held], names=["node", "text"])
 
-    rows = docs.select(text).mapInArrow(emit, "node bigint, frag int, grams array<bigint>")
-    return rows.groupBy("node", "frag").agg(F.first("grams").alias("grams"))
+    return docs.select(text).mapInArrow(emit, "node bigint, text string").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _tiles(pairs: DataFrame) -> DataFrame:
@@ -206,44 +209,68 @@ def _tiles(pairs: DataFrame) -> DataFrame:
 
 
 def _star_shards(pairs: DataFrame) -> DataFrame:
-    """Add to each pair of a set and a list's first its ``shard``, by the set.
+    """Add to each pair of a set and a list's first its ``shard``, by the least first of the set.
 
-    A set travels once, with its few firsts beside it; a first of many sets travels once
-    per shard, that is once per SHARD_TILES * TILE_NODES pairs about.  No group need be known.
+    Near copies share their least first mostly, so a set travels once, with its few firsts
+    beside it.  The sets of one least first are dealt into blocks of about TILE_NODES pairs,
+    however many they are.  No group need be known.
     """
     shards = max(1, pairs.count() // (SHARD_TILES * TILE_NODES))
-    return pairs.select("a", "b", "na", "nb", F.pmod(F.xxhash64("a"), F.lit(shards)).alias("shard"))
-
-
-def _count_overlaps(pairs: pa.Table, parts: pa.Table) -> pa.Table:
-    """The overlap of every pair of a shard within one fragment."""
-    grams = dict(zip(parts.column("node").to_pylist(), (g.values.to_numpy() for g in parts.column("grams"))))
-    rows = []
+    sets = pairs.groupBy("a").agg(F.min("b").alias("head"), F.count("*").alias("k"))
+    sizes = sets.groupBy("head").agg(F.sum("k").alias("size"))
+    block = F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / TILE_NODES))
+    placed = sets.join(sizes, "head").select("a", F.pmod(F.xxhash64("head", block), F.lit(shards)).alias("shard"))
+    return cut_lineage(pairs.join(placed, "a").select("a", "b", "na", "nb", "shard"), "tiles")
+
+
+def _overlap(a: list[np.ndarray], b: list[np.ndarray], least: int) -> int:
+    """The overlap of two sets cut by fragment; -1 as soon as it cannot reach ``least``."""
+    found, left = 0, sum(min(len(x), len(y)) for x, y in zip(a, b))
+    for x, y in zip(a, b):
+        if found + left < least:
+            return -1
+        left -= min(len(x), len(y))
+        if len(x) and len(y):
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            found += int(np.count_nonzero(y[at] == x))
+    return found
+
+
+def _link_shard(pairs: pa.Table, sets: pa.Table, cut: np.ndarray, width: int, percent: int) -> pa.Table:
+    """The pairs of a shard that reach the similarity."""
+    nodes = sets.column("node").to_pylist()
+    parts: dict[int, list[np.ndarray]] = {}
+    at = 0
+    for _, texts in blocks(sets.column("text")):
+        for grams in shingle_sets(texts, width):
+            place = cut[_bucket(grams)]
+            parts[nodes[at]] = [grams[place == f] for f in range(FRAGMENTS)]
+            at += 1
+    out: list[tuple[int, int]] = []
     for a, b, na, nb in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "na", "nb"))):
-        if a in grams and b in grams:
-            rows.append((a, b, na, nb, len(np.intersect1d(grams[a], grams[b], assume_unique=True))))
-    return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["a", "b", "na", "nb", "overlap"])
+        # overlap * 100 >= (na + nb - overlap) * percent
+        least = -(-(na + nb) * percent // (100 + percent))
+        if a in parts and b in parts and _overlap(parts[a], parts[b], least) >= least:
+            out.append((a, b))
+    return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
 def linked_pairs(
     docs: DataFrame, pairs: DataFrame, fragment, width: int, percent: int, text: str, deal: Callable[[DataFrame], DataFrame] = _tiles
 ) -> DataFrame:
-    """(a, b) of the pairs that reach the similarity: overlaps by fragment, summed per pair.
+    """(a, b) of the pairs that reach the similarity.
 
     ``deal`` adds to the stored pairs the ``shard`` in which each is counted.
     """
     pairs = cut_lineage(pairs, "pairs")
     wanted = docs.sparkSession.sparkContext.broadcast(_node_filter(pairs))
-    parts = cut_lineage(segments(docs, fragment, wanted, width, text), "segments")
     tiled = deal(pairs)
     needed = tiled.select(F.col("shard").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    sent = needed.join(parts, "node").select("at", F.col("frag").alias("piece"), "node", "grams")
-    asked = tiled.select("*", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))).alias("frag"))
-    counted = asked.groupBy("shard", "frag").cogroup(sent.groupBy("at", "piece")).applyInArrow(
-        _count_overlaps, "a bigint, b bigint, na bigint, nb bigint, overlap bigint"
+    sent = needed.join(wanted_texts(docs, wanted, width, text), "node").select("at", "node", "text")
+    return tiled.groupBy("shard").cogroup(sent.groupBy("at")).applyInArrow(
+        lambda near, sets: _link_shard(near, sets, fragment.value, width, percent), "a bigint, b bigint"
     )
-    summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return summed.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b")
 
 
 def linked_sets(docs: DataFrame, summary: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -251,7 +278,7 @@ def linked_sets(docs: DataFrame, summary: DataFrame, width: int = WIDTH, percent
     send = docs.sparkSession.sparkContext.broadcast
     rank, fragment = map(send, global_order(summary))
     prefixes = prefix_rows(docs, rank, width, percent, text)
-    lists = cut_lineage(shared_lists(prefixes), "lists")
+    lists = cut_lineage(shared_lists(prefixes, percent), "lists")
     sizes = summary.where("node is not null").select("node", "n").distinct()
     stars = cut_lineage(linked_pairs(docs, star_pairs(lists, sizes, percent), fragment, width, percent, text, _star_shards), "links")
     rest = candidate_pairs(lists, cut_lineage(components(stars), "roots"), percent)
@@ -288,7 +315,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **limi
 
     Documents with empty sets all stay.
     """
-    held = cut_lineage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "join-in")
+    held = cut_lineage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "join-in", "zstd")
     view = held.select("row", F.col("doc")[doc_id].alias("doc_id"), F.col("doc")[text].alias("text"))
     found = jaccard_components(view, row="row", **limits)
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("k")).select(F.col("k.row").alias("row"))

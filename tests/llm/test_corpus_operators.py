@@ -1,5 +1,6 @@
 """Near-duplicate join, substring removal, site trees, neighbours and preferences."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -90,6 +91,38 @@ def test_a_group_of_near_copies_gives_pairs_in_proportion(spark, monkeypatch):
     assert made[0] < 1500 and made[1] == 0
 
 
+def test_the_join_ships_texts_and_makes_prefixes_once(spark, monkeypatch):
+    """On 0.51 GB the sets of 64-bit shingles, stored and dealt out, passed the disk limit."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(10):
+        base = [rng.choice("abcdefgh") + rng.choice("abcdefgh") + rng.choice("ij") for _ in range(2000)]
+        texts += [" ".join(base), " ".join([*base, "end"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held, plain = {}, ngram_join.cut_lineage
+
+    def measured(table, name="cut", *options):
+        held.setdefault(name, table._jdf.queryExecution().executedPlan().toString())
+        out = plain(table, name, *options)
+        held["bytes"] = held.get("bytes", 0) + sum(os.path.getsize(f.removeprefix("file:")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut_lineage", measured)
+    assert [r["component_id"] for r in ngram_join.jaccard_components(df).orderBy("doc_id").collect()] == [i // 2 * 2 for i in range(20)]
+    assert held["lists"].split("Initial Plan")[-1].count("MapInArrow") == 1
+    # texts meet in the shards that the links are counted in; what is stored beside them is less than the texts
+    assert "array<bigint>" not in held["links"] and held["bytes"] < sum(map(len, texts))
+
+
+def test_least_firsts_are_dealt_into_blocks(spark, monkeypatch):
+    """All sets of one least first in one shard would grow with the group."""
+    monkeypatch.setattr(ngram_join, "TILE_NODES", 4)
+    pairs = spark.createDataFrame([(a, b, 9, 9) for a in range(100, 300) for b in (1, 2)], "a long, b long, na long, nb long")
+    dealt = ngram_join._star_shards(pairs).collect()
+    assert sorted((r["a"], r["b"]) for r in dealt) == [(a, b) for a in range(100, 300) for b in (1, 2)]
+    assert len({(r["a"], r["shard"]) for r in dealt}) == 200 and max(Counter(r["shard"] for r in dealt).values()) < 60
+
+
 def test_jaccard_join_of_odd_tables(spark):
     rows = [(None, "a b c d", None, None, 0), (5, "a b c d", None, None, 0), (5, "a b c d", None, None, 0), (None, None, None, None, None), (9, "q w e r", "x", "y", 1)]
     df = spark.createDataFrame(rows, DOC)
