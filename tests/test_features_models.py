@@ -145,18 +145,17 @@ def test_pass_equals_plain_sums(spark):
             assert np.isclose(v, 2 * value.sum()) and np.allclose(g, 2 * z.T @ slope, atol=1e-6)
 
 
-def test_a_pass_reads_blocks_of_dense_and_sparse_vectors(spark, monkeypatch):
+def test_a_pass_reads_blocks_of_dense_and_sparse_vectors(spark):
     """Vectors are taken apart once, not in every pass; blocks end anywhere, rows may have no entry."""
     from siftline.operators import linear_fit as lf
 
-    monkeypatch.setattr(lf, "BLOCK_ROWS", 3)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(20, 6)) * (rng.random((20, 6)) < 0.5)
     x[4] = 0
     vectors = [Vectors.dense(r) if i % 3 == 0 else Vectors.sparse(6, [(int(j), float(r[j])) for j in np.flatnonzero(r)]) for i, r in enumerate(x)]
     weight = rng.random(20) * (np.arange(20) % 7 > 0)
     df = spark.createDataFrame([(v, float(w)) for v, w in zip(vectors, weight)], ["z", "weight"]).coalesce(2)
-    blocks = lf.in_blocks(df).persist()
+    blocks = lf.in_blocks(df, 3).persist()
     assert blocks.count() >= 7 and blocks.columns == [c.split()[0] for c in lf._BLOCK.split(", ")]
     w = rng.normal(size=6)
     t = x @ w
