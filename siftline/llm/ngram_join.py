@@ -1,11 +1,16 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
-One global order of shingles, rare ones first, is cut into fragments.  Texts whose
-prefixes in that order share enough shingles are candidates; their texts meet in shards of
+One global order of shingles, rare ones first, is cut into fragments.  Two sets are
+candidates if they share a shingle within the prefixes that their two sizes ask for, and if
+their signatures do not tell them apart; their texts meet in shards of
 pairs, where both sets are cut by fragment and the overlap of a pair is counted fragment by
 fragment until it is known or out of reach.  Texts travel, not sets: a set's 64-bit shingles
 take about twice its text, and cannot be compressed.
 
+A signature has a bit per hash value of shingles, set if an odd number of the set's shingles
+has it.  Two signatures differ in no more bits than the sets differ in shingles, so a pair
+whose signatures differ in more than the similarity allows is no link.
+
 Only what joins components is looked for.  First every set is compared with the first set of
 each prefix shingle's list, so a list of m near copies gives m pairs and one component.
 Then sets of one list are paired that are still in different components; lists that have
@@ -23,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.common import components
@@ -34,6 +39,8 @@ WIDTH = 3
 PERCENT = 90
 BUCKET_BITS = 17
 FRAGMENTS = 8
+#: Words of 64 bits in a set's signature.
+SIGNATURE = tuple(f"s{k}" for k in range(4))
 #: Bits of the filter that picks the candidates' texts; false hits are dropped by the join.
 FILTER_BITS = 23
 #: Sets in a block of a group of candidates, and full tiles in a shard, about.
@@ -45,32 +52,44 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _signature(grams: np.ndarray) -> np.ndarray:
+    """Per hash value of shingles whether an odd number of the set has it, as 64-bit words."""
+    bits = 64 * len(SIGNATURE)
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingle_summary(docs: DataFrame, width: int = WIDTH, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document its keys, ``n`` and ``node``; and per task one row per counted bucket.
+    """Per document its keys, ``n``, ``node`` and signature; and per task one row per counted bucket.
 
     ``node`` is a hash of the shingle set, null for an empty set.  Rows with a ``bucket``
     hold the task's counts and have no document.
     """
     rows = docs.select(*keys, text)
     schema = rows.drop(text).schema.add("n", "long").add("node", "long").add("bucket", "integer").add("cnt", "long")
+    for name in SIGNATURE:
+        schema = schema.add(name, "long")
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        names, types = [*keys, "n", "node", "bucket", "cnt"], None
+        names, types = [*keys, "n", "node", "bucket", "cnt", *SIGNATURE], None
         for batch in batches:
             types = [batch.column(k).type for k in keys]
-            n, node = [], []
+            n, node, signs = [], [], []
             for _, texts in blocks(batch.column(text)):
                 for grams in shingle_sets(texts, width):
                     n.append(len(grams))
                     node.append(set_hash(grams) if len(grams) else None)
+                    signs.append(_signature(grams))
                     np.add.at(counts, _bucket(grams), 1)
             none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *none], names=names)
+            sign = [pa.array(w) for w in np.array(signs, np.int64).reshape(-1, len(SIGNATURE)).T]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *none, *sign], names=names)
         if types is not None:
             used = np.flatnonzero(counts)
             none = [pa.nulls(len(used), t) for t in (*types, pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], names=names)
+            sign = [pa.nulls(len(used), pa.int64()) for _ in SIGNATURE]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array(counts[used], pa.int64()), *sign], names=names)
 
     return rows.mapInArrow(summarise, schema)
 
@@ -92,7 +111,7 @@ def global_order(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_rows(docs: DataFrame, rank, width: int, percent: int, text: str) -> DataFrame:
-    """(gram, node, n): the first shingles of each set in the global order."""
+    """(gram, node, n, pos): the first shingles of each set in the global order, with their places."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = rank.value, set()
@@ -111,47 +130,76 @@ def prefix_rows(docs: DataFrame, rank, width: int, percent: int, text: str) -> D
                     taken.append(p)
                 if gram:
                     each = [np.repeat(np.array(x, np.int64), taken) for x in (node, size)]
-                    columns = [np.concatenate(gram).view(np.int64), *each]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n"])
+                    columns = [np.concatenate(gram).view(np.int64), *each, np.concatenate([np.arange(p, dtype=np.int32) for p in taken])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n", "pos"])
 
-    return docs.select(text).mapInArrow(emit, "gram bigint, node bigint, n bigint")
+    return docs.select(text).mapInArrow(emit, "gram bigint, node bigint, n bigint, pos int")
 
 
-def shared_lists(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(gram, node, n, p, first): the lists of at least two sets, with the smallest node of each.
+def shared_lists(prefixes: DataFrame) -> DataFrame:
+    """(gram, node, n, pos, first): the lists of at least two sets, with the smallest node of each.
 
-    The prefixes are made and dealt out once; a list's ends are found where it lies.
+    ``first`` has that node with its ``n`` and ``pos``.  The prefixes are made and dealt out
+    once; a list's ends are found where it lies.
     """
     rows = prefixes.repartition("gram").dropDuplicates(["gram", "node"])
     whole = Window.partitionBy("gram")
-    ends = rows.withColumns({"first": F.min("node").over(whole), "last": F.max("node").over(whole)}).where("first < last")
-    return ends.select("gram", "node", "n", F.expr(f"n - (n * {percent} + 99) div 100 + 1").alias("p"), "first")
+    ends = rows.withColumns({"first": F.min(F.struct("node", "n", "pos")).over(whole), "last": F.max("node").over(whole)}).where("first.node < last")
+    return ends.drop("last")
+
+
+def signatures(summary: DataFrame) -> DataFrame:
+    """(node, signature): one row per different set."""
+    return summary.where("node is not null").groupBy("node").agg(*(F.first(s).alias(s) for s in SIGNATURE))
+
+
+def _least(percent: int) -> Column:
+    """The least overlap at which sets of ``na`` and ``nb`` shingles reach the similarity."""
+    return F.expr(f"((na + nb) * {percent} + {99 + percent}) div {100 + percent}")
 
 
-def star_pairs(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb): every set of a list with the list's first, where the sizes allow a link."""
-    pairs = lists.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"), F.col("n").alias("na")).distinct()
-    sized = pairs.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "na", "nb")
+def _may_meet(percent: int) -> Column:
+    """Whether the sizes allow a link, and the shared shingle stands in the prefixes of both.
+
+    If ``m`` shingles of a set may be missing in the other, its first ``m + 1`` hold one
+    that both have.  With the other's size known ``m`` is about half of what it is without.
+    """
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return sizes & (F.col("posa") <= F.col("na") - _least(percent)) & (F.col("posb") <= F.col("nb") - _least(percent))
+
+
+def _signs_allow(percent: int) -> Column:
+    """Whether the signatures ``s0a``.. and ``s0b``.. differ in no more bits than linked sets may."""
+    apart = sum((F.bit_count(F.col(f"{s}a").bitwiseXOR(F.col(f"{s}b"))) for s in SIGNATURE), F.lit(0))
+    return apart <= F.col("na") + F.col("nb") - 2 * _least(percent)
+
+
+def star_pairs(lists: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): every set of a list with the list's first, where a link is possible."""
+    ends = lists.where("node <> first.node").select(
+        F.col("node").alias("a"), F.col("first.node").alias("b"), F.col("n").alias("na"), F.col("first.n").alias("nb"), F.col("pos").alias("posa"), F.col("first.pos").alias("posb")
+    )
+    pairs = ends.where(_may_meet(percent)).select("a", "b", "na", "nb").distinct()
+    of = lambda side: signs.select(F.col("node").alias(side), *(F.col(s).alias(f"{s}{side}") for s in SIGNATURE))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_signs_allow(percent)).select("a", "b", "na", "nb")
 
 
-def candidate_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb) of sets in different components whose prefixes share enough shingles.
+def candidate_pairs(lists: DataFrame, roots: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of sets in different components that share a list, where a link is possible.
 
-    At the least overlap that reaches the similarity, ``m`` shingles of a set may be
-    missing in the other; the shorter-reaching prefix then shares all but ``m`` of its
-    shingles with the other prefix.
+    Near copies share many lists.  Where two sets have the same shingle before the shared
+    one, among those of lists still in question, they meet there too, and are not paired again.
     """
     rows = lists.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
     rows = cut_lineage(rows.join(mixed, "gram", "left_semi"), "mixed")
-    a = rows.select("gram", *(F.col(c).alias(f"{c}a") for c in ("node", "n", "p", "root")))
-    b = rows.select("gram", *(F.col(c).alias(f"{c}b") for c in ("node", "n", "p", "root")))
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb"))
-    pairs = a.join(b, "gram").where(near).groupBy("nodea", "nodeb", "na", "nb", "pa", "pb").agg(F.count("*").alias("shared"))
-    least = F.expr(f"((na + nb) * {percent} + {99 + percent}) div {100 + percent}")
-    need = F.least(F.col("pa") - F.col("na") + least, F.col("pb") - F.col("nb") + least)
-    return pairs.where(F.col("shared") >= need).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb")
+    rows = rows.withColumn("before", F.lag("gram").over(Window.partitionBy("node").orderBy("pos"))).join(signs, "node")
+    held = ("node", "n", "pos", "root", "before", *SIGNATURE)
+    a = rows.select("gram", *(F.col(c).alias(f"{c}a") for c in held))
+    b = rows.select("gram", *(F.col(c).alias(f"{c}b") for c in held))
+    other = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & F.coalesce(F.col("beforea") != F.col("beforeb"), F.lit(True))
+    pairs = a.join(b, "gram").where(other & _may_meet(percent) & _signs_allow(percent))
+    return pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb").distinct()
 
 
 def _node_filter(pairs: DataFrame) -> np.ndarray:
@@ -278,10 +326,10 @@ def linked_sets(docs: DataFrame, summary: DataFrame, width: int = WIDTH, percent
     send = docs.sparkSession.sparkContext.broadcast
     rank, fragment = map(send, global_order(summary))
     prefixes = prefix_rows(docs, rank, width, percent, text)
-    lists = cut_lineage(shared_lists(prefixes, percent), "lists")
-    sizes = summary.where("node is not null").select("node", "n").distinct()
-    stars = cut_lineage(linked_pairs(docs, star_pairs(lists, sizes, percent), fragment, width, percent, text, _star_shards), "links")
-    rest = candidate_pairs(lists, cut_lineage(components(stars), "roots"), percent)
+    lists = cut_lineage(shared_lists(prefixes), "lists")
+    signs = signatures(summary)
+    stars = cut_lineage(linked_pairs(docs, star_pairs(lists, signs, percent), fragment, width, percent, text, _star_shards), "links")
+    rest = candidate_pairs(lists, cut_lineage(components(stars), "roots"), signs, percent)
     return stars.union(linked_pairs(docs, rest, fragment, width, percent, text))
 
 
