@@ -9,7 +9,9 @@ take about twice its text, and cannot be compressed.
 
 A signature has a bit per hash value of shingles, set if an odd number of the set's shingles
 has it.  Two signatures differ in no more bits than the sets differ in shingles, so a pair
-whose signatures differ in more than the similarity allows is no link.
+whose signatures differ in more than the similarity allows is no link.  A few hundred bits
+tell large sets nothing; these have a tally beside them, the number of their shingles of each
+hash value, whose differences add up to no more than the sets differ either.
 
 Only what joins components is looked for.  First every set is compared with the first set of
 each prefix shingle's list, so a list of m near copies gives m pairs and one component.
@@ -41,6 +43,9 @@ BUCKET_BITS = 17
 FRAGMENTS = 8
 #: Words of 64 bits in a set's signature.
 SIGNATURE = tuple(f"s{k}" for k in range(4))
+#: Hash values in a set's tally, and the shingles from which a set has one.
+TALLY = 256
+TALLY_LEAST = 512
 #: Bits of the filter that picks the candidates' texts; false hits are dropped by the join.
 FILTER_BITS = 23
 #: Sets in a block of a group of candidates, and full tiles in a shard, about.
@@ -59,8 +64,14 @@ def _signature(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _tally(grams: np.ndarray) -> bytes:
+    """The number of shingles of each hash value, 255 at most."""
+    counts = np.bincount(((grams >> np.uint64(16)) & np.uint64(TALLY - 1)).astype(np.int64), minlength=TALLY)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def shingle_summary(docs: DataFrame, width: int = WIDTH, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document its keys, ``n``, ``node`` and signature; and per task one row per counted bucket.
+    """Per document its keys, ``n``, ``node``, signature and tally; and per task one row per counted bucket.
 
     ``node`` is a hash of the shingle set, null for an empty set.  Rows with a ``bucket``
     hold the task's counts and have no document.
@@ -69,27 +80,29 @@ def shingle_summary(docs: DataFrame, width: int = WIDTH, text: str = "text", key
     schema = rows.drop(text).schema.add("n", "long").add("node", "long").add("bucket", "integer").add("cnt", "long")
     for name in SIGNATURE:
         schema = schema.add(name, "long")
+    schema = schema.add("tally", "binary")
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        names, types = [*keys, "n", "node", "bucket", "cnt", *SIGNATURE], None
+        names, types = [*keys, "n", "node", "bucket", "cnt", *SIGNATURE, "tally"], None
         for batch in batches:
             types = [batch.column(k).type for k in keys]
-            n, node, signs = [], [], []
+            n, node, signs, tally = [], [], [], []
             for _, texts in blocks(batch.column(text)):
                 for grams in shingle_sets(texts, width):
                     n.append(len(grams))
                     node.append(set_hash(grams) if len(grams) else None)
                     signs.append(_signature(grams))
+                    tally.append(_tally(grams) if len(grams) >= TALLY_LEAST else None)
                     np.add.at(counts, _bucket(grams), 1)
             none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())]
             sign = [pa.array(w) for w in np.array(signs, np.int64).reshape(-1, len(SIGNATURE)).T]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *none, *sign], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *none, *sign, pa.array(tally, pa.binary())], names=names)
         if types is not None:
             used = np.flatnonzero(counts)
             none = [pa.nulls(len(used), t) for t in (*types, pa.int64(), pa.int64())]
             sign = [pa.nulls(len(used), pa.int64()) for _ in SIGNATURE]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array(counts[used], pa.int64()), *sign], names=names)
+            yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array(counts[used], pa.int64()), *sign, pa.nulls(len(used), pa.binary())], names=names)
 
     return rows.mapInArrow(summarise, schema)
 
@@ -136,14 +149,20 @@ def prefix_rows(docs: DataFrame, rank, width: int, percent: int, text: str) -> D
     return docs.select(text).mapInArrow(emit, "gram bigint, node bigint, n bigint, pos int")
 
 
-def shared_lists(prefixes: DataFrame) -> DataFrame:
+def shared_lists(prefixes: DataFrame, percent: int) -> DataFrame:
     """(gram, node, n, pos, first): the lists of at least two sets, with the smallest node of each.
 
-    ``first`` has that node with its ``n`` and ``pos``.  The prefixes are made and dealt out
-    once; a list's ends are found where it lies.
+    A set stays in a list if the next larger or the next smaller one there has a size that
+    it may be linked with; with none of these, it has no candidate in the list.
+    ``first`` has the smallest node with its ``n`` and ``pos``.  The prefixes are made and
+    dealt out once; a list's ends are found where it lies.
     """
     rows = prefixes.repartition("gram").dropDuplicates(["gram", "node"])
-    whole = Window.partitionBy("gram")
+    by_size, whole = Window.partitionBy("gram").orderBy("n"), Window.partitionBy("gram")
+    # the overlap that sizes n and m need is n - pos at most
+    smaller = F.lag("n").over(by_size) * 100 >= F.col("n") * percent
+    larger = F.lead("n").over(by_size) * percent <= F.least((F.col("n") - F.col("pos")) * (100 + percent) - F.col("n") * percent, F.col("n") * 100)
+    rows = rows.withColumn("near", F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False))).where("near").drop("near")
     ends = rows.withColumns({"first": F.min(F.struct("node", "n", "pos")).over(whole), "last": F.max("node").over(whole)}).where("first.node < last")
     return ends.drop("last")
 
@@ -202,6 +221,23 @@ def candidate_pairs(lists: DataFrame, roots: DataFrame, signs: DataFrame, percen
     return pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb").distinct()
 
 
+def tallies_allow(pairs: DataFrame, tallies: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose tallies differ by no more than those of linked sets may; pairs without stay."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ta", "tb")))
+            near = [ta is None or tb is None or _apart(ta, tb) <= na + nb - 2 * -(-(na + nb) * percent // (100 + percent)) for na, nb, ta, tb in rows]
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(near, pa.bool_()))
+
+    of = lambda side: tallies.select(F.col("node").alias(side), F.col("tally").alias(f"t{side}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").mapInArrow(emit, "a bigint, b bigint, na bigint, nb bigint")
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    return int(np.abs(np.frombuffer(a, np.uint8).astype(np.int64) - np.frombuffer(b, np.uint8)).sum())
+
+
 def _node_filter(pairs: DataFrame) -> np.ndarray:
     """A bit per hash value of the nodes in ``pairs``, as 2 ** FILTER_BITS bits at most."""
     nodes = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v")))
@@ -326,10 +362,11 @@ def linked_sets(docs: DataFrame, summary: DataFrame, width: int = WIDTH, percent
     send = docs.sparkSession.sparkContext.broadcast
     rank, fragment = map(send, global_order(summary))
     prefixes = prefix_rows(docs, rank, width, percent, text)
-    lists = cut_lineage(shared_lists(prefixes), "lists")
-    signs = signatures(summary)
-    stars = cut_lineage(linked_pairs(docs, star_pairs(lists, signs, percent), fragment, width, percent, text, _star_shards), "links")
-    rest = candidate_pairs(lists, cut_lineage(components(stars), "roots"), signs, percent)
+    lists = cut_lineage(shared_lists(prefixes, percent), "lists")
+    signs, tallies = signatures(summary), summary.where("tally is not null").groupBy("node").agg(F.first("tally").alias("tally"))
+    firsts = tallies_allow(star_pairs(lists, signs, percent), tallies, percent)
+    stars = cut_lineage(linked_pairs(docs, firsts, fragment, width, percent, text, _star_shards), "links")
+    rest = tallies_allow(candidate_pairs(lists, cut_lineage(components(stars), "roots"), signs, percent), tallies, percent)
     return stars.union(linked_pairs(docs, rest, fragment, width, percent, text))
 
 

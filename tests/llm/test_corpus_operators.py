@@ -123,6 +123,23 @@ def test_least_firsts_are_dealt_into_blocks(spark, monkeypatch):
     assert len({(r["a"], r["shard"]) for r in dealt}) == 200 and max(Counter(r["shard"] for r in dealt).values()) < 60
 
 
+def test_pairs_that_cannot_link_are_not_made(spark, monkeypatch):
+    """All sets share a passage; only the copies of one base are near, in many shared shingles."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    passage = [word() for _ in range(60)]
+    texts = [" ".join([*passage, *(word() for _ in range(40 + k % 3))]) for k in range(60)]
+    large = [word() for _ in range(900)]
+    texts += [" ".join([*large[:800], *(word() for _ in range(300))]) for _ in range(12)] + [" ".join(large), " ".join([*large, "end"])]
+    made, plain = [], ngram_join.linked_pairs
+    monkeypatch.setattr(ngram_join, "linked_pairs", lambda docs, pairs, *a: (made.append(pairs.count()), plain(docs, pairs, *a))[1])
+    # places of one order by hash, so that the passage stands in the prefixes
+    monkeypatch.setattr(ngram_join, "global_order", lambda summary: (np.zeros(1 << ngram_join.BUCKET_BITS, np.int32), np.zeros(1 << ngram_join.BUCKET_BITS, np.int8)))
+    rows = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: min(i, 72) for i in range(74)}
+    assert made == [1, 0]
+
+
 def test_jaccard_join_of_odd_tables(spark):
     rows = [(None, "a b c d", None, None, 0), (5, "a b c d", None, None, 0), (5, "a b c d", None, None, 0), (None, None, None, None, None), (9, "q w e r", "x", "y", 1)]
     df = spark.createDataFrame(rows, DOC)
