@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import components
+from siftline.llm.common import components, in_few
 from siftline.llm.shingles import blocks, set_hash, shingle_sets
 from siftline.session import cut_lineage
 
@@ -285,7 +285,8 @@ def _tiles(pairs: DataFrame) -> DataFrame:
     placed = groups.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE_NODES)).alias("block"))
     at = lambda side: placed.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"), F.col("block").alias(f"{side}_block"))
     tile = F.xxhash64("a_root", F.least("a_block", "b_block"), F.greatest("a_block", "b_block"))
-    tiled = cut_lineage(pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", tile.alias("tile")), "tiles")
+    tiled = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", tile.alias("tile"))
+    tiled = cut_lineage(in_few(tiled, pairs.count()), "tiles")
     # a tile of few pairs holds few sets, however many blocks its group has
     filled = tiled.groupBy("tile").agg(F.least(F.count("*"), F.lit(TILE_NODES)).alias("fill")).agg(F.sum("fill")).first()[0] or 0
     shards = max(1, filled // (SHARD_TILES * TILE_NODES))

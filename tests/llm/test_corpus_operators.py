@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 from hashlib import sha256
 
@@ -10,9 +11,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import ngram_join, nn_descent, preferences, shingles, site_tree, suffix_dedup
+from siftline.llm import anchors, common, ngram_join, nn_descent, preferences, shingles, site_tree, suffix_dedup
 from siftline.llm.common import components
 from siftline.llm.suffix_groups import suffix_array
+from siftline.session import cut_lineage
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -170,6 +172,47 @@ def test_components_of_chains_stars_and_dense_groups(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_rounds_over_few_links_are_stored_by_few_tasks(spark, monkeypatch):
+    written = []
+
+    def store(df, name="cut", compression=None):
+        written.append((name, df))
+        return cut_lineage(df, name, compression)
+
+    monkeypatch.setattr(common, "cut_lineage", store)
+    monkeypatch.setattr(common, "PARTITION_ROWS", 150)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # a chain of 200, twice and with odd rows: no round may take 40 tasks for 400 links
+        rows = [(i, i + 1) for i in range(200)] * 2 + [(None, 1), (7, 7)]
+        found = components(spark.createDataFrame(rows, "a long, b long").repartition(3))
+        tasks = [df.rdd.getNumPartitions() for name, df in written if name == "star"]
+        assert len(tasks) > 2 and max(tasks) <= 3 and found.rdd.getNumPartitions() <= 6
+        assert sorted(tuple(r) for r in found.collect()) == [(i, 0) for i in range(201)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_shared_windows_take_bounded_memory():
+    rng = random.Random(3)
+    parts = [bytes(rng.choices(range(97, 123), k=76)) for _ in range(20)]
+    rows = [(core, rng.choice(parts)[:75] + rng.choice(parts)[:75], 75, 76) for core in range(20) for _ in range(30)]
+    tracemalloc.start()
+    suffix_dedup.repeated_windows(rows, 76)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * sum(len(body) + 2 for _, body, _, _ in rows)
+    # tables for one block of texts, which the longest piece of a text fills
+    assert max(map(len, (anchors._POWERS, anchors._INVERSES))) <= anchors.BLOCK + 1
+    text = rng.randbytes(anchors.BLOCK + 500)
+    blocks = [(first, last, base) for _, bases, _, _, first, last, _, _ in anchors.scan_texts([text], 400) for base in bases]
+    starts = np.concatenate([np.arange(f, g + 1) + base for first, last, base in blocks for f, g in zip(first, last)])
+    assert set(starts.tolist()) == set(range(len(text) - 399))
+
+
 def test_suffix_array_orders_all_suffixes():
     rng = random.Random(1)
     for _ in range(3000):
