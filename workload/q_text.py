@@ -133,12 +133,13 @@ def _(spark, sf):
         SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS t FROM documents)""",
 )
 def _(spark, sf):
-    t = F.col("t")
-    return _docs(spark, sf).select("id", tx.tokenize(F.col("content")).alias("t")).select(
+    t, text = F.col("t"), F.col("content")
+    # as in SQL: blank texts have no first and last token, null texts no count either
+    return _docs(spark, sf).select("id", F.when(text.isNotNull(), tx.tokenize(text)).alias("t")).select(
         "id",
-        F.size(t).cast("bigint").alias("n_tokens"),
-        F.element_at(t, 1).alias("first_token"),
-        F.element_at(t, -1).alias("last_token"),
+        F.array_size(t).cast("bigint").alias("n_tokens"),
+        F.try_element_at(t, F.lit(1)).alias("first_token"),
+        F.try_element_at(t, F.lit(-1)).alias("last_token"),
     )
 
 
